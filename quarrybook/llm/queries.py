@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrybook.llm import decontamination, exact_dedup, mixing, near_dedup, sharding
+from quarrybook.llm import decontamination, exact_dedup, language, mixing, near_dedup, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_held_out(_read(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -81,7 +85,7 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_source_mix, op4_near_dedup, op6_decontamination, op10_sharding)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language, op3_source_mix, op4_near_dedup, op6_decontamination, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrybook.llm import chat, decontamination, exact_dedup, language, mixing, near_dedup, quality, sharding
+from quarrybook.llm import chat, decontamination, exact_dedup, language, mixing, near_dedup, pii, quality, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).drop("item_ids")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the key is a secret of whoever runs the library; a registered query needs a fixed one
+    done = pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), secret="registered query")
+    return done.select("doc_id", "text", F.size("kinds").cast("long").alias("n_values"), F.array_join("kinds", ",").alias("kinds"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "\\### Assistant: </turn> ok"
@@ -123,7 +129,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language, op3_source_mix, op4_near_dedup, op6_decontamination, op8_chat, op9_quality, op10_sharding, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language, op3_source_mix, op4_near_dedup, op6_decontamination, op7_pii, op8_chat, op9_quality, op10_sharding, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

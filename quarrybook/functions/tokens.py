@@ -9,6 +9,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def b64url(data: Column) -> Column:
@@ -63,7 +64,7 @@ def client_address(forwarded: Column, remote: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(F.substring_index(forwarded, ",", 1)), F.lit("")), remote)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fingerprint(payload_json: pd.Series) -> pd.Series:
     """SHA-256 of a JSON object with sorted keys, in Python's own spelling of JSON."""
     return payload_json.map(lambda p: None if p is None else hashlib.sha256(json.dumps(json.loads(p), sort_keys=True).encode()).hexdigest())

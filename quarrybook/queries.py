@@ -637,3 +637,45 @@ def signed_tokens(spark, sf_dir):
 def request_fingerprint(spark, sf_dir):
     body = F.to_json(F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("kind")))
     return read_table(spark, sf_dir, "events").select("event_id", K.fingerprint(body).alias("fingerprint"))
+
+
+# --- reports
+
+
+@query(f"WITH {S.RECORDS} SELECT pmid, 2 AS n_spans FROM papers WHERE length(abstract) >= 40")
+def highlight_spans(spark, sf_dir):
+    from quarrybook.operators import reports
+
+    span = lambda a, b: F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.substring("abstract", a + 1, b - a).alias("text"))
+    wrong = F.struct(F.lit(3).cast("long").alias("start"), F.lit(9).cast("long").alias("end"), F.lit("no such text").alias("text"))
+    rows = _papers(spark, sf_dir).where(F.length("abstract") >= 40).select("pmid", reports.highlight_spans(F.col("abstract"), F.array(span(20, 40), span(0, 10), span(5, 15), wrong)).alias("kept"))
+    return rows.select("pmid", F.size("kept").alias("n_spans"))
+
+
+@query("""SELECT event_id, CASE WHEN status IN (401, 403) THEN 'rejected' WHEN status = 429 AND event_type = 'view' THEN 'quota' WHEN status = 429 THEN 'unavailable' WHEN status = 408 THEN 'timeout' WHEN status >= 500 THEN 'unavailable' ELSE 'rejected' END AS kind,
+  CASE WHEN status = 408 THEN 504 ELSE 503 END AS http_status FROM (SELECT event_id, event_type, CASE event_id % 6 WHEN 0 THEN 401 WHEN 1 THEN 429 WHEN 2 THEN 408 WHEN 3 THEN 503 WHEN 4 THEN 404 ELSE 403 END AS status FROM events)""")
+def error_status(spark, sf_dir):
+    from quarrybook.operators import reports
+
+    place = F.col("event_id") % 6
+    status = F.when(place == 0, 401).when(place == 1, 429).when(place == 2, 408).when(place == 3, 503).when(place == 4, 404).otherwise(403)
+    message = F.when(F.col("event_type") == "view", "limit Per-Day reached").otherwise(F.col("event_type"))
+    rows = read_table(spark, sf_dir, "events").select("event_id", reports.error_kind(status, message).alias("kind"))
+    return rows.select("event_id", "kind", reports.http_status(F.lit("service_unavailable"), F.col("kind")).alias("http_status"))
+
+
+@query(f"""WITH {S.PAIRS}, r AS (SELECT *, CAST(conv_id AS VARCHAR) || '/' || n AS id FROM exchanges)
+SELECT 'missing rows' AS gate, count(CASE WHEN conv_id % 10 = 0 THEN 1 END) AS violations FROM r UNION ALL SELECT 'unexpected rows', 0 UNION ALL SELECT 'repeated rows', count(CASE WHEN conv_id % 10 = 1 THEN 1 END) FROM r
+UNION ALL SELECT 'unknown outcomes', count(CASE WHEN conv_id % 10 = 2 THEN 1 END) FROM r UNION ALL SELECT 'unknown sources', count(CASE WHEN conv_id % 10 = 3 THEN 1 END) FROM r
+UNION ALL SELECT 'excerpts that differ', count(CASE WHEN conv_id % 10 = 4 THEN 1 END) FROM r""")
+def gate_checks(spark, sf_dir):
+    from quarrybook.operators import reports
+
+    pairs = Staging(spark, "gates").table(_exchanges(spark, sf_dir).withColumn("id", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("n").cast("string"))), "pairs")
+    k = F.col("conv_id") % 10
+    rows = pairs.where(k != 0).select("id", F.when(k == 2, "unheard of").otherwise("answered").alias("outcome"))
+    rows = rows.unionByName(pairs.where(k == 1).select("id", F.lit("answered").alias("outcome")))
+    known = pairs.where(k != 3).select(F.col("id").alias("pmid"), F.lit("").alias("title"), F.col("answer").alias("abstract"))
+    text = F.when(k == 4, F.concat(F.substring("answer", 1, 9), F.lit("~"))).otherwise(F.substring("answer", 1, 10))
+    excerpts = pairs.select("id", F.col("id").alias("pmid"), F.lit("abstract").alias("field"), F.lit(0).cast("long").alias("start"), F.length(text).cast("long").alias("end"), text.alias("text"))
+    return reports.gate_checks(rows, pairs, excerpts, known)

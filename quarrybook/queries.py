@@ -413,7 +413,7 @@ def eligibility_reasons(spark, sf_dir):
 
 
 @query(f"""WITH {_ELIGIBLE}, s AS (SELECT id, abstract, {S.squash("CASE WHEN id % 37 = 0 THEN reverse(abstract) ELSE substr(abstract, 6, 40) END")} AS needle FROM r WHERE reason IS NULL)
-SELECT s.id, CASE WHEN p.pmid IS NULL THEN 0 ELSE 1 END AS resolved, CASE WHEN p.pmid IS NOT NULL AND needle <> '' AND contains(s.abstract, needle) THEN 1 ELSE 0 END AS matched,
+SELECT s.id, CAST(CASE WHEN p.pmid IS NULL THEN 0 ELSE 1 END AS BIGINT) AS resolved, CAST(CASE WHEN p.pmid IS NOT NULL AND needle <> '' AND contains(s.abstract, needle) THEN 1 ELSE 0 END AS BIGINT) AS matched,
   CASE WHEN p.pmid IS NULL THEN 'no_paper_resolved' WHEN NOT (needle <> '' AND contains(s.abstract, needle)) THEN 'no_snippet_found_in_source_text' END AS reason
 FROM s LEFT JOIN papers p ON p.pmid = CAST(s.id + 1 AS VARCHAR)""")
 def snippet_evidence(spark, sf_dir):
@@ -529,7 +529,7 @@ def history_last(spark, sf_dir):
 
 @query("""SELECT event_id, user_id, date_trunc('hour', ts) AS window_start, row_number() OVER w AS n_in_window, row_number() OVER w <= 2 AS admitted FROM events WINDOW w AS (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id)""")
 def hourly_admission(spark, sf_dir):
-    return limits.admit(read_table(spark, sf_dir, "events"), limit=2).select("event_id", "user_id", "window_start", "n_in_window", "admitted")
+    return limits.admit(read_table(spark, sf_dir, "events"), limit=2).select("event_id", "user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_in_window", "admitted")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS attempts, least(count(*), 300) AS charged, greatest(count(*) - 300, 0) AS refused FROM events GROUP BY 1")

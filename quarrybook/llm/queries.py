@@ -115,17 +115,6 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
-OP10_SQL = r"""
-WITH d AS (
-  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size FROM documents
-), s AS (
-  SELECT doc_id, size, coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(size) OVER () AS total FROM d
-), p AS (SELECT doc_id, size, CAST(least((2 * start + size) * 24 // (2 * total), 23) AS INTEGER) AS shard FROM s)
-SELECT doc_id, size, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
-FROM p
-"""
-
-
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 

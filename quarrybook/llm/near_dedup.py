@@ -4,16 +4,18 @@
    with equal sets are one class from here on.
 2. Inverted lists of the retained values give overlaps.  Two sketches of sets
    with a Jaccard similarity of 0.75 share at least ``SHARED`` of ``K`` values
-   (all but about 1 in 10^8 such pairs; small sets are kept whole, so for
+   (all but about 1 in 10^7 such pairs; small sets are kept whole, so for
    them the bound is exact).  So, with each sketch in order of rarity, it is enough to
    index the first K - SHARED + 1 values: values that one document has alone
    come first and give no list, values of passages that many documents share
    come last and are mostly never indexed.
 3. Links are sought in two rounds.  First each document is paired with the least
-   document of each of its lists.  Then, for lists whose documents are still in
-   several components, all pairs across components.  A pair inside a
-   component needs no further link, so a group of many near copies costs a
-   few pairs for each document, and no link between components is lost.
+   document of each of its lists.  A pair inside a component needs no further
+   link, so a group of many near copies costs a few pairs for each document.
+   Then all pairs across components among the documents of those lists that still hold several:
+   they meet under their ``MEET`` least values (similar sets have none in common once in 4^12
+   times), a pair only under the first one that it shares, and the join lets a pair through
+   only if samples of ``SAMPLE`` values overlap enough.  So no link between components is lost.
 4. Pairs whose union sketch estimates too little are dropped (7 standard errors
    below the threshold); the others are confirmed on full sets.
 """
@@ -26,15 +28,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrybook.llm.shingles import set_rows, sketch_rows
+from quarrybook.llm.shingles import sample_rows, set_rows, sketch_rows
 from quarrybook.plans.components import connected_components
 from quarrybook.plans.skew import join_groups, small_or_shuffled
 from quarrybook.plans.staging import Staging
 
-K = 128
-SHARED = 64
+K = 96
+SHARED = 46
 #: Per cent of the union that the intersection has at least.
 PERCENT = 75
+#: For pairs across components: least values under which two documents meet, and the size of the sample that is compared where they do.
+MEET, SAMPLE = 12, 256
+#: Values of a sample are cut to 16 bits; so many may fall together.
+SLACK = 4
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -55,7 +61,7 @@ class NearDuplicates:
         return self.texts.mapInArrow(partial(sketch_rows, k=self.k), schema)
 
     def index(self, reps: DataFrame) -> DataFrame:
-        """(value, doc, n): the values under which each document is found."""
+        """(value, doc): the values under which each document is found."""
         postings = reps.select(F.col("doc_id").alias("doc"), "n", F.explode("sketch").alias("value"))
         lists = self.staging.table(postings.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"), "lists")
         shared = postings.join(small_or_shuffled(lists, lists.count()), "value")
@@ -65,7 +71,7 @@ class NearDuplicates:
         alone = kept - F.count("*").over(Window.partitionBy("doc"))
         place = F.row_number().over(Window.partitionBy("doc").orderBy("c", "value"))
         ranked = shared.select("value", "doc", "n", place.alias("place"), (kept - least + 1 - alone).alias("allowed"))
-        found = self.staging.table(ranked.where("place <= allowed").select("value", "doc", "n"), "index")
+        found = self.staging.table(ranked.where("place <= allowed").select("value", "doc"), "index")
         self.staging.drop("lists")
         return found
 
@@ -76,18 +82,31 @@ class NearDuplicates:
         return self.staging.table(pairs.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
 
     def across(self, index: DataFrame, components: DataFrame, tested: DataFrame) -> DataFrame:
-        """(a, b): pairs of a list that are in different components and not yet tested."""
-        comps = small_or_shuffled(components, components.count())
-        labelled = index.join(comps, index["doc"] == components["node"], "left").select("value", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+        """(a, b): hopeful pairs across components, not yet tested, of documents whose lists hold several components."""
+        comps = self.staging.table(components, "components")
+        comps = small_or_shuffled(comps, comps.count())
+        labelled = index.join(comps, index["doc"] == comps["node"], "left").select("value", "doc", F.coalesce("component", "doc").alias("comp"))
         labelled = self.staging.table(labelled, "labelled")
         mixed = labelled.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("value")
         mixed = self.staging.table(mixed, "mixed")
-        left = self.staging.table(labelled.join(small_or_shuffled(mixed, mixed.count()), "value", "left_semi"), "left")
-        right = left.select("value", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-        pairs = left.join(right, "value").where((F.col("doc") < F.col("b")) & (F.col("comp") != F.col("comp_b")))
-        pairs = pairs.where(F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * self.percent)
-        new = pairs.select(F.col("doc").alias("a"), "b").distinct()
-        return self.staging.table(new.join(tested, ["a", "b"], "left_anti"), "across")
+        open_docs = labelled.join(small_or_shuffled(mixed, mixed.count()), "value", "left_semi").select(F.col("doc").alias("doc_id"), "comp").distinct()
+        open_docs = self.staging.table(open_docs, "open")
+        schema = T.StructType([T.StructField("doc_id", self.id_type), T.StructField("n", T.LongType()), T.StructField("mins", T.ArrayType(T.LongType())), T.StructField("sample", T.ArrayType(T.ShortType()))])
+        n_open = open_docs.count()
+        texts = self.texts.join(small_or_shuffled(open_docs.select("doc_id"), n_open), "doc_id", "left_semi")
+        samples = texts.mapInArrow(partial(sample_rows, keys=MEET, k=SAMPLE), schema).join(small_or_shuffled(open_docs, n_open), "doc_id")
+        left = self.staging.table(samples.select("doc_id", "comp", "n", "mins", "sample", F.explode("mins").alias("value")), "left")
+        right = left.select(F.col("value").alias("met"), *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "comp", "n", "mins", "sample")])
+        once = F.col("value") == F.array_min(F.array_intersect("mins", "mins_b"))
+        larger, smaller = F.greatest("n", "n_b"), F.least("n", "n_b")
+        common = F.size(F.array_intersect("sample", "sample_b")) + SLACK
+        # of the larger set's sample, so large a share lies in the other set if the two are just similar enough
+        share = F.lit(self.percent / (100 + self.percent)) * (1 + smaller / larger)
+        spread = 7 * F.sqrt(SAMPLE * share * F.greatest(1 - share, F.lit(0.0)))
+        enough = F.when(larger <= SAMPLE, common * 100 >= (larger + smaller - common) * self.percent).otherwise(common >= SAMPLE * share - spread)
+        apart = (F.col("value") == F.col("met")) & (F.col("comp") < F.col("comp_b")) & (smaller * 100 >= larger * self.percent) & once & enough
+        new = left.join(right, apart).select(F.least("doc_id", "doc_id_b").alias("a"), F.greatest("doc_id", "doc_id_b").alias("b"))
+        return self.staging.table(new.distinct().join(tested, ["a", "b"], "left_anti"), "across")
 
     def _beside(self, pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
         """Both documents' columns beside each pair, suffixed _a and _b."""
@@ -143,7 +162,7 @@ class NearDuplicates:
             components = connected_components(links, self.staging, "a", "b", "cc-all")
         labels = self.staging.table(classes.join(small_or_shuffled(components, components.count()), F.col("rep") == F.col("node"), "left").select("sig", "rows", F.coalesce("component", "rep").alias("component")), "labels")
         members = join_groups(sketched.select("doc_id", "n", "sig"), labels, ["sig"], "rows", "left")
-        self.staging.drop("index", "hubs", "stars", "across", "labelled", "mixed", "left", "copies", "classes")
+        self.staging.drop("index", "hubs", "stars", "across", "labelled", "mixed", "open", "left", "copies", "classes")
         component = F.coalesce("component", "doc_id")
         return members.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

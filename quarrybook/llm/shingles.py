@@ -142,6 +142,15 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(sets)), _list_array(sets)], ["doc_id", "shingles"])
 
 
+def sample_rows(batches: Iterator[pa.RecordBatch], keys: int, k: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, n, mins, sample): set size, the least hashes, and more of them cut to 16 bits."""
+    for batch in batches:
+        for start, sets in _grouped(batch):
+            n = pa.array([len(s) for s in sets], pa.int64())
+            short = _list_array([s[:k] & 0x7FFF for s in sets]).cast(pa.list_(pa.int16()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(sets)), n, _list_array([s[:keys] for s in sets]), short], ["doc_id", "n", "mins", "sample"])
+
+
 def sketch_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, n, sig, sketch): set size, digest of the set and its k least hashes."""
     for batch in batches:

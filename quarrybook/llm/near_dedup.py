@@ -64,7 +64,7 @@ class NearDuplicates:
         """(value, doc): the values under which each document is found."""
         postings = reps.select(F.col("doc_id").alias("doc"), "n", F.explode("sketch").alias("value"))
         lists = self.staging.table(postings.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"), "lists")
-        shared = postings.join(small_or_shuffled(lists, lists.count()), "value")
+        shared = postings.join(lists.hint("merge"), "value")  # lists grow with the input, so one plan serves all sizes
         kept = F.least(F.col("n"), F.lit(self.k))
         small = F.ceil(F.col("n") * self.percent / 100)
         least = F.when(F.col("n") <= self.k * self.percent // 100, small).otherwise(F.lit(SHARED * self.k // K))

@@ -5,9 +5,12 @@ distinct prefix of turns is a node; a tree's nodes are laid out depth-first,
 each once, with the position its tokens have in a conversation and the
 intervals of the layout that they may attend to: those of its ancestors.
 
-A node's key is the chain of its turns' digests, so the depth-first order is the
-order of keys and offsets are global prefix sums: no tree has to fit in one
-task, and one first turn may open a third of all conversations.
+A node's id is the digest of its path.  Distinct conversations are ranked by the
+chain of their turns' digests; in that order each one adds just the turns that no
+earlier one has, so the layout is their concatenation and offsets are global
+prefix sums: no tree has to fit in one task, and one first turn may open a third
+of all conversations.  What a node attends to is one interval for each
+conversation that laid out a stretch of its path.
 
 Template: ``### role: text</turn>`` and a line feed for each turn.  Inside roles and texts the control
 characters are escaped (``\\`` as ``\\b``, ``#`` as ``\\h``, ``<`` as ``\\l``, and in roles ``:`` as
@@ -19,17 +22,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrybook.plans.prefix import running_total
-from quarrybook.plans.skew import join_groups
+from quarrybook.plans.skew import join_groups, small_or_shuffled
 from quarrybook.plans.staging import Staging
 
 OPEN, BETWEEN, CLOSE = "### ", ": ", "</turn>\n"
 ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
-#: Hexadecimal digits of a turn's digest in a key.
+#: Hexadecimal digits of a digest.
 DIGITS = 32
 
 
@@ -55,36 +58,39 @@ def _token_rows(batches: Iterator[pa.RecordBatch], tokenizer_file: str) -> Itera
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "token_ids"])
 
 
+def _short_hash(text: Column) -> Column:
+    return F.substring(F.sha2(text, 256), 1, DIGITS)
+
+
 class ChatTrees:
     """The tables of formatted conversations.
 
-    ``conversations``: conv_id, leaf (key of the last turn's node), n_turns.
-    ``nodes``: tree, key, depth, text, loss_from, loss_length, n_tokens, start
+    ``conversations``: conv_id, leaf (node of the last turn), n_turns.
+    ``nodes``: path (id), tree, depth, text, loss_from, loss_length, n_tokens, start
     (offset in the tree's layout), position (of its first token), attends
     (intervals [from, to) of the ancestors in the layout; within a node
     attention is causal).
 
     Tokens are code points, or the ids of ``tokenizer_file`` (a file that every
-    executor can open) in a column token_ids.  Turns are ordered by turn, role and text, nulls first; null
-    roles and texts count as empty.  Rows of a null conv_id are one
-    conversation.  The loss mask covers the text of assistant turns, nothing else.
+    executor can open) in a column token_ids.  Turns are ordered by turn, role
+    and text, nulls first; null roles and texts count as empty.  Rows of a null
+    conv_id are one conversation.  The loss mask covers the text of assistant
+    turns, nothing else.  Equal conversations share all their nodes.
     """
 
     def __init__(self, rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tokenizer_file: str | None = None):
         self.staging = Staging(rows.sparkSession, "chat")
         turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         talks = rows.select(F.col(conv_col).alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-        talks = self.staging.table(talks.select("conv_id", F.transform("turns", self._segment).alias("segments")), "talks")
-        keyed = talks.withColumn("digests", F.transform("segments", lambda s: F.substring(F.sha2(s["text"], 256), 1, DIGITS)))
-        self.conversations = keyed.select("conv_id", F.array_join("digests", "").alias("leaf"), F.size("segments").cast("long").alias("n_turns"))
-        nodes = keyed.select("digests", F.posexplode("segments").alias("k", "s")).select(F.array_join(F.slice("digests", 1, F.col("k") + 1), "").alias("key"), (F.col("k") + 1).alias("depth"), "s.*")
-        nodes = nodes.dropDuplicates(["key"])
-        if tokenizer_file is None:
-            nodes = nodes.withColumn("n_tokens", F.length("text").cast("long"))
-        else:
-            schema = "key string, depth int, text string, loss_from int, loss_length int, token_ids array<int>"
-            nodes = nodes.mapInArrow(lambda b: _token_rows(b, tokenizer_file), schema).withColumn("n_tokens", F.size("token_ids").cast("long"))
-        self.nodes = self._laid_out(self.staging.table(nodes, "nodes"))
+        talks = talks.select("conv_id", F.transform("turns", self._segment).alias("segments")).withColumn("digests", F.transform("segments", lambda s: _short_hash(s["text"])))
+        nothing = F.array().cast("array<string>")
+        paths = F.aggregate("digests", nothing, lambda acc, d: F.concat(acc, F.array(_short_hash(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), d)))))
+        talks = self.staging.table(talks.withColumn("paths", paths).withColumn("leaf", F.element_at("paths", -1)).withColumn("_t", F.monotonically_increasing_id()), "talks")
+        self.conversations = self.staging.table(talks.select("conv_id", "leaf", F.size("digests").cast("long").alias("n_turns")), "conversations")
+        first = self.staging.table(talks.groupBy("leaf").agg(F.min("_t").alias("_t")).select("_t"), "first")
+        distinct = talks.join(small_or_shuffled(first, first.count()), "_t", "left_semi")
+        self._lay_out(distinct, tokenizer_file)
+        self.staging.drop("talks", "first")
 
     @staticmethod
     def _segment(turn: Column) -> Column:
@@ -93,42 +99,60 @@ class ChatTrees:
         is_loss = turn["role"] == "assistant"
         return F.struct(F.concat(head, text, F.lit(CLOSE)).alias("text"), F.when(is_loss, F.length(head)).otherwise(0).alias("loss_from"), F.when(is_loss, F.length(text)).otherwise(0).alias("loss_length"))
 
-    def _laid_out(self, nodes: DataFrame) -> DataFrame:
-        placed = self.staging.table(running_total(nodes.select("key", "depth", "n_tokens"), ["key"], {"at": "n_tokens"}, self.staging), "placed")
-        tree = F.substring("key", 1, DIGITS)
-        # a node's ancestors, itself included, are the prefixes of its key
-        chains = placed.select("key", "depth", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("d")).select("key", F.expr(f"substring(key, 1, d * {DIGITS})").alias("ancestor"), (F.col("d") == F.col("depth")).alias("own"))
-        chains = self.staging.table(chains, "chains")
-        uses = chains.groupBy("ancestor").agg(F.count("*").alias("uses"))
-        known = self.staging.table(uses.join(placed.select(F.col("key").alias("ancestor"), "at", "n_tokens"), "ancestor"), "ancestors")
-        beside = join_groups(chains, known, ["ancestor"], "uses", "inner")
-        span = F.struct(F.col("at").alias("from"), (F.col("at") + F.col("n_tokens")).alias("to"))
-        found = beside.groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("spans"), F.sum(F.when(~F.col("own"), F.col("n_tokens")).otherwise(0)).alias("position"))
-        root = F.element_at("spans", 1)["from"]
-        shifted = F.transform("spans", lambda s: F.struct((s["from"] - root).alias("from"), (s["to"] - root).alias("to")))
-        layout = found.select("key", "position", F.element_at(shifted, -1)["from"].alias("start"), F.slice(shifted, 1, F.size("spans") - 1).alias("attends"))
-        return self.staging.table(nodes.join(layout, "key").withColumn("tree", tree), "layout")
+    def _lay_out(self, distinct: DataFrame, tokenizer_file: str | None) -> None:
+        stage = self.staging.table
+        order = distinct.select("_t", "leaf", F.array_join("digests", "").alias("order"), F.lit(1).cast("long").alias("one"))
+        ranks = stage(running_total(order, ["order"], {"rank": "one"}, self.staging, "by-digests").select("_t", "leaf", "rank"), "ranks")
+        self.staging.drop("by-digests")
+        self.leaves = ranks.select("leaf", "rank")
+        steps = distinct.join(small_or_shuffled(ranks.select("_t", "rank"), ranks.count()), "_t")
+        steps = steps.select("rank", F.element_at("paths", 1).alias("tree"), F.posexplode(F.arrays_zip("paths", "segments")).alias("k", "z")).select("rank", "tree", (F.col("k") + 1).alias("depth"), F.col("z.paths").alias("path"), "z.segments.*")
+        if tokenizer_file is None:
+            steps = steps.withColumn("n_tokens", F.length("text").cast("long"))
+        else:
+            schema = "rank long, tree string, depth int, path string, text string, loss_from int, loss_length int, token_ids array<int>"
+            steps = steps.mapInArrow(lambda b: _token_rows(b, tokenizer_file), schema).withColumn("n_tokens", F.size("token_ids").cast("long"))
+        steps = stage(steps, "steps")
+        # one conversation's turns are few beside all; their running sum is its own window
+        before = Window.partitionBy("rank").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+        narrow = stage(steps.select("rank", "tree", "depth", "path", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("position")), "narrow")
+        self.uses = stage(narrow.groupBy("path").agg(F.min("rank").alias("owner"), F.count("*").alias("uses")), "uses")
+        owned_by = stage(join_groups(narrow, self.uses, ["path"], "uses", "inner").drop("uses"), "owned")
+        own = owned_by.where(F.col("rank") == F.col("owner"))
+        fresh = own.groupBy("rank").agg(F.sum("n_tokens").alias("fresh"), F.min("position").alias("first"))
+        bases = stage(running_total(fresh, ["rank"], {"offset": "fresh"}, self.staging, "by-rank").select("rank", (F.col("offset") - F.col("first")).alias("base")), "bases")
+        stretches = stage(owned_by.groupBy("rank", "owner").agg(F.min("position").alias("from"), F.max(F.col("position") + F.col("n_tokens")).alias("to")), "stretches")
+        met = stage(stretches.groupBy("owner").agg(F.count("*").alias("met")).join(bases.withColumnRenamed("rank", "owner"), "owner"), "met")
+        spans = join_groups(stretches, met, ["owner"], "met", "inner").groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("from", "to", "base"))).alias("spans"))
+        placed = own.join(bases, "rank").join(spans, "rank").withColumn("at", F.col("base") + F.col("position"))
+        placed = stage(placed.drop("owner", "base"), "placed")
+        trees = stage(placed.groupBy("tree").agg(F.min("at").alias("root"), F.count("*").alias("n_nodes")), "trees")
+        rooted = join_groups(placed, trees, ["tree"], "n_nodes", "inner")
+        earlier = F.filter("spans", lambda x: x["from"] < F.col("position"))
+        attends = F.transform(earlier, lambda x: F.struct((x["base"] + x["from"] - F.col("root")).alias("from"), (x["base"] + F.least(x["to"], F.col("position")) - F.col("root")).alias("to")))
+        layout = stage(rooted.select("rank", "depth", "path", "position", (F.col("at") - F.col("root")).alias("start"), attends.alias("attends")), "layout")
+        self.texts = stage(steps.join(own.select("rank", "depth"), ["rank", "depth"], "left_semi").drop("rank"), "texts")
+        self.nodes = self.texts.join(layout.drop("rank", "depth"), "path")
+        self.steps = stage(owned_by.select("rank", "depth", "path"), "paths")
+        self.staging.drop("steps", "narrow", "owned", "by-rank", "stretches", "met", "placed", "trees", "bases")
 
     def read_back(self) -> DataFrame:
         """conv_id, n_turns, formatted, turns (role, text), loss_text: from the nodes alone."""
-        leaves = self.staging.table(self.conversations.groupBy("leaf").agg(F.count("*").alias("talks")), "leaves")
-        depth = (F.length("leaf") / DIGITS).cast("int")
-        chains = leaves.select("leaf", F.explode(F.sequence(F.lit(1), depth)).alias("d")).select("leaf", F.expr(f"substring(leaf, 1, d * {DIGITS})").alias("key"))
-        chains = self.staging.table(chains, "leaf-chains")
-        uses = chains.groupBy("key").agg(F.count("*").alias("uses"))
-        known = self.staging.table(uses.join(self.nodes.select("key", "depth", "text", "loss_from", "loss_length"), "key"), "leaf-nodes")
-        parts = join_groups(chains, known, ["key"], "uses", "inner").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "text", "loss_from", "loss_length"))).alias("parts"))
+        stage = self.staging.table
+        known = stage(self.texts.select("path", "text", "loss_from", "loss_length").join(self.uses.select("path", "uses"), "path"), "known")
+        parts = join_groups(self.steps, known, ["path"], "uses", "inner").groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("depth", "text", "loss_from", "loss_length"))).alias("parts"))
         formatted = F.array_join(F.transform("parts", lambda p: p["text"]), "")
-        loss = unescape(F.array_join(F.transform("parts", lambda p: F.substr(p["text"], p["loss_from"] + 1, p["loss_length"])), ""))
-        read = parts.select("leaf", formatted.alias("formatted"), loss.alias("loss_text"))
+        loss = F.array_join(F.transform("parts", lambda p: F.substr(p["text"], p["loss_from"] + 1, p["loss_length"])), "")
+        talks = self.conversations.groupBy("leaf").agg(F.count("*").alias("talks"))
+        read = stage(parts.select("rank", formatted.alias("formatted"), loss.alias("masked")).join(self.leaves, "rank").join(talks, "leaf").drop("rank"), "read")
+        self.staging.drop("known")
         marked = F.split(F.col("formatted"), CLOSE)
         bodies = F.slice(marked, 1, F.size(marked) - 1)
 
-        def parsed(body):
+        def parsed(body: Column) -> Column:
             rest = F.substr(body, F.lit(len(OPEN) + 1))
             role = F.substring_index(rest, BETWEEN, 1)
             return F.struct(unescape(role).alias("role"), unescape(F.substr(rest, F.length(role) + len(BETWEEN) + 1)).alias("text"))
 
-        read = read.withColumn("turns", F.transform(bodies, parsed))
-        read = self.staging.table(read.join(leaves, "leaf"), "read")
-        return join_groups(self.conversations, read, ["leaf"], "talks", "inner").drop("leaf", "talks")
+        found = join_groups(self.conversations, read, ["leaf"], "talks", "inner")
+        return found.select("conv_id", "n_turns", "formatted", F.transform(bodies, parsed).alias("turns"), unescape(F.col("masked")).alias("loss_text"))

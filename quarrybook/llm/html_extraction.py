@@ -45,10 +45,15 @@ def block_tokens(block: Block) -> list[int]:
     return [_hash("word", block.path, w) for w in words]
 
 
+def mark_token(name: str) -> int:
+    return _hash("mark", name)
+
+
 def page_tokens(page: str) -> list[int]:
-    """Hashes of the page's template tokens: element paths, then the tokens of its blocks."""
+    """Hashes of the page's template tokens: names that may mark text beside the main one, element paths, then the tokens of its blocks."""
     blocks, paths = parse(page)
-    found = [_hash("tag", p) for p in paths]
+    found = [mark_token(n) for n in sorted(frozenset().union(*(b.marks for b in blocks)))]
+    found.extend(_hash("tag", p) for p in paths)
     for block in blocks:
         found.extend(block_tokens(block))
     return found
@@ -121,22 +126,38 @@ def valid_tokens(present: list[int], tokens: list[int], classes: list[int]) -> s
     return accepted
 
 
+def joined(blocks: list[Block], chosen: list[int]) -> str:
+    """The chosen blocks' text; neighbours that no white space parts are run together."""
+    found = []
+    for at, k in enumerate(chosen):
+        found.append("" if not at or (blocks[k].tight and chosen[at - 1] == k - 1) else " ")
+        found.append(blocks[k].text)
+    return "".join(found)
+
+
 def main_text(page: str, tokens: list[int], classes: list[int]) -> str:
     """The main text of one page under its host's template.
 
-    Blocks that the template does not fix are slots.  A line inside the article
+    Text goes by an element's name only if the template has that name (without
+    a template the name alone decides), and not if no text were left.  Blocks that the template does not fix are slots.  A line inside the article
     is a slot even where it stands on most pages: authors repeat lines, too.
     """
     blocks, paths = parse(page)
+    known = set(tokens)
     per_block = [block_tokens(b) for b in blocks]
     present = [_hash("tag", p) for p in paths] + [t for ts in per_block for t in ts]
+    names = frozenset().union(*(b.marks for b in blocks))
+    counted = {n for n in names if not known or mark_token(n) in known}
+    present = [mark_token(n) for n in sorted(names)] + present
     fixed = valid_tokens(present, tokens, classes)
-    free = [b.inside or 2 * sum(t in fixed for t in ts) <= len(ts) for b, ts in zip(blocks, per_block, strict=True)]
-    wanted = [(b, is_free) for b, is_free in zip(blocks, free, strict=True) if not b.aside]
-    if any(b.inside for b, _ in wanted):
-        return " ".join(b.text for b, is_free in wanted if b.inside and is_free)
-    slots = [b.text for b, is_free in wanted if is_free]
-    return " ".join(slots or [b.text for b, _ in wanted])  # pages that are all alike have no slots
+    places = [k for k, b in enumerate(blocks) if not b.aside]
+    inside = [k for k in places if blocks[k].inside]
+    places = inside or places
+    places = [k for k in places if not blocks[k].marks & counted] or places
+    if inside:
+        return joined(blocks, places)
+    slots = [k for k in places if 2 * sum(t in fixed for t in per_block[k]) <= len(per_block[k])]
+    return joined(blocks, slots or places)  # pages that are all alike have no slots
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

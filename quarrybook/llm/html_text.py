@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 #: Elements without content, elements whose content is not markup, inline elements, and elements that never hold main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -12,7 +12,7 @@ RAW = frozenset("script style noscript template iframe textarea title svg math o
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ASIDE = frozenset("head nav footer aside form script style noscript template iframe textarea title svg math object button select option dialog menu".split())
 CONTAINERS = frozenset(("article", "main"))
-#: Words in a class, id or role that mark what is not main text.
+#: Names that mark, as a whole class, id or role, what is not main text.
 MARKS = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended "
@@ -21,20 +21,22 @@ MARKS = frozenset(
 
 _PIECES = re.compile(r"<!--.*?(?:-->|\Z)|<[A-Za-z/!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?\s*([A-Za-z][A-Za-z0-9:-]*)")
-_HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_HINT = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: An open paragraph ends where one of these starts.
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: These end an open element of the same kind, within the given bounds.
 _SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
     path: str
     aside: bool
     inside: bool
+    names: frozenset[str] = frozenset()
+    #: This element and those around it that have names.
+    named: tuple[Element, ...] = ()
 
 
 @dataclass
@@ -43,34 +45,47 @@ class Block:
     path: str
     aside: bool
     inside: bool
+    #: Whether it follows the block before it without white space.
+    tight: bool = False
+    named: tuple[Element, ...] = field(default=(), repr=False)
+
+    @property
+    def marks(self) -> frozenset[str]:
+        """Names of the elements around it that may mean that it is not main text."""
+        return frozenset().union(*(e.names for e in self.named))
 
 
-def marked(tag: str) -> bool:
-    """Whether an element's class, id or role says that it is not main text."""
-    for found in _HINT.findall(tag):
-        if any(p.lower() in MARKS for p in _PARTS.findall("".join(found))):
-            return True
-    return False
+def marks_of(tag: str) -> frozenset[str]:
+    """Those of an element's classes, id and role that are in ``MARKS``."""
+    return frozenset(n for found in _HINT.findall(tag) for n in "".join(found).lower().split() if n in MARKS)
 
 
 def parse(page: str) -> tuple[list[Block], list[str]]:
     """(text blocks in page order, paths of the opened elements in page order).
 
     Character references are decoded and white space is single; a block ends
-    where an element that is not inline starts or ends.
+    where an element that is not inline starts or ends.  An article or main
+    element and all around it have no marks; an article in another one may.
     """
     blocks: list[Block] = []
     paths: list[str] = []
     stack = [Element("", "", False, False)]
     held: list[str] = []
+    tight = False
 
-    def flush() -> None:
+    def flush(inline: bool = False) -> None:
+        nonlocal tight
         if held:
-            text = " ".join(html.unescape("".join(held)).split())
+            raw = html.unescape("".join(held))
+            text = " ".join(raw.split())
             held.clear()
             if text:
                 top = stack[-1]
-                blocks.append(Block(text, top.path, top.aside, top.inside))
+                blocks.append(Block(text, top.path, top.aside, top.inside, tight and not raw[0].isspace(), top.named))
+                tight = not raw[-1].isspace()
+            elif raw:
+                tight = False
+        tight = tight and inline
 
     def close(tag: str, bounds: tuple[str, ...] = ()) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -118,10 +133,18 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
             continue
         top = stack[-1]
         contained = top.inside or tag in CONTAINERS
-        aside = top.aside or tag in ASIDE or (tag == "header" and not top.inside) or (tag not in ("html", "body") and marked(piece))
-        if aside and not top.aside:
-            flush()
-        stack.append(Element(tag, f"{top.path}/{tag}", aside, contained))
+        aside = top.aside or tag in ASIDE or (tag == "header" and not top.inside)
+        names = frozenset()
+        if tag in CONTAINERS and not (tag == "article" and any(e.tag == "article" for e in stack)):
+            for e in top.named:
+                e.names = frozenset()
+        elif tag not in ("html", "body"):
+            names = marks_of(piece)
+        if tag in INLINE and (names or (aside and not top.aside)):
+            flush(inline=True)
+        stack.append(Element(tag, f"{top.path}/{tag}", aside, contained, names, top.named))
+        if names:
+            stack[-1].named = (*top.named, stack[-1])
         if tag not in INLINE:
             paths.append(stack[-1].path)
         if piece.endswith("/>") and tag in ("svg", "math"):
@@ -132,6 +155,6 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
 
 
 def _leave_inline(stack: list[Element], k: int, flush) -> None:
-    if stack[k].aside and not stack[k - 1].aside:
-        flush()
+    if stack[k].named != stack[k - 1].named or (stack[k].aside and not stack[k - 1].aside):
+        flush(inline=True)
     del stack[k:]

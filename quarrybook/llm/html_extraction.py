@@ -8,7 +8,9 @@ Large classes on most pages of a host are the host's template.  On each page a
 class counts only if its tokens stand in the template's order (outer classes
 first, inner ones between two neighbours of an outer one).  What is left
 are the slots; the main text is in those slots that lie in the article, or, on
-pages that mark no article, outside of menus, forms and the like.
+pages that mark no article, outside of menus, forms and the like.  In an article
+a block is the template's only if all its tokens are; headings are not, nor is
+an article of which the template has half of the words.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ SHORT = 12
 CLASS_SIZE = 3
 LEAST_PAGES = 3
 SHARE = 0.6
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def _hash(*parts: str) -> int:
@@ -135,12 +138,20 @@ def joined(blocks: list[Block], chosen: list[int]) -> str:
     return "".join(found)
 
 
+def _words_of(block: Block, tokens: list[int], fixed: set[int]) -> tuple[int, int]:
+    """(words that the template fixes, all words) of a block."""
+    n = block.text.count(" ") + 1
+    share = sum(t in fixed for t in tokens)
+    return (share if len(tokens) == n else share * n), n
+
+
 def main_text(page: str, tokens: list[int], classes: list[int]) -> str:
     """The main text of one page under its host's template.
 
     Text goes by an element's name only if the template has that name (without
-    a template the name alone decides), and not if no text were left.  Blocks that the template does not fix are slots.  A line inside the article
-    is a slot even where it stands on most pages: authors repeat lines, too.
+    a template the name alone decides), and not if no text were left.  Blocks that the template does not fix are slots.
+    Authors repeat lines, too, so in an article a block is fixed only with all its tokens; its headings are always slots, and
+    so are all blocks of an article of which the template has half the words or more.
     """
     blocks, paths = parse(page)
     known = set(tokens)
@@ -155,7 +166,9 @@ def main_text(page: str, tokens: list[int], classes: list[int]) -> str:
     places = inside or places
     places = [k for k in places if not blocks[k].marks & counted] or places
     if inside:
-        return joined(blocks, places)
+        slots = [k for k in places if not all(t in fixed for t in per_block[k]) or not HEADINGS.isdisjoint(blocks[k].path.split("/"))]
+        fixed_words, words = (sum(n) for n in zip(*(_words_of(blocks[k], per_block[k], fixed) for k in places), strict=True))
+        return joined(blocks, slots if 2 * fixed_words < words else places)
     slots = [k for k in places if 2 * sum(t in fixed for t in per_block[k]) <= len(per_block[k])]
     return joined(blocks, slots or places)  # pages that are all alike have no slots
 

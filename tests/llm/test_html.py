@@ -33,3 +33,17 @@ def test_template_confirms_names(spark):
     assert html_extraction.main_text("<article><p>f<span class=ad>oo</span>l <i class=ad>bar</i> !</article>", [1], [1]) == "fool bar !"
     nested = "<article><p>Main text<article class=comment><p>me too</article></article>"
     assert html_extraction.main_text(nested, [], []) == "Main text"
+
+
+def test_template_lines_inside_articles(spark):
+    notice = "Read our other stories and tell all your friends about them today because we depend on you"
+    repeated = "The moon is out"
+    article = "<article><h2>Our view</h2><div><span>Share this with friends</span></div><p>{t}<p>{m}</p><p>" + notice + "</p></article>"
+    texts = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(8)]
+    pages = [("h.example", article.format(t=t, m=repeated if k < 3 else f"Sun {k}")) for k, t in enumerate(texts)]
+    pages += [("same.example", f"<article><h1>Poem</h1><p>{repeated}<p>{notice}<p>Verse {k}</article>") for k in range(5)]
+    pages += [("few.example", article.format(t=texts[k], m="x")) for k in range(2)]
+    got = extract(spark, pages)
+    assert got[:8] == [f"Our view {t} {repeated if k < 3 else f'Sun {k}'}" for k, t in enumerate(texts)]
+    assert got[8:13] == [f"Poem {repeated} {notice} Verse {k}" for k in range(5)]
+    assert all("Share this with friends" in g and notice in g for g in got[13:])

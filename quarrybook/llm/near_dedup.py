@@ -15,7 +15,8 @@
    Then all pairs across components among the documents of those lists that still hold several:
    they meet under their ``MEET`` least values (similar sets have none in common once in 4^12
    times), a pair only under the first one that it shares, and the join lets a pair through
-   only if samples of ``SAMPLE`` values overlap enough.  So no link between components is lost.
+   only if samples of ``SAMPLE`` values overlap enough; sets of up to ``SAMPLE`` are compared whole, with allowance
+   for every value that falls together with another.  So no link between components is lost.
 4. Pairs whose union sketch estimates too little are dropped (7 standard errors
    below the threshold); the others are confirmed on full sets.
 """
@@ -39,7 +40,8 @@ SHARED = 46
 PERCENT = 75
 #: For pairs across components: least values under which two documents meet, and the size of the sample that is compared where they do.
 MEET, SAMPLE = 12, 256
-#: Values of a sample are cut to 16 bits; so many may fall together.
+#: Values of a sample are cut to 15 bits.  Of common ones no more can be lost than fall together within either
+#: sample; so many are always allowed for.
 SLACK = 4
 
 
@@ -91,15 +93,15 @@ class NearDuplicates:
         mixed = self.staging.table(mixed, "mixed")
         open_docs = labelled.join(small_or_shuffled(mixed, mixed.count()), "value", "left_semi").select(F.col("doc").alias("doc_id"), "comp").distinct()
         open_docs = self.staging.table(open_docs, "open")
-        schema = T.StructType([T.StructField("doc_id", self.id_type), T.StructField("n", T.LongType()), T.StructField("mins", T.ArrayType(T.LongType())), T.StructField("sample", T.ArrayType(T.ShortType()))])
+        schema = T.StructType([T.StructField("doc_id", self.id_type), T.StructField("n", T.LongType()), T.StructField("mins", T.ArrayType(T.LongType())), T.StructField("sample", T.ArrayType(T.ShortType())), T.StructField("spare", T.IntegerType())])
         n_open = open_docs.count()
         texts = self.texts.join(small_or_shuffled(open_docs.select("doc_id"), n_open), "doc_id", "left_semi")
         samples = texts.mapInArrow(partial(sample_rows, keys=MEET, k=SAMPLE), schema).join(small_or_shuffled(open_docs, n_open), "doc_id")
-        left = self.staging.table(samples.select("doc_id", "comp", "n", "mins", "sample", F.explode("mins").alias("value")), "left")
-        right = left.select(F.col("value").alias("met"), *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "comp", "n", "mins", "sample")])
+        left = self.staging.table(samples.select("doc_id", "comp", "n", "mins", "sample", "spare", F.explode("mins").alias("value")), "left")
+        right = left.select(F.col("value").alias("met"), *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "comp", "n", "mins", "sample", "spare")])
         once = F.col("value") == F.array_min(F.array_intersect("mins", "mins_b"))
         larger, smaller = F.greatest("n", "n_b"), F.least("n", "n_b")
-        common = F.size(F.array_intersect("sample", "sample_b")) + SLACK
+        common = F.size(F.array_intersect("sample", "sample_b")) + F.greatest(F.lit(SLACK), F.least("spare", "spare_b"))
         # of the larger set's sample, so large a share lies in the other set if the two are just similar enough
         share = F.lit(self.percent / (100 + self.percent)) * (1 + smaller / larger)
         spread = 7 * F.sqrt(SAMPLE * share * F.greatest(1 - share, F.lit(0.0)))

@@ -143,12 +143,14 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample_rows(batches: Iterator[pa.RecordBatch], keys: int, k: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n, mins, sample): set size, the least hashes, and more of them cut to 16 bits."""
+    """(doc_id, text) to (doc_id, n, mins, sample, spare): set size, the least hashes, more of them cut to 15 bits, and how many of those repeat another."""
     for batch in batches:
         for start, sets in _grouped(batch):
             n = pa.array([len(s) for s in sets], pa.int64())
-            short = _list_array([s[:k] & 0x7FFF for s in sets]).cast(pa.list_(pa.int16()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(sets)), n, _list_array([s[:keys] for s in sets]), short], ["doc_id", "n", "mins", "sample"])
+            cut = [s[:k] & 0x7FFF for s in sets]
+            spare = pa.array([len(c) - len(np.unique(c)) for c in cut], pa.int32())
+            short = _list_array(cut).cast(pa.list_(pa.int16()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(sets)), n, _list_array([s[:keys] for s in sets]), short, spare], ["doc_id", "n", "mins", "sample", "spare"])
 
 
 def sketch_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:

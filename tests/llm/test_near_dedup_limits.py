@@ -1,0 +1,27 @@
+"""Pairs at the threshold in the second round."""
+
+import pyarrow as pa
+
+from quarrybook.llm import near_dedup
+from quarrybook.llm.shingles import shingle_sets
+
+
+def test_pairs_at_the_threshold_whose_values_fall_together(spark):
+    """216 common of 252 shingles each are exactly 75 %; kept are those pairs of which most values fall together when cut."""
+    pairs = []
+    for i in range(6000):
+        shared = " ".join(f"s{i}w{k}" for k in range(220))
+        pairs.append([shared + "".join(f" {side}{i}w{k}" for k in range(36)) for side in "ab"])
+    sets = list(shingle_sets(pa.array([t for p in pairs for t in p])))
+    rows = []
+    for i, texts in enumerate(pairs):
+        a, b = sets[2 * i], sets[2 * i + 1]
+        assert len(a) == len(b) == 252 and len({*a} & {*b}) == 216
+        if len({*(a & 0x7FFF)} & {*(b & 0x7FFF)}) + 4 < 216:
+            rows += [(2 * i, texts[0]), (2 * i + 1, texts[1])]
+    assert rows
+    search = near_dedup.NearDuplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    index = spark.createDataFrame([(i // 2, i) for i, _ in rows], "value long, doc long")
+    none = spark.createDataFrame([], "node long, component long"), spark.createDataFrame([], "a long, b long")
+    found = search.across(index, *none).collect()
+    assert sorted((r["a"], r["b"]) for r in found) == [(i, i + 1) for i, _ in rows[::2]]

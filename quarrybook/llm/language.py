@@ -3,7 +3,8 @@
 Each learned language is a distribution over hashed byte trigrams of lower-cased
 words.  A document's words are drawn from a mixture of languages: EM estimates
 the proportions, for growing sets of languages, and the set with the best
-penalised likelihood is chosen.
+penalised likelihood is chosen.  Sets grow until a bound on the likelihood of any
+mixture shows that no larger one can be better.
 """
 
 from __future__ import annotations
@@ -24,9 +25,8 @@ MOST_LANGUAGES = 1000
 SMOOTHING = 0.5
 #: Bytes of text that are scored at once with few languages.
 CHUNK_BYTES = 1 << 18
-#: EM steps for each set of languages, and the largest set that is compared.
+#: EM steps for each set of languages.
 STEPS = 8
-MOST_MIXED = 3
 #: Log-likelihood that a further language must bring, times the log of the number of words.
 PENALTY = 6.0
 UNKNOWN = "und"
@@ -119,46 +119,85 @@ def _word_scores(texts: list[bytes], logs: np.ndarray) -> tuple[np.ndarray, np.n
     return words, np.diff(np.searchsorted(at[head], np.append(starts, len(octets))))
 
 
-def _long_scores(text: bytes, logs: np.ndarray, size: int) -> np.ndarray:
-    """The same for one long text; so many words count as one that no more than a few hundred thousand are held."""
-    unit, found = 1 + len(text) // (64 * CHUNK_BYTES), []
-    for piece in _pieces(text, size):
-        words = _word_scores([piece], logs)[0]
-        found.append(np.add.reduceat(words, np.arange(0, words.shape[1], unit), axis=1) if words.shape[1] else words)
-    return np.concatenate(found, axis=1)
-
-
-def _em(weight: np.ndarray, owner: np.ndarray, first: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(proportions, log-likelihood) of each document; weight: languages x words, at most 1."""
-    counts = np.diff(np.append(first, len(owner)))
+def _distinct(words: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct columns and how often each occurs."""
+    rows = np.ascontiguousarray(words.T)
+    _, at, inverse = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return words[:, at], np.bincount(inverse.ravel(), weights=times, minlength=len(at)).astype(np.int64)
+
+
+def _long_scores(text: bytes, logs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(languages x distinct words log-likelihoods, how often each occurs) of one long text, piece by piece."""
+    words, times = np.zeros((len(logs), 0), np.float32), np.zeros(0, np.int64)
+    held, n_held = [], 0
+    pieces = _pieces(text, size)
+    while True:
+        piece = next(pieces, None)
+        if piece is not None:
+            scores = _word_scores([piece], logs)[0]
+            if scores.shape[1]:
+                held.append(_distinct(scores, np.ones(scores.shape[1], np.int64)))
+                n_held += held[-1][0].shape[1]
+        if held and (piece is None or n_held > max(1 << 16, words.shape[1])):
+            words, times = _distinct(np.concatenate([words, *(w for w, _ in held)], axis=1), np.concatenate([times, *(t for _, t in held)]))
+            held, n_held = [], 0
+        if piece is None:
+            return words, times
+
+
+def _em(weight: np.ndarray, owner: np.ndarray, first: np.ndarray, counts: np.ndarray, times: np.ndarray | None, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions, log-likelihood) of each document; weight: languages x words, at most 1; each word counts ``times``."""
     for _ in range(STEPS):
         joint = shares[:, owner] * weight
         joint /= np.maximum(joint.sum(axis=0), 1e-30)
+        if times is not None:
+            joint = joint * times
         shares = np.add.reduceat(joint, first, axis=1) / counts
     likely = np.log(np.maximum((shares[:, owner] * weight).sum(axis=0), 1e-30))
-    return shares, np.add.reduceat(likely, first)
+    return shares, np.add.reduceat(likely if times is None else likely * times, first)
+
 
+def _most_likely(weight: np.ndarray, owner: np.ndarray, first: np.ndarray, counts: np.ndarray, times: np.ndarray | None, shares: np.ndarray, likely: np.ndarray) -> np.ndarray:
+    """A log-likelihood that no mixture exceeds: the function is concave, so its slope at ``shares`` bounds it."""
+    slope = weight / np.maximum((shares[:, owner] * weight).sum(axis=0), 1e-30)
+    steepest = np.add.reduceat(slope if times is None else slope * times, first, axis=1).max(axis=0)
+    return np.minimum(0.0, likely + steepest - counts + 1e-3 * (1 + np.abs(likely)))  # the last part is for rounding
 
-def mixtures(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For documents of at least one word each: chosen proportions, proportions over all languages, set size."""
+
+def mixtures(words: np.ndarray, counts: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For documents of at least one word each: chosen proportions, proportions over all languages, set size.
+
+    ``counts``: columns of ``words`` for each document; each counts as one word or, if given, as ``times`` words.
+    """
     n_lang, n_docs = len(words), len(counts)
-    owner = np.repeat(np.arange(n_docs), counts)
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    spans = counts
+    owner = np.repeat(np.arange(n_docs), spans)
+    first = np.concatenate([[0], np.cumsum(spans)[:-1]])
+    if times is not None:
+        counts = np.add.reduceat(times, first)
     top = words.max(axis=0)
     weight = np.exp(words - top)
-    alone = np.add.reduceat(words - top, first, axis=1)
-    everything, _ = _em(weight, owner, first, np.full((n_lang, n_docs), 1 / n_lang, np.float32))
+    alone = np.add.reduceat(words - top if times is None else (words - top) * times, first, axis=1)
+    everything, likely = _em(weight, owner, first, counts, times, np.full((n_lang, n_docs), 1 / n_lang, np.float32))
+    bound = _most_likely(weight, owner, first, counts, times, everything, likely)
     best = np.zeros((n_lang, n_docs), np.float32)
     best[alone.argmax(axis=0), np.arange(n_docs)] = 1
     best_score, sizes = alone.max(axis=0).astype(float), np.ones(n_docs, np.int64)
     order = np.argsort(-everything, axis=0, kind="stable")
-    for m in range(2, min(MOST_MIXED, n_lang) + 1):
-        mask = np.zeros((n_lang, n_docs), np.float32)
-        np.put_along_axis(mask, order[:m], 1 / m, axis=0)
-        shares, likely = _em(weight, owner, first, mask)
-        score = likely - PENALTY * (m - 1) * np.log1p(counts)
-        better = score > best_score
-        best[:, better], best_score[better], sizes[better] = shares[:, better], score[better], m
+    for m in range(2, n_lang + 1):
+        # larger sets cannot be better where the bound less the penalty is not
+        still = np.flatnonzero(best_score < bound - PENALTY * (m - 1) * np.log1p(counts))
+        if not len(still):
+            break
+        taken = np.isin(owner, still)
+        mask = np.zeros((n_lang, len(still)), np.float32)
+        np.put_along_axis(mask, order[:m, still], 1 / m, axis=0)
+        begin = np.concatenate([[0], np.cumsum(spans[still])[:-1]])
+        shares, likely = _em(weight[:, taken], np.repeat(np.arange(len(still)), spans[still]), begin, counts[still], None if times is None else times[taken], mask)
+        score = likely - PENALTY * (m - 1) * np.log1p(counts[still])
+        better = score > best_score[still]
+        chosen = still[better]
+        best[:, chosen], best_score[chosen], sizes[chosen] = shares[:, better], score[better], m
     return best, everything, sizes
 
 
@@ -167,12 +206,12 @@ def _predict_rows(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Recor
     size = max(1 << 14, min(CHUNK_BYTES, (CHUNK_BYTES * 8) // max(1, len(languages))))
     names = np.array([*languages, UNKNOWN], dtype=object)
 
-    def answer(start: int, n: int, known: np.ndarray, words: np.ndarray, counts: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+    def answer(start: int, n: int, known: np.ndarray, words: np.ndarray, counts: np.ndarray, batch: pa.RecordBatch, times: np.ndarray | None = None) -> pa.RecordBatch:
         place, score = np.full(n, len(languages)), np.zeros(n)
         sets: list[list[str]] = [[] for _ in range(n)]
         shares: list[list[float]] = [[] for _ in range(n)]
         if languages and (full := np.flatnonzero(counts)).size:
-            chosen, everything, _ = mixtures(words, counts[full])
+            chosen, everything, _ = mixtures(words, counts[full], times)
             top = chosen.argmax(axis=0)
             for k, i in enumerate(full):
                 if known[i]:
@@ -193,12 +232,13 @@ def _predict_rows(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Recor
             while to < len(texts) and (to == at or held + len(texts[to]) <= size):
                 held += len(texts[to])
                 to += 1
-            if held > size:  # one long text
-                words = _long_scores(texts[at], logs, size)
+            times = None
+            if held > size and languages:  # one long text
+                words, times = _long_scores(texts[at], logs, size)
                 counts = np.array([words.shape[1]])
             else:
                 words, counts = _word_scores(texts[at:to], logs)
-            yield answer(at, to - at, known[at:to], words, counts, batch)
+            yield answer(at, to - at, known[at:to], words, counts, batch, times)
             at = to
 
 

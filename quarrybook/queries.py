@@ -124,7 +124,7 @@ def term_stats(spark, sf_dir):
     return counted.withColumn("idf", F.round(F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), 9))
 
 
-@query(f"WITH {S.RECORDS} SELECT coalesce(CASE WHEN title = '' THEN 'no_title' WHEN abstract = '' THEN 'no_abstract' END, 'accepted') AS reason, count(*) AS n FROM recs GROUP BY 1")
+@query(f"WITH {S.RECORDS} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM recs GROUP BY 1")
 def exclusion_counts(spark, sf_dir):
     judged = papers.records(read_table(spark, sf_dir, "documents")).select(papers.exclusion_reason(F.col("title"), F.col("abstract")).alias("r"))
     return judged.groupBy(F.coalesce("r", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
@@ -133,8 +133,8 @@ def exclusion_counts(spark, sf_dir):
 @query(f"""WITH {S.RECORDS}, p AS (SELECT length(abstract) AS a, CAST(('0x' || substr(sha256(pmid || '|' || content_hash), 1, 14)) AS BIGINT) AS h FROM papers)
 SELECT (SELECT count(*) FROM recs) AS requested, count(*) AS papers, min(a) AS abstract_min, CAST(round_even(quantile_cont(a, 0.5), 0) AS BIGINT) AS abstract_p50,
   CAST(round_even(quantile_cont(a, 0.95), 0) AS BIGINT) AS abstract_p95, max(a) AS abstract_max, CAST(sum(h) AS VARCHAR) AS collection_sum,
-  (SELECT count(*) FROM recs WHERE title = '' OR abstract = '') AS excluded, CAST(0 AS BIGINT) AS not_returned, (SELECT count(*) FROM recs WHERE title = '') AS no_title,
-  (SELECT count(*) FROM recs WHERE title <> '' AND abstract = '') AS no_abstract, CAST(0 AS BIGINT) AS retracted, CAST(0 AS BIGINT) AS duplicate FROM p""")
+  (SELECT count(reason) FROM recs) AS excluded, CAST(0 AS BIGINT) AS not_returned, (SELECT count(*) FROM recs WHERE reason = 'no_title') AS no_title,
+  (SELECT count(*) FROM recs WHERE reason = 'no_abstract') AS no_abstract, (SELECT count(*) FROM recs WHERE reason = 'title_too_long') AS title_too_long, CAST(0 AS BIGINT) AS retracted, CAST(0 AS BIGINT) AS duplicate FROM p""")
 def snapshot_manifest(spark, sf_dir):
     rows = papers.records(read_table(spark, sf_dir, "documents"))
     kept, dropped = papers.split_records(rows)
@@ -456,7 +456,7 @@ def collection_expand(spark, sf_dir):
     return curation.expand_with_neighbours(near.select("pmid").distinct(), near)
 
 
-@query(f"""WITH {S.RECORDS}, {S.QRELS.replace('FROM papers)', 'FROM recs)')}, m AS (SELECT q.query_id, q.pmid, CASE WHEN p.pmid IS NOT NULL THEN 'in_collection' WHEN r.title = '' THEN 'no_title' WHEN r.abstract = '' THEN 'no_abstract' ELSE 'not_requested' END AS state
+@query(f"""WITH {S.RECORDS}, {S.QRELS.replace('FROM papers)', 'FROM recs)')}, m AS (SELECT q.query_id, q.pmid, CASE WHEN p.pmid IS NOT NULL THEN 'in_collection' ELSE coalesce(r.reason, 'not_requested') END AS state
   FROM qrels q LEFT JOIN papers p ON p.pmid = q.pmid LEFT JOIN recs r ON r.pmid = q.pmid)
 SELECT query_id, count(*) AS reference, count(CASE WHEN state = 'in_collection' THEN 1 END) AS in_collection, count(CASE WHEN state <> 'in_collection' THEN 1 END) AS missing FROM m GROUP BY query_id""")
 def coverage_report(spark, sf_dir):

@@ -57,7 +57,7 @@ def manifest(papers: DataFrame, exclusions: DataFrame, requested: DataFrame) ->
     per_paper = papers.select(F.length("title").alias("t"), F.length("abstract").alias("a"), F.conv(F.substring(F.sha2(F.concat_ws("|", "pmid", "content_hash"), 256), 1, 14), 16, 10).cast("decimal(38,0)").alias("h"))
     spread = F.percentile(F.col("a"), F.array(F.lit(0.5), F.lit(0.95)))
     counted = per_paper.agg(F.count("*").alias("papers"), F.min("a").alias("abstract_min"), F.bround(spread[0]).cast("long").alias("abstract_p50"), F.bround(spread[1]).cast("long").alias("abstract_p95"), F.max("a").alias("abstract_max"), F.sum("h").alias("collection_sum"))
-    reasons = exclusions.agg(F.count("*").alias("excluded"), *[F.count_if(F.col("reason") == r).alias(r) for r in ("not_returned", "no_title", "no_abstract", "retracted", "duplicate")])
+    reasons = exclusions.agg(F.count("*").alias("excluded"), *[F.count_if(F.col("reason") == r).alias(r) for r in ("not_returned", "no_title", "no_abstract", "title_too_long", "retracted", "duplicate")])
     asked = requested.agg(F.count_distinct("pmid").alias("requested"))
     return asked.crossJoin(F.broadcast(counted)).crossJoin(F.broadcast(reasons))  # one row each
 

@@ -34,10 +34,11 @@ def answer(e: str) -> str:
 
 
 RECORDS = f"""recs AS (
-  SELECT CAST(doc_id + 1 AS VARCHAR) AS pmid, {squash("split_part(text, chr(10), 1)")} AS title,
-         {squash("CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END")} AS abstract, source AS journal
-  FROM documents
-), papers AS MATERIALIZED (SELECT *, sha256(title || chr(10) || abstract) AS content_hash FROM recs WHERE title <> '' AND abstract <> '')"""
+  SELECT *, CASE WHEN title = '' THEN 'no_title' WHEN abstract = '' THEN 'no_abstract' WHEN length(title) + 1 + length(abstract) > 6000 AND length(title) > 5799 THEN 'title_too_long' END AS reason
+  FROM (SELECT CAST(doc_id + 1 AS VARCHAR) AS pmid, {squash("nfc_normalize(split_part(text, chr(10), 1))")} AS title,
+         {squash("nfc_normalize(CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END)")} AS abstract, source AS journal
+        FROM documents)
+), papers AS MATERIALIZED (SELECT * EXCLUDE (reason), sha256(title || chr(10) || abstract) AS content_hash FROM recs WHERE reason IS NULL)"""
 
 UNITS = f"""{RECORDS}, lengthy AS (
   SELECT pmid, title, abstract, 5999 - length(title) AS budget FROM papers WHERE length(title) + 1 + length(abstract) > 6000

@@ -36,8 +36,11 @@ def nfkc_casefold(text: pd.Series) -> pd.Series:
 
 
 def squash(text: Column) -> Column:
-    """White space runs to one blank, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    """White space runs to one blank, none at the ends.
+
+    Other white space becomes blanks first (printable ASCII is told apart by one comparison), then only runs of blanks are matched.
+    """
+    return F.trim(F.regexp_replace(F.regexp_replace(text, f"[[^ -~]&&[{SPACE}]]+", " "), "  +", " "))
 
 
 def normalize_text(text: Column) -> Column:
@@ -63,8 +66,10 @@ def tokenize(text: Column) -> Column:
     """
 
     def terms(word: Column) -> Column:
-        parts = F.filter(F.split(word, "[-/]"), lambda p: ~p.isin(*STOPWORDS))
-        return F.when(word.rlike("[-/]"), F.concat(F.array(F.regexp_replace(word, "[-/]", "")), parts)).otherwise(parts)
+        together = F.translate(word, "-/", "")
+        parts = F.filter(F.split(F.translate(word, "/", "-"), "-"), lambda p: ~p.isin(*STOPWORDS))
+        compound = F.length(together) < F.length(word)
+        return F.when(compound, F.concat(F.array(together), parts)).when(word.isin(*STOPWORDS), F.array().cast("array<string>")).otherwise(F.array(word))
 
     return F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1)), terms))
 

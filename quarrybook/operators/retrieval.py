@@ -35,18 +35,21 @@ def top(hits: DataFrame, k: int, keys: list[str], score: Column, tie: str) -> Da
 
 
 class Bm25Index:
-    """An inverted index: postings (term, unit_id, pmid, idx, tf, dl), document frequencies and two numbers.
+    """An inverted index, written once: units with their lengths, postings (term, unit_id, pmid, idx, tf, dl), document frequencies and two numbers.
 
-    ``terms`` restricts the postings to the terms of known queries, so that the
-    others are never shuffled; lengths and counts are still those of all units.
+    A paper that comes twice is an error.  ``terms`` restricts the postings to those of known
+    queries, so that the others are never shuffled; lengths and counts are still those of all units.
     """
 
     def __init__(self, units: DataFrame, terms: DataFrame | None = None):
         self.staging = Staging(units.sparkSession, "bm25")
         spread = units.select("unit_id", "pmid", "idx", tokenize(F.col("text")).alias("terms"))
-        sized = spread.withColumn("dl", F.size("terms").cast("long"))
-        self.stats = self.staging.table(sized.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")), "stats")
-        rows = sized.select("unit_id", "pmid", "idx", "dl", F.explode("terms").alias("term"))
+        self.sized = self.staging.table(spread.withColumn("dl", F.size("terms").cast("long")), "sized")
+        repeated = self.sized.groupBy("unit_id").agg(F.count("*").alias("n"), F.first("pmid").alias("pmid")).where("n > 1").select("pmid").limit(1).collect()
+        if repeated:
+            raise ValueError(f"paper {repeated[0]['pmid']} is indexed twice")
+        self.stats = self.staging.table(self.sized.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")), "stats")
+        rows = self.sized.select("unit_id", "pmid", "idx", "dl", F.explode("terms").alias("term"))
         if terms is not None:
             known = self.staging.table(terms.select("term").distinct(), "terms")
             rows = rows.join(small_or_shuffled(known, known.count()), "term", "left_semi")

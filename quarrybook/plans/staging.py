@@ -11,9 +11,15 @@ import atexit
 import tempfile
 import uuid
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+Built = TypeVar("Built")
 _local_root: dict[str, str] = {}
+_kept: dict[tuple, object] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +36,22 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _local_root[app]
 
 
+def built_once(spark: SparkSession, name: str, files: DataFrame, build: Callable[[], Built]) -> Built:
+    """What ``build`` makes of ``files``, a table as read from files: once for an application, anew when a file is another one."""
+    stamp = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    seen = files.select(stamp.alias("h")).distinct().agg(F.count("*"), F.bit_xor("h")).first()
+    key = (spark.sparkContext.applicationId, name, *sorted(files.inputFiles())[:1], *seen)
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions; at size files give many, and nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Staging:
     """Written intermediate tables of one operator call.
 

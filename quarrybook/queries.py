@@ -11,7 +11,7 @@ from quarrybook import sql as S
 from quarrybook.functions import text as T
 from quarrybook.functions import tokens as K
 from quarrybook.operators import curation, limits, metrics, papers, retrieval, validation
-from quarrybook.plans.staging import Staging
+from quarrybook.plans.staging import Staging, built_once, spread
 from quarrybook.sources import files
 from quarrybook.sources.files import read_table
 
@@ -30,8 +30,14 @@ def query(sql: str | None = None):
     return add
 
 
+def _records(spark, sf_dir):
+    """The documents as records: a frozen snapshot, as normalising is dear and most queries begin with it."""
+    documents = read_table(spark, sf_dir, "documents")
+    return built_once(spark, "records", documents, lambda: Staging(spark, "records").table(papers.records(spread(documents)), "records"))
+
+
 def _papers(spark, sf_dir):
-    return papers.split_records(papers.records(read_table(spark, sf_dir, "documents")))[0]
+    return papers.split_records(_records(spark, sf_dir))[0]
 
 
 def _units(spark, sf_dir):
@@ -43,8 +49,8 @@ def _questions(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    asked = _questions(spark, sf_dir).select(F.explode(T.tokenize(F.col("text"))).alias("term"))
-    return retrieval.Bm25Index(_units(spark, sf_dir), asked)
+    """The inverted index of all units, built once and searched by every query."""
+    return built_once(spark, "bm25", read_table(spark, sf_dir, "documents"), lambda: retrieval.Bm25Index(_units(spark, sf_dir)))
 
 
 def _vectors(spark, sf_dir):
@@ -113,12 +119,12 @@ def unit_length_stats(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {S.INDEX} SELECT unit_id, CAST(len(terms) AS BIGINT) AS dl FROM sized")
 def doc_lengths(spark, sf_dir):
-    return _units(spark, sf_dir).select("unit_id", F.size(T.tokenize(F.col("text"))).cast("long").alias("dl"))
+    return _index(spark, sf_dir).sized.select("unit_id", "dl")
 
 
 @query(f"WITH RECURSIVE {S.INDEX} SELECT term, df, cf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) AS idf FROM (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY term), stats")
 def term_stats(spark, sf_dir):
-    index = retrieval.Bm25Index(_units(spark, sf_dir))
+    index = _index(spark, sf_dir)
     n = index.stats.first()["n"]
     counted = index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     return counted.withColumn("idf", F.round(F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), 9))
@@ -126,7 +132,7 @@ def term_stats(spark, sf_dir):
 
 @query(f"WITH {S.RECORDS} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM recs GROUP BY 1")
 def exclusion_counts(spark, sf_dir):
-    judged = papers.records(read_table(spark, sf_dir, "documents")).select(papers.exclusion_reason(F.col("title"), F.col("abstract")).alias("r"))
+    judged = _records(spark, sf_dir).select(papers.exclusion_reason(F.col("title"), F.col("abstract")).alias("r"))
     return judged.groupBy(F.coalesce("r", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -136,7 +142,7 @@ SELECT (SELECT count(*) FROM recs) AS requested, count(*) AS papers, min(a) AS a
   (SELECT count(reason) FROM recs) AS excluded, CAST(0 AS BIGINT) AS not_returned, (SELECT count(*) FROM recs WHERE reason = 'no_title') AS no_title,
   (SELECT count(*) FROM recs WHERE reason = 'no_abstract') AS no_abstract, (SELECT count(*) FROM recs WHERE reason = 'title_too_long') AS title_too_long, CAST(0 AS BIGINT) AS retracted, CAST(0 AS BIGINT) AS duplicate FROM p""")
 def snapshot_manifest(spark, sf_dir):
-    rows = papers.records(read_table(spark, sf_dir, "documents"))
+    rows = _records(spark, sf_dir)
     kept, dropped = papers.split_records(rows)
     found = files.manifest(kept, dropped, rows.select("pmid"))
     return found.withColumn("collection_sum", F.col("collection_sum").cast("string")).withColumns({c: F.col(c).cast("long") for c in ("abstract_min", "abstract_max")})
@@ -384,7 +390,7 @@ def question_groups(spark, sf_dir):
 
 def _raw_questions(spark, sf_dir):
     """Raw questions made from the documents, with every kind of defect on some of them."""
-    rows = papers.records(read_table(spark, sf_dir, "documents")).withColumn("d", F.col("pmid").cast("long") - 1)
+    rows = _records(spark, sf_dir).withColumn("d", F.col("pmid").cast("long") - 1)
     every = lambda n: F.col("d") % n == 0
     variants = F.array(F.substring("title", 1, 20), F.when(every(13), F.lit(" ")).otherwise(F.substring("title", 1, 5)))
     one = T.pmid_url(F.col("pmid"))
@@ -430,7 +436,7 @@ best AS (SELECT id, type, g FROM (SELECT *, row_number() OVER (PARTITION BY g OR
 chosen AS (SELECT id, type FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY {_HASHED.format("g")}) AS k FROM best) WHERE k <= 20)
 SELECT id, type, CASE WHEN row_number() OVER (PARTITION BY type ORDER BY {_HASHED.format("'split/' || id")}) <= 10 THEN 'development' ELSE 'test' END AS split FROM chosen""")
 def quota_split(spark, sf_dir):
-    rows = papers.records(read_table(spark, sf_dir, "documents")).select((F.col("pmid").cast("long") - 1).alias("id"), "title", "abstract")
+    rows = _records(spark, sf_dir).select((F.col("pmid").cast("long") - 1).alias("id"), "title", "abstract")
     good = _raw_questions(spark, sf_dir).withColumn("reason", curation.eligibility_reason()).where("reason is null").select("id", "type").join(rows, "id")
     group = good.groupBy("title", "abstract", "type").agg(F.min("id").alias("group_id"))
     candidates = Staging(spark, "quota").table(good.join(group, ["title", "abstract", "type"]).select("id", "group_id", "type", F.lit(True).alias("ok")), "candidates")
@@ -460,7 +466,7 @@ def collection_expand(spark, sf_dir):
   FROM qrels q LEFT JOIN papers p ON p.pmid = q.pmid LEFT JOIN recs r ON r.pmid = q.pmid)
 SELECT query_id, count(*) AS reference, count(CASE WHEN state = 'in_collection' THEN 1 END) AS in_collection, count(CASE WHEN state <> 'in_collection' THEN 1 END) AS missing FROM m GROUP BY query_id""")
 def coverage_report(spark, sf_dir):
-    rows = papers.records(read_table(spark, sf_dir, "documents"))
+    rows = _records(spark, sf_dir)
     kept, dropped = papers.split_records(rows)
     gram = lambda i: F.array_join(F.slice("terms", i, 8), " ")
     heads = _questions(spark, sf_dir).select("query_id", T.tokenize(F.col("text")).alias("terms")).where(F.size("terms") >= 8).select("query_id", gram(1).alias("head"))

@@ -5,14 +5,19 @@ dates); each is replaced by its image under a keyed Feistel permutation of the
 values of its format.  Equal values get equal pseudonyms in all documents,
 different values different ones, and whoever has the key can invert them.
 
-* Strings of digits and letters: each character moves within its class (digit,
-  lower case, upper case) and everything else stays, so the layout is the same;
-  hexadecimal strings stay hexadecimal.
+* Cards, telephone numbers and bank accounts: what is permuted is the bare number, which
+  is then laid out as the original was; so spellings of one number stay linked.
 * Payment cards: the digits between the first and the last are permuted; the check digit is computed anew.
+* Bank accounts (IBAN): the country stays, the account is permuted, the check digits are computed anew.
+* Telephone numbers: the country code stays; of an undivided number that is all before the last ten digits.
+* US social security numbers: a permutation of the 898 * 99 * 9,999 numbers that may be issued.
 * IPv4 addresses: a permutation of the 2^32 addresses.
 * Dates: a permutation of the 146,097 days of 1700-2099, which is one whole cycle of the
   calendar; the layout and order of the parts stay.
 * E-mail addresses: the part before the @ and the labels before the last two of the domain.
+* Strings of digits and letters: each character moves within its class (digit,
+  lower case, upper case) and everything else stays, so the layout is the same;
+  hexadecimal strings stay hexadecimal.  Spellings in other case stay linked.
 
 All of it is column expressions; a text without a match passes unchanged.
 """
@@ -22,23 +27,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrybook.llm.words import own_names
+
 ROUNDS = 6
 #: Days of a whole Gregorian cycle as a product, and its first day; fixed values.
 DAY_FACTORS = (189, 773)
 FIRST_DAY = "1700-01-01"
+#: Area and group, and serial, of the social security numbers that may be issued; the area 666 is not; fixed values.
+SSN_FACTORS = (898 * 99, 9999)
+#: Digits of a telephone number without its country code, where nothing divides them.
+NATIONAL = 10
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: What follows one of these words and a sign is a secret.
+_BEFORE_SECRET = r"(?:token|secret|password|passwd|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?"
 #: What is looked for, in order of precedence; each pattern stands for itself inside the joint pattern.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
-    "secret": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?<=(?:token|secret|password|passwd|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_/+=-]{8,}+",
+    "secret": rf"\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b|{_BEFORE_SECRET}[A-Za-z0-9_/+=-]{{8,}}+",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "date": r"(?<![\d/.-])(?:(?:1[7-9]|20)\d\d(?:-\d\d-\d\d|/\d\d/\d\d)|\d\d(?:\.\d\d\.|/\d\d/|-\d\d-)(?:1[7-9]|20)\d\d)(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])",
     "card": r"(?<!\d)[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
-    "phone": r"(?<![\d.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|(?<=\+\d{1,3}[ .-])\d{2,4}[ .-]|\d{3}[.-])\d{3,4}[ .-]\d{4}(?!\d)",
+    "phone": r"(?<![\d.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|(?<=\+\d{1,3}[ .-])\d{2,4}[ .-]|\d{3}[.-])\d{3,4}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{11,15}(?!\d)",
 }
-JOINT = "|".join(PATTERNS.values())
+#: The kinds that begin with a digit, a plus sign or a bracket are tried only there.
+NUMBERS = ("ip", "date", "ssn", "card", "phone")
+JOINT = "|".join([*(p for k, p in PATTERNS.items() if k not in NUMBERS), rf"(?=[\d+(])(?:{'|'.join(PATTERNS[k] for k in NUMBERS)})"])
+#: Set around matches; a text that holds it already is searched twice instead.
+MARK = "\x01"
 
 
 def _draw(secret: str, label: str, *parts: Column) -> Column:
@@ -57,12 +75,16 @@ def _once(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def _rounds(inverse: bool) -> Column:
+    return F.array(*map(F.lit, range(ROUNDS - 1, -1, -1) if inverse else range(ROUNDS)))
+
+
 def _shift(character: Column, by: Column) -> Column:
     """Move a character within its class by ``by`` places."""
     code = F.ascii(character)
 
     def turned(first: int, size: int) -> Column:
-        return F.char(F.lit(first) + (code - first + by) % size)
+        return F.char(F.lit(first) + F.pmod(code - first + by, F.lit(size)))
 
     return (
         F.when((code >= 48) & (code <= 57), turned(48, 10))
@@ -74,42 +96,50 @@ def _shift(character: Column, by: Column) -> Column:
 
 def _shift_hex(character: Column, by: Column) -> Column:
     """The same among the sixteen lower-case hexadecimal digits."""
-    return F.lower(F.conv(((F.conv(character, 16, 10).cast("long") + by) % 16).cast("string"), 10, 16))
+    return F.lower(F.conv(F.pmod(F.conv(character, 16, 10).cast("long") + by, F.lit(16)).cast("string"), 10, 16))
 
 
-def permute_characters(value: Column, secret: str, label: str, shift=_shift) -> Column:
+def permute_characters(value: Column, secret: str, label: str, shift=_shift, inverse: bool = False) -> Column:
     """A Feistel network on the two halves of the characters; the class of each character stays."""
     chars = F.split(value, "")
     half = F.floor(F.size(chars) / 2).cast("int")
     start = F.struct(F.slice(chars, 1, half).alias("a"), F.slice(chars, half + 1, F.size(chars) - half).alias("b"))
+    sign = -1 if inverse else 1
 
     def turn(moving: Column, still: Column, step: Column) -> Column:
-        digest = _draw(secret, label, step.cast("string"), F.size(moving).cast("string"), F.array_join(still, ""))
-        return F.transform(moving, lambda c, i: shift(c, _number(F.sha2(F.concat(digest, F.floor(i / 8).cast("string")), 256), i % 8)))
+        digest = _draw(secret, label, step.cast("string"), F.size(moving).cast("string"), F.lower(F.array_join(still, "")))
+        return F.transform(moving, lambda c, i: shift(c, sign * _number(F.sha2(F.concat(digest, F.floor(i / 8).cast("string")), 256), i % 8)))
 
     def step(acc: Column, k: Column) -> Column:
         even = k % 2 == 0
         moved = turn(F.when(even, acc["a"]).otherwise(acc["b"]), F.when(even, acc["b"]).otherwise(acc["a"]), k)
         return F.struct(F.when(even, moved).otherwise(acc["a"]).alias("a"), F.when(even, acc["b"]).otherwise(moved).alias("b"))
 
-    done = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
-    return F.concat(F.array_join(done["a"], ""), F.array_join(done["b"], ""))
+    done = F.aggregate(_rounds(inverse), start, step)
+    return F.when(value == "", value).otherwise(F.concat(F.array_join(done["a"], ""), F.array_join(done["b"], "")))
 
 
-def _permute_pair(a: Column, b: Column, size_a: int, size_b: int, secret: str, label: str) -> Column:
+def _permute_pair(a: Column, b: Column, size_a: int, size_b: int, secret: str, label: str, inverse: bool) -> Column:
     """A permutation of the pairs below (size_a, size_b); struct<a, b>."""
+    sign = -1 if inverse else 1
 
     def step(acc: Column, k: Column) -> Column:
         even = k % 2 == 0
         other = F.when(even, acc["b"]).otherwise(acc["a"])
-        drawn = _number(_draw(secret, label, k.cast("string"), other.cast("string")), 0)
-        return F.struct(F.when(even, (acc["a"] + drawn) % size_a).otherwise(acc["a"]).alias("a"), F.when(even, acc["b"]).otherwise((acc["b"] + drawn) % size_b).alias("b"))
+        drawn = sign * _number(_draw(secret, label, k.cast("string"), other.cast("string")), 0)
+        return F.struct(F.when(even, F.pmod(acc["a"] + drawn, F.lit(size_a))).otherwise(acc["a"]).alias("a"), F.when(even, acc["b"]).otherwise(F.pmod(acc["b"] + drawn, F.lit(size_b))).alias("b"))
 
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
+    return F.aggregate(_rounds(inverse), start, step)
 
 
-def pseudonym_ip(value: Column, secret: str) -> Column:
+def _laid_out(value: Column, kept: str, bare: Column) -> Column:
+    """The characters of ``bare`` in the places of ``value`` whose characters are in the class ``kept``."""
+    place = lambda i: F.length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), f"[^{kept}]", ""))
+    return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike(f"[{kept}]"), F.substr(bare, place(i), F.lit(1))).otherwise(c)), "")
+
+
+def pseudonym_ip(value: Column, secret: str, inverse: bool = False) -> Column:
     octets = F.split(value, r"\.")
 
     def pair(k: int) -> Column:
@@ -118,7 +148,19 @@ def pseudonym_ip(value: Column, secret: str) -> Column:
     def dotted(done: Column) -> Column:
         return F.concat_ws(".", *[F.floor(done[side] / by).cast("long").bitwiseAND(F.lit(255)).cast("string") for side in ("a", "b") for by in (256, 1)])
 
-    return _once(_permute_pair(pair(0), pair(2), 1 << 16, 1 << 16, secret, "ip"), dotted)
+    return _once(_permute_pair(pair(0), pair(2), 1 << 16, 1 << 16, secret, "ip", inverse), dotted)
+
+
+def pseudonym_ssn(value: Column, secret: str, inverse: bool = False) -> Column:
+    area, group, serial = (F.substring(value, start, n).cast("long") for start, n in ((1, 3), (5, 2), (8, 4)))
+    place = (area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1
+
+    def written(done: Column) -> Column:
+        area = F.floor(done["a"] / 99) + 1
+        area = area + F.when(area >= 666, 1).otherwise(0)
+        return F.format_string("%03d-%02d-%04d", area, done["a"] % 99 + 1, done["b"] + 1)
+
+    return _once(_permute_pair(place, serial - 1, *SSN_FACTORS, secret, "ssn", inverse), written)
 
 
 def _date_parts(value: Column) -> tuple[Column, Column, Column]:
@@ -135,7 +177,7 @@ def _date_parts(value: Column) -> tuple[Column, Column, Column]:
     return iso, year_first, month_first
 
 
-def pseudonym_date(value: Column, secret: str) -> Column:
+def pseudonym_date(value: Column, secret: str, inverse: bool = False) -> Column:
     """A calendar date in the same layout; null if the value is no date."""
     iso, year_first, month_first = _date_parts(value)
     day = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).cast("long")
@@ -147,68 +189,105 @@ def pseudonym_date(value: Column, secret: str) -> Column:
         y, m, d = F.date_format(new, "yyyy"), F.date_format(new, "MM"), F.date_format(new, "dd")
         return F.when(year_first, F.concat_ws("", y, mark, m, mark, d)).when(month_first, F.concat_ws("", m, mark, d, mark, y)).otherwise(F.concat_ws("", d, mark, m, mark, y))
 
-    return F.when(day.isNotNull(), _once(_permute_pair(F.floor(day / b), day % b, a, b, secret, "date"), laid_out))
+    return F.when(day.isNotNull(), _once(_permute_pair(F.floor(day / b), day % b, a, b, secret, "date", inverse), laid_out))
 
 
-def pseudonym_card(value: Column, secret: str) -> Column:
+def pseudonym_card(value: Column, secret: str, inverse: bool = False) -> Column:
     """The first digit, the permuted ones, then the check digit that makes the number valid; null if the value is not."""
     digits = F.regexp_replace(value, "[ -]", "")
     valid = F.call_function("luhn_check", digits) & F.length(digits).between(13, 19)
 
     def checked(body: Column) -> Column:
         tries = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string")))
-        return F.element_at(F.filter(tries, lambda n: F.call_function("luhn_check", F.regexp_replace(n, "[ -]", ""))), 1)
+        return F.element_at(F.filter(tries, lambda n: F.call_function("luhn_check", n)), 1)
+
+    inner = permute_characters(F.substr(digits, F.lit(2), F.length(digits) - 2), secret, "card", inverse=inverse)
+    new = _once(F.concat(F.substring(digits, 1, 1), inner), checked)
+    return F.when(valid, _once(new, lambda n: _laid_out(value, "0-9", n)))
 
-    inner = permute_characters(F.substr(value, F.lit(2), F.length(value) - 2), secret, "card")
-    return F.when(valid, _once(F.concat(F.substring(value, 1, 1), inner), checked))
 
+def _mod_97(text: Column) -> Column:
+    """Letters count as 10 to 35."""
 
-def pseudonym_email(value: Column, secret: str) -> Column:
+    def step(acc: Column, c: Column) -> Column:
+        code = F.ascii(c).cast("long")
+        return F.when(code < 65, (acc * 10 + code - 48) % 97).otherwise((acc * 100 + code - 55) % 97)
+
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), step)
+
+
+def pseudonym_iban(value: Column, secret: str, inverse: bool = False) -> Column:
+    """Null if the check digits are wrong."""
+    bare = F.replace(value, F.lit(" "), F.lit(""))
+    country, account = F.substring(bare, 1, 2), F.substr(bare, F.lit(5))
+    valid = F.length(bare).between(15, 34) & (_mod_97(F.concat(account, F.substring(bare, 1, 4))) == 1)
+
+    def checked(new: Column) -> Column:
+        return F.concat(country, F.format_string("%02d", 98 - _mod_97(F.concat(new, country, F.lit("00")))), new)
+
+    new = _once(permute_characters(account, secret, "iban", inverse=inverse), checked)
+    return F.when(valid, _once(new, lambda n: _laid_out(value, "0-9A-Z", n)))
+
+
+def pseudonym_email(value: Column, secret: str, inverse: bool = False) -> Column:
     name, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     site = F.substring_index(host, ".", -2)
     labels = F.substr(host, F.lit(1), F.length(host) - F.length(site))
-    return F.concat(permute_characters(F.concat(name, F.lit("@"), labels), secret, "email"), site)
+    return F.concat(permute_characters(F.concat(name, F.lit("@"), labels), secret, "email", inverse=inverse), site)
 
 
-def pseudonym_phone(value: Column, secret: str) -> Column:
+def pseudonym_phone(value: Column, secret: str, inverse: bool = False) -> Column:
     """The country code stays."""
-    code = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .-])", 0)
-    return F.concat(code, permute_characters(F.substr(value, F.length(code) + 1), secret, "phone"))
+    undivided = value.rlike(r"^\+\d+$")
+    code = F.when(undivided, F.substr(value, F.lit(1), F.length(value) - NATIONAL)).otherwise(F.regexp_extract(value, r"^\+\d{1,3}?(?=[ .(-]|\d{3}[.-])", 0))
+    rest = F.substr(value, F.length(code) + 1)
+    digits = permute_characters(F.regexp_replace(rest, "[^0-9]", ""), secret, "phone", inverse=inverse)
+    return F.concat(code, _once(digits, lambda d: _laid_out(rest, "0-9", d)))
+
+
+def pseudonym_secret(value: Column, secret: str, inverse: bool = False) -> Column:
+    """The word before it stays."""
+    before = F.regexp_extract(value, f"^{_BEFORE_SECRET}", 0)
+    bare = F.substr(value, F.length(before) + 1)
+    moved = F.when(bare.rlike("^[0-9a-f]+$"), permute_characters(bare, secret, "hex", _shift_hex, inverse)).otherwise(permute_characters(bare, secret, "string", inverse=inverse))
+    return F.concat(before, moved)
+
+
+_PSEUDONYMS = {"email": pseudonym_email, "iban": pseudonym_iban, "ip": pseudonym_ip, "date": pseudonym_date, "ssn": pseudonym_ssn, "card": pseudonym_card, "phone": pseudonym_phone, "secret": pseudonym_secret}
 
 
 def _kind(match: Column) -> Column:
-    kind = F.when(match.contains("@"), F.lit("email"))
-    for name in ("ip", "date", "ssn", "card", "phone"):
+    kind = F.when(match.rlike(f"^(?:{PATTERNS['email']})$"), F.lit("email"))
+    for name in ("iban", *NUMBERS):
         kind = kind.when(match.rlike(f"^(?:{PATTERNS[name]})$"), F.lit(name))
     return kind.otherwise(F.lit("secret"))
 
 
-def _replaced(match: Column, kind: Column, secret: str) -> Column:
+def _replaced(match: Column, kind: Column, secret: str, inverse: bool) -> Column:
     """The pseudonym; null where the value is not valid and stays."""
-    return (
-        F.when(kind == "email", pseudonym_email(match, secret))
-        .when(kind == "ip", pseudonym_ip(match, secret))
-        .when(kind == "date", pseudonym_date(match, secret))
-        .when(kind == "card", pseudonym_card(match, secret))
-        .when(kind == "phone", pseudonym_phone(match, secret))
-        .when(match.rlike("^[0-9a-f]+$"), permute_characters(match, secret, "hex", _shift_hex))
-        .otherwise(permute_characters(match, secret, "string"))
-    )
+    return F.coalesce(*[F.when(kind == name, pseudonym(match, secret, inverse)) for name, pseudonym in _PSEUDONYMS.items()])
 
 
-def pseudonymise(docs: DataFrame, secret: str, text_col: str = "text", out_col: str = "text", kinds_col: str = "kinds") -> DataFrame:
+def pseudonymise(docs: DataFrame, secret: str, text_col: str = "text", out_col: str = "text", kinds_col: str = "kinds", inverse: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in ``out_col`` and the kinds of the replaced values, in order, in ``kinds_col``.
 
     Null and empty texts stay as they are, with no kinds.  Values that match a
-    pattern but are not valid stay.  Whole texts are read; nothing is shuffled.
+    pattern but are not valid stay.  Whole texts are read; nothing is shuffled.  Columns
+    of the names ``out_col`` and ``kinds_col`` are replaced, all others stay.  ``inverse``
+    gives the original values of pseudonyms back to the holder of the same secret.
     """
-    matches = F.regexp_extract_all(F.col(text_col), F.lit(JOINT), F.lit(0))
-    found = docs.withColumn("_m", F.when(F.col(text_col).rlike(r"[0-9@=:]"), matches))
-    some = F.coalesce(F.size("_m") > 0, F.lit(False))
-    values = F.transform("_m", lambda m: F.struct(m.alias("old"), _kind(m).alias("kind")))
-    found = found.withColumn("_v", F.when(some, values))
-    found = found.withColumn("_v", F.transform("_v", lambda v: v.withField("new", _replaced(v["old"], v["kind"], secret))))
-    between = F.split(F.col(text_col), JOINT)
-    joined = F.concat(F.element_at(between, 1), F.array_join(F.zip_with("_v", F.slice(between, 2, F.size(between)), lambda v, rest: F.concat(F.coalesce(v["new"], v["old"]), rest)), ""))
-    kinds = F.coalesce(F.transform(F.filter("_v", lambda v: v["new"].isNotNull()), lambda v: v["kind"]), F.array().cast("array<string>"))
-    return found.withColumns({out_col: F.when(some, joined).otherwise(F.col(text_col)), kinds_col: kinds}).drop("_m", "_v")
+    text = F.col(text_col)
+    pieces_col, done_col = own_names(docs, "pieces", "done")
+    marked = F.split(F.regexp_replace(text, f"(?:{JOINT})", f"{MARK}$0{MARK}"), MARK)
+    twice = F.flatten(F.zip_with(F.split(text, JOINT), F.regexp_extract_all(text, F.lit(JOINT), F.lit(0)), lambda rest, m: F.when(m.isNull(), F.array(rest)).otherwise(F.array(rest, m))))
+    # text and matches in turn; the matches have odd places
+    pieces = F.when(text.rlike(r"\d|@|[=:]"), F.when(text.contains(MARK), twice).otherwise(marked))
+    found = docs.withColumn(pieces_col, pieces)
+    some = F.coalesce(F.size(pieces_col) > 1, F.lit(False))
+    matches = F.transform(F.filter(pieces_col, lambda p, i: i % 2 == 1), lambda m: F.struct(m.alias("old"), _kind(m).alias("kind")))
+    done = F.transform(matches, lambda v: v.withField("new", _replaced(v["old"], v["kind"], secret, inverse)))
+    found = found.withColumn(done_col, F.when(some, done))
+    new_at = lambda i: F.coalesce(F.get(done_col, (i / 2).cast("int"))["new"], F.get(done_col, (i / 2).cast("int"))["old"])
+    joined = F.array_join(F.transform(pieces_col, lambda p, i: F.when(i % 2 == 1, new_at(i)).otherwise(p)), "")
+    kinds = F.coalesce(F.transform(F.filter(done_col, lambda v: v["new"].isNotNull()), lambda v: v["kind"]), F.array().cast("array<string>"))
+    return found.withColumns({out_col: F.when(some, joined).otherwise(text), kinds_col: kinds}).drop(pieces_col, done_col)

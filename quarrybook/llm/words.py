@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The two alphabets of ASCII case folding.
@@ -30,3 +30,15 @@ def alnum_words(text: Column) -> Column:
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the parts alone."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
+
+
+def own_names(df: DataFrame, *stems: str) -> list[str]:
+    """Names for columns of an operator's own that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    names = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        names.append(stem)
+    return names

@@ -11,21 +11,26 @@ HEAVY_KEYS = 1000
 BROADCAST_ROWS = 500_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, how: str = "left") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, how: str = "left", wide: bool = False) -> DataFrame:
     """Give each row its group's columns.
 
     ``groups`` has one row per key and the key's row count in ``count``; it
     should be a staged table, as it is read three times.  Heavy keys are fewer
     than ``HEAVY_KEYS`` and are broadcast, so no task gets more than one part in
-    ``HEAVY_KEYS`` of the rows for a key.
+    ``HEAVY_KEYS`` of the rows for a key.  Where groups are ``wide`` (texts, long
+    arrays), only the heavy keys are: their rows are dealt over parts, and
+    their groups are repeated for each part, so no group is broadcast.
     """
     total = groups.agg(F.sum(count)).first()[0] or 0
     least = total // HEAVY_KEYS + 1
-    heavy = F.broadcast(groups.where(F.col(count) > least))
-    light = groups.where(F.col(count) <= least)
-    inner = rows.join(heavy, keys, "inner")
-    others = rows.join(F.broadcast(groups.where(F.col(count) > least).select(*keys)), keys, "left_anti")
-    return inner.unionByName(others.join(light, keys, how))
+    heavy, light = groups.where(F.col(count) > least), groups.where(F.col(count) <= least)
+    narrow = F.broadcast(heavy.select(*keys, F.ceil(F.col(count) / least).cast("int").alias("_parts")))
+    others = rows.join(narrow.select(*keys), keys, "left_anti").join(light, keys, how)
+    if not wide:
+        return rows.join(F.broadcast(heavy), keys, "inner").unionByName(others)
+    dealt = rows.join(narrow, keys, "inner").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int")).drop("_parts")
+    repeated = heavy.withColumn("_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col(count) / least).cast("int") - 1)))
+    return dealt.join(repeated.hint("merge"), [*keys, "_part"], "inner").drop("_part").unionByName(others)
 
 
 def small_or_shuffled(df: DataFrame, n_rows: int, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,7 +1,7 @@
 """Near-duplicates by bottom-k sketches of one hash function.
 
 1. Every document's shingle set is sketched: its ``K`` least hashes.  Documents
-   with equal sets are one class from here on.
+   with equal sets are one class, and a class one node, from here on.
 2. Inverted lists of the retained values give overlaps.  Two sketches of sets
    with a Jaccard similarity of 0.75 share at least ``SHARED`` of ``K`` values
    (all but about 1 in 10^7 such pairs; small sets are kept whole, so for
@@ -9,14 +9,14 @@
    index the first K - SHARED + 1 values: values that one document has alone
    come first and give no list, values of passages that many documents share
    come last and are mostly never indexed.
-3. Links are sought in two rounds.  First each document is paired with the least
-   document of each of its lists.  A pair inside a component needs no further
+3. Links are sought in two rounds.  First each node is paired with the least
+   node of each of its lists.  A pair inside a component needs no further
    link, so a group of many near copies costs a few pairs for each document.
-   Then all pairs across components among the documents of those lists that still hold several:
-   they meet under their ``MEET`` least values (similar sets have none in common once in 4^12
-   times), a pair only under the first one that it shares, and the join lets a pair through
-   only if samples of ``SAMPLE`` values overlap enough; sets of up to ``SAMPLE`` are compared whole, with allowance
-   for every value that falls together with another.  So no link between components is lost.
+   Then come the nodes of those lists that still hold several components, with sketches of
+   ``WIDE_K`` values: the same lists again, by the values' rarity among these nodes, where a pair meets
+   only if the places of the value in both sketches leave enough values for the overlap that the two sizes need.
+   Documents that share a passage, but each have words of their own, do not meet at all.  Long lists are
+   joined in parts.  So no link between components is lost.
 4. Pairs whose union sketch estimates too little are dropped (7 standard errors
    below the threshold); the others are confirmed on full sets.
 """
@@ -29,24 +29,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrybook.llm.shingles import sample_rows, set_rows, sketch_rows
+from quarrybook.llm.shingles import sketch_rows
 from quarrybook.plans.components import connected_components
 from quarrybook.plans.skew import join_groups, small_or_shuffled
 from quarrybook.plans.staging import Staging
 
-K = 96
-SHARED = 46
+K, SHARED = 96, 46
+#: The same for pairs across components: 5.3 standard errors less than three quarters of the values.
+WIDE_K, WIDE_SHARED = 512, 332
 #: Per cent of the union that the intersection has at least.
 PERCENT = 75
-#: For pairs across components: least values under which two documents meet, and the size of the sample that is compared where they do.
-MEET, SAMPLE = 12, 256
-#: Values of a sample are cut to 15 bits.  Of common ones no more can be lost than fall together within either
-#: sample; so many are always allowed for.
-SLACK = 4
-
-
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+#: Nodes of one list that are joined in one task.
+LIST_PART = 1000
 
 
 class NearDuplicates:
@@ -54,89 +48,107 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT):
         self.staging = Staging(docs.sparkSession, "near-dedup")
-        self.texts = _texts(docs, id_col, text_col)
+        self.texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         self.k, self.percent = k, percent
         self.id_type = self.texts.schema["doc_id"].dataType
 
-    def sketches(self) -> DataFrame:
-        schema = T.StructType([T.StructField("doc_id", self.id_type), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
-        return self.texts.mapInArrow(partial(sketch_rows, k=self.k), schema)
+    def _sketched(self, texts: DataFrame, k: int | None) -> DataFrame:
+        """The columns of ``texts`` but the text, then n, sig, sketch."""
+        own = [f for f in texts.schema.fields if f.name != "text"]
+        new = [T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))]
+        return texts.mapInArrow(partial(sketch_rows, k=k), T.StructType([*own, *new]))
+
+    def _least(self, n: Column, k: int, shared: int) -> Column:
+        """Values of a sketch that any similar set's sketch shares at least."""
+        return F.when(n <= k * self.percent // 100, F.ceil(n * self.percent / 100)).otherwise(F.lit(shared))
+
+    def _ranked(self, postings: DataFrame, k: int, shared: int, name: str, *keep: str) -> DataFrame:
+        """(value, node, *keep, place) for the first values of each node, in order of rarity; values of one node alone are passed over."""
+        lists = self.staging.table(postings.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"), f"{name}-lists")
+        found = postings.join(lists.hint("merge"), "value")  # lists grow with the input, so one plan serves all sizes
+        kept = F.least(F.col("n"), F.lit(k))
+        own = Window.partitionBy("node")
+        place = kept - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "value"))
+        ranked = found.select("value", "node", *keep, place.alias("place"), (kept - self._least(F.col("n"), k, shared) + 1).alias("last"))
+        ranked = self.staging.table(ranked.where("place <= last").drop("last"), name)
+        self.staging.drop(f"{name}-lists")
+        return ranked
 
     def index(self, reps: DataFrame) -> DataFrame:
-        """(value, doc): the values under which each document is found."""
-        postings = reps.select(F.col("doc_id").alias("doc"), "n", F.explode("sketch").alias("value"))
-        lists = self.staging.table(postings.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"), "lists")
-        shared = postings.join(lists.hint("merge"), "value")  # lists grow with the input, so one plan serves all sizes
-        kept = F.least(F.col("n"), F.lit(self.k))
-        small = F.ceil(F.col("n") * self.percent / 100)
-        least = F.when(F.col("n") <= self.k * self.percent // 100, small).otherwise(F.lit(SHARED * self.k // K))
-        alone = kept - F.count("*").over(Window.partitionBy("doc"))
-        place = F.row_number().over(Window.partitionBy("doc").orderBy("c", "value"))
-        ranked = shared.select("value", "doc", "n", place.alias("place"), (kept - least + 1 - alone).alias("allowed"))
-        found = self.staging.table(ranked.where("place <= allowed").select("value", "doc"), "index")
-        self.staging.drop("lists")
-        return found
+        """(value, node): the values under which each node is found."""
+        postings = reps.select("node", "n", F.explode("sketch").alias("value"))
+        return self._ranked(postings, self.k, SHARED * self.k // K, "index").drop("place")
 
     def stars(self, index: DataFrame) -> DataFrame:
-        """(a, b): each document with the least document of each of its lists."""
-        hubs = self.staging.table(index.groupBy("value").agg(F.min("doc").alias("hub"), F.count("*").alias("m")).where("m > 1"), "hubs")
-        pairs = join_groups(index, hubs, ["value"], "m", "inner").where("doc <> hub")
-        return self.staging.table(pairs.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
+        """(a, b): each node with the least node of each of its lists."""
+        hubs = self.staging.table(index.groupBy("value").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1"), "hubs")
+        pairs = join_groups(index, hubs, ["value"], "m", "inner").where("node <> hub")
+        return self.staging.table(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+
+    def _again(self, nodes: DataFrame, k: int | None) -> DataFrame:
+        """The columns of ``nodes`` (node, doc_id, sig, ...) and n, sketch: their texts are read again."""
+        ids = small_or_shuffled(nodes.select("doc_id").distinct(), nodes.count())
+        sketched = self._sketched(self.texts.join(ids, "doc_id", "left_semi"), k)
+        found = sketched.join(small_or_shuffled(nodes, nodes.count()), ["doc_id", "sig"])
+        return found.dropDuplicates(["node"]) if self.repeated else found  # rows that repeat id and set are one node
+
+    def _needed(self) -> Column:
+        """Values that the wide sketches of x and y share at least if x and y are similar."""
+        overlap = F.ceil((F.col("n") + F.col("n_y")) * self.percent / (100 + self.percent))
+        beyond = F.greatest(F.col("n") - WIDE_K, F.lit(0)) + F.greatest(F.col("n_y") - WIDE_K, F.lit(0))
+        return F.when(beyond == 0, overlap).otherwise(F.greatest(overlap - beyond, F.lit(WIDE_SHARED)))
 
     def across(self, index: DataFrame, components: DataFrame, tested: DataFrame) -> DataFrame:
-        """(a, b): hopeful pairs across components, not yet tested, of documents whose lists hold several components."""
+        """(a, b): hopeful pairs across components, not yet tested, of nodes whose lists hold several components."""
         comps = self.staging.table(components, "components")
-        comps = small_or_shuffled(comps, comps.count())
-        labelled = index.join(comps, index["doc"] == comps["node"], "left").select("value", "doc", F.coalesce("component", "doc").alias("comp"))
+        comps = small_or_shuffled(comps.withColumnRenamed("node", "member"), comps.count())
+        labelled = index.join(comps, index["node"] == comps["member"], "left").select("value", "node", F.coalesce("component", "node").alias("comp"))
         labelled = self.staging.table(labelled, "labelled")
         mixed = labelled.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("value")
         mixed = self.staging.table(mixed, "mixed")
-        open_docs = labelled.join(small_or_shuffled(mixed, mixed.count()), "value", "left_semi").select(F.col("doc").alias("doc_id"), "comp").distinct()
-        open_docs = self.staging.table(open_docs, "open")
-        schema = T.StructType([T.StructField("doc_id", self.id_type), T.StructField("n", T.LongType()), T.StructField("mins", T.ArrayType(T.LongType())), T.StructField("sample", T.ArrayType(T.ShortType())), T.StructField("spare", T.IntegerType())])
-        n_open = open_docs.count()
-        texts = self.texts.join(small_or_shuffled(open_docs.select("doc_id"), n_open), "doc_id", "left_semi")
-        samples = texts.mapInArrow(partial(sample_rows, keys=MEET, k=SAMPLE), schema).join(small_or_shuffled(open_docs, n_open), "doc_id")
-        left = self.staging.table(samples.select("doc_id", "comp", "n", "mins", "sample", "spare", F.explode("mins").alias("value")), "left")
-        right = left.select(F.col("value").alias("met"), *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "comp", "n", "mins", "sample", "spare")])
-        once = F.col("value") == F.array_min(F.array_intersect("mins", "mins_b"))
-        larger, smaller = F.greatest("n", "n_b"), F.least("n", "n_b")
-        common = F.size(F.array_intersect("sample", "sample_b")) + F.greatest(F.lit(SLACK), F.least("spare", "spare_b"))
-        # of the larger set's sample, so large a share lies in the other set if the two are just similar enough
-        share = F.lit(self.percent / (100 + self.percent)) * (1 + smaller / larger)
-        spread = 7 * F.sqrt(SAMPLE * share * F.greatest(1 - share, F.lit(0.0)))
-        enough = F.when(larger <= SAMPLE, common * 100 >= (larger + smaller - common) * self.percent).otherwise(common >= SAMPLE * share - spread)
-        apart = (F.col("value") == F.col("met")) & (F.col("comp") < F.col("comp_b")) & (smaller * 100 >= larger * self.percent) & once & enough
-        new = left.join(right, apart).select(F.least("doc_id", "doc_id_b").alias("a"), F.greatest("doc_id", "doc_id_b").alias("b"))
-        return self.staging.table(new.distinct().join(tested, ["a", "b"], "left_anti"), "across")
-
-    def _beside(self, pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
-        """Both documents' columns beside each pair, suffixed _a and _b."""
-        ids = self.staging.table(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-        involved = self.staging.table(self._of(table, ids), "involved")
+        open_nodes = labelled.join(small_or_shuffled(mixed, mixed.count()), "value", "left_semi").select("node", "comp").distinct()
+        open_nodes = self.staging.table(open_nodes.join(self.nodes, "node"), "open")
+        wide = self.staging.table(self._again(open_nodes, WIDE_K).select("node", "comp", "n", "sketch"), "wide")
+        postings = wide.select("node", "comp", "n", F.explode("sketch").alias("value"))
+        ranked = self._ranked(postings, WIDE_K, WIDE_SHARED, "wide-index", "comp", "n")
+        lists = ranked.groupBy("value").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+        lists = lists.select("value", F.ceil(F.col("m") / LIST_PART).cast("int").alias("parts"))
+        dealt = self.staging.table(ranked.join(lists, "value"), "dealt")
+        left = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        right = dealt.select("value", *[F.col(c).alias(f"{c}_y") for c in ("node", "comp", "n", "place")], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        met = left.join(right, ["value", "part"]).where("comp <> comp_y AND (n < n_y OR (n = n_y AND node < node_y))")
+        needed = self._needed()
+        room = lambda n, place: F.col(place) <= F.least(F.col(n), F.lit(WIDE_K)) - needed + 1
+        hopeful = met.where((F.col("n") * 100 >= F.col("n_y") * self.percent) & room("n", "place") & room("n_y", "place_y"))
+        new = hopeful.select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
+        found = self.staging.table(new.join(tested, ["a", "b"], "left_anti"), "across")
+        self.staging.drop("labelled", "mixed", "wide", "wide-index", "dealt")
+        return found
+
+    def _beside(self, pairs: DataFrame, table: DataFrame, columns: list[str], name: str) -> DataFrame:
+        """Both nodes' columns beside each pair, suffixed _a and _b.
+
+        The least node of a large group is in many pairs; it comes last, so that its columns are not shuffled with each of them.
+        """
         out = pairs
-        for side in ("a", "b"):
-            out = out.join(involved.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+        for side in ("b", "a"):
+            often = pairs.groupBy(F.col(side).alias("node")).agg(F.count("*").alias("pairs"))
+            groups = table.join(small_or_shuffled(often, often.count()), "node").select(F.col("node").alias(side), "pairs", *[F.col(c).alias(f"{c}_{side}") for c in columns])
+            out = join_groups(out, self.staging.table(groups, f"{name}-{side}"), [side], "pairs", "inner", wide=True).drop("pairs")
         return out
 
-    def _of(self, table: DataFrame, ids: DataFrame) -> DataFrame:
-        return table.join(small_or_shuffled(ids, ids.count()), "doc_id", "left_semi")
-
     def confirm(self, pairs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
         """Those pairs whose full sets are similar enough."""
-        beside = self._beside(pairs, reps.select("doc_id", "n", "sketch"), ["n", "sketch"])
+        beside = self._beside(pairs, reps.select("node", "n", "sketch"), ["n", "sketch"], "sketches-of")
         long_enough = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
-        hopeful = self.staging.table(beside.where(long_enough & (self._estimate() >= self._floor())).select("a", "b", "n_a", "n_b"), f"{name}-hopeful")
-        schema = T.StructType([T.StructField("doc_id", self.id_type), T.StructField("shingles", T.ArrayType(T.LongType()))])
-        ids = self.staging.table(hopeful.select(F.col("a").alias("doc_id")).unionByName(hopeful.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-        sets = self.staging.table(self._of(self.texts, ids).mapInArrow(set_rows, schema), "sets")
-        out = hopeful
-        for side in ("a", "b"):
-            out = out.join(sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s_{side}")), side)
+        hopeful = self.staging.table(beside.where(long_enough & (self._estimate() >= self._floor())).select("a", "b"), f"{name}-hopeful")
+        ids = self.staging.table(hopeful.select(F.col("a").alias("node")).unionByName(hopeful.select(F.col("b").alias("node"))).distinct().join(self.nodes, "node"), "ids")
+        sets = self.staging.table(self._again(ids, None).select("node", F.col("sketch").alias("s")), "sets")
+        out = self._beside(hopeful, sets, ["s"], "sets-of")
         common = F.size(F.array_intersect("s_a", "s_b"))
         union = F.size("s_a") + F.size("s_b") - common
         links = self.staging.table(out.where(common * 100 >= union * self.percent).select("a", "b").distinct(), f"{name}-links")
-        self.staging.drop("ids", "involved", "sets", f"{name}-hopeful")
+        self.staging.drop("ids", "sets", f"{name}-hopeful", *(f"{t}-{s}" for t in ("sketches-of", "sets-of") for s in "ab"))
         return links
 
     def _estimate(self) -> Column:
@@ -149,11 +161,17 @@ class NearDuplicates:
         return max(0.0, share - 7 * (share * (1 - share) / self.k) ** 0.5)
 
     def run(self) -> DataFrame:
-        sketched = self.staging.table(self.sketches(), "sketches")
+        """doc_id, text_key, n_shingles, component_id, kept."""
+        keyed = self.texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+        sketched = self.staging.table(self._sketched(keyed, self.k).withColumn("node", F.monotonically_increasing_id()), "sketches")
         named = sketched.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
-        classes = self.staging.table(named.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
-        copies = self.staging.table(join_groups(named.select("doc_id", "sig"), classes.where("rows > 1"), ["sig"], "rows", "inner").where("doc_id <> rep").select("doc_id").distinct(), "copies")
-        reps = named.join(small_or_shuffled(copies, copies.count()), "doc_id", "left_anti")
+        first = F.min(F.struct("doc_id", "node"))
+        classes = self.staging.table(named.groupBy("sig").agg(first.alias("first"), F.count("*").alias("rows")).select("sig", F.col("first.node").alias("node"), F.col("first.doc_id").alias("doc_id"), "rows"), "classes")
+        self.nodes = classes.select("node", "doc_id", "sig")
+        several = classes.where("rows > 1").withColumnRenamed("node", "rep").drop("doc_id")
+        copies = self.staging.table(join_groups(named.select("node", "doc_id", "sig"), several, ["sig"], "rows", "inner").where("node <> rep").select("node", "doc_id", "sig"), "copies")
+        self.repeated = not copies.join(classes.where("rows > 1").select("sig", "doc_id"), ["sig", "doc_id"], "left_semi").isEmpty()
+        reps = named.join(small_or_shuffled(copies.select("node"), copies.count()), "node", "left_anti")
         index = self.index(reps)
         stars = self.stars(index)
         links = self.confirm(stars, reps, "stars")
@@ -162,11 +180,18 @@ class NearDuplicates:
         if not across.isEmpty():
             links = self.staging.table(links.unionByName(self.confirm(across, reps, "across")), "links")
             components = connected_components(links, self.staging, "a", "b", "cc-all")
-        labels = self.staging.table(classes.join(small_or_shuffled(components, components.count()), F.col("rep") == F.col("node"), "left").select("sig", "rows", F.coalesce("component", "rep").alias("component")), "labels")
-        members = join_groups(sketched.select("doc_id", "n", "sig"), labels, ["sig"], "rows", "left")
-        self.staging.drop("index", "hubs", "stars", "across", "labelled", "mixed", "open", "left", "copies", "classes")
-        component = F.coalesce("component", "doc_id")
-        return members.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        labels = self.staging.table(self._labels(classes, components), "labels")
+        members = join_groups(sketched.select("doc_id", "text_key", "n", "sig"), labels, ["sig"], "rows", "left")
+        self.staging.drop("index", "hubs", "stars", "across", "open", "components", "copies", "classes", "links", "stars-links", "across-links")
+        component = F.coalesce("component_id", "doc_id")
+        return members.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+    def _labels(self, classes: DataFrame, components: DataFrame) -> DataFrame:
+        """(sig, rows, component_id): the least doc_id of each class's component."""
+        linked = self.staging.table(components.join(classes.select("node", "doc_id"), "node"), "linked")
+        least = self.staging.table(linked.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m")), "least")
+        named = join_groups(linked, least, ["component"], "m", "inner").select("node", "component_id")
+        return classes.join(small_or_shuffled(named, linked.count()), "node", "left").select("sig", "rows", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -175,16 +200,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked when their sets of five-word shingles have 100 times
     the intersection at least ``percent`` times the union; ``component_id`` is
     the least doc_id reachable.  Null or blank texts have an empty set and are
-    linked with nothing.  Rows that share a doc_id count as one document; a row
-    without doc_id is linked with nothing and stays.  An empty table gives an
-    empty result; other columns are ignored.
+    linked with nothing.  Every row is a document of its own: rows that share a doc_id
+    are linked if their texts are, and not by the id.  A row without doc_id is linked with
+    nothing and stays.  An empty table gives an empty result; other columns are ignored.
     """
-    return NearDuplicates(docs, id_col, text_col, k, percent).run()
+    return NearDuplicates(docs, id_col, text_col, k, percent).run().drop("text_key")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    staging = Staging(docs.sparkSession, "near-kept")
-    dropped = staging.table(near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "dropped")
+    """The documents that stay, with all their columns; rows that repeat id and text stay as they are."""
+    found = NearDuplicates(docs, id_col, text_col)
+    dropped = found.staging.table(found.run().where(~F.col("kept")).select("doc_id", "text_key").distinct(), "dropped")
     side = small_or_shuffled(dropped, dropped.count())
-    return docs.join(side, docs[id_col] == F.col("_id"), "left_anti")
+    same = (docs[id_col] == side["doc_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == side["text_key"])
+    return docs.join(side, same, "left_anti")

@@ -135,28 +135,12 @@ def _grouped(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield start, run
 
 
-def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, shingles)."""
-    for batch in batches:
-        for start, sets in _grouped(batch):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(sets)), _list_array(sets)], ["doc_id", "shingles"])
-
-
-def sample_rows(batches: Iterator[pa.RecordBatch], keys: int, k: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n, mins, sample, spare): set size, the least hashes, more of them cut to 15 bits, and how many of those repeat another."""
-    for batch in batches:
-        for start, sets in _grouped(batch):
-            n = pa.array([len(s) for s in sets], pa.int64())
-            cut = [s[:k] & 0x7FFF for s in sets]
-            spare = pa.array([len(c) - len(np.unique(c)) for c in cut], pa.int32())
-            short = _list_array(cut).cast(pa.list_(pa.int16()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(sets)), n, _list_array([s[:keys] for s in sets]), short, spare], ["doc_id", "n", "mins", "sample", "spare"])
-
-
-def sketch_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n, sig, sketch): set size, digest of the set and its k least hashes."""
+def sketch_rows(batches: Iterator[pa.RecordBatch], k: int | None) -> Iterator[pa.RecordBatch]:
+    """The columns but text, then n, sig, sketch: set size, digest of the set and its k least hashes (None: all of them)."""
     for batch in batches:
+        others = [c for c in batch.schema.names if c != "text"]
         for start, sets in _grouped(batch):
             n = pa.array([len(s) for s in sets], pa.int64())
             sig = pa.array([hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(sets)), n, sig, _list_array([s[:k] for s in sets])], ["doc_id", "n", "sig", "sketch"])
+            kept = [batch.column(c).slice(start, len(sets)) for c in others]
+            yield pa.RecordBatch.from_arrays([*kept, n, sig, _list_array([s[:k] for s in sets])], [*others, "n", "sig", "sketch"])

@@ -263,6 +263,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     staging = Staging(pages.sparkSession, "html")
     rows = _rows(pages, id_col, url_col, html_col)
     known = templates(rows, staging)
-    beside = join_groups(rows.select("page_id", "url", "host", "html"), known, ["host"], "n_pages", "left", wide=True)
+    beside = join_groups(rows.select("page_id", "url", "host", "html"), known, ["host"], "n_pages", "left", width=16 * F.coalesce(F.size("tokens"), F.lit(0)) + 300)
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}, text string"
     return beside.select("page_id", "url", "html", "tokens", "classes", "region").mapInArrow(_text_rows, schema)

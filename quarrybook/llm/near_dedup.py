@@ -134,7 +134,7 @@ class NearDuplicates:
         for side in ("b", "a"):
             often = pairs.groupBy(F.col(side).alias("node")).agg(F.count("*").alias("pairs"))
             groups = table.join(small_or_shuffled(often, often.count()), "node").select(F.col("node").alias(side), "pairs", *[F.col(c).alias(f"{c}_{side}") for c in columns])
-            out = join_groups(out, self.staging.table(groups, f"{name}-{side}"), [side], "pairs", "inner", wide=True).drop("pairs")
+            out = join_groups(out, self.staging.table(groups, f"{name}-{side}"), [side], "pairs", "inner", width=8 * F.size(f"{columns[-1]}_{side}") + 50).drop("pairs")
         return out
 
     def confirm(self, pairs: DataFrame, reps: DataFrame, name: str) -> DataFrame:

@@ -37,7 +37,8 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
-    return found.withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).drop("item_ids")
+    hashed = found.withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).withColumn("near_sha256", F.sha2(F.array_join("near_ids", ","), 256))
+    return hashed.withColumn("n_near", F.size("near_ids").cast("long")).drop("item_ids", "near_ids")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +98,16 @@ spans AS (
   FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS p FROM dw, widths WHERE len(w) >= width)
 ), hits AS (SELECT doc_id, item_id, p, s.width FROM spans s JOIN items i ON s.width = i.width AND s.key = i.key),
 words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + width)) AS x FROM hits) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id),
+long AS (SELECT item_id, list_distinct(w) AS terms, len(w) + 5 AS reach, CAST(ceil(0.8 * len(list_distinct(w))) AS BIGINT) AS needed FROM iw WHERE len(w) >= 10),
+pairs AS (SELECT doc_id, item_id, w, terms, reach, needed FROM dw JOIN long ON len(list_intersect(w, terms)) >= needed),
+close AS (
+  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM pairs)
+  WHERE len(list_intersect(w[p:p + reach - 1], terms)) >= needed
+), near AS (SELECT doc_id, count(*) AS n_near, string_agg(i, ',' ORDER BY i) AS near_ids FROM close GROUP BY doc_id)
 SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near, sha256(coalesce(near_ids, '')) AS near_sha256
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 OP8_SQL = r"""

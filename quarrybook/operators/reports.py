@@ -47,9 +47,10 @@ def check_text(value: Column, limit: int = QUESTION_CHARS) -> Column:
     return F.when(F.coalesce(F.trim(value), F.lit("")) == "", "empty").when(F.length(F.trim(value)) > limit, "too long")
 
 
-def error_kind(status: Column, message: Column) -> Column:
-    """A provider's error by its status and message."""
-    per_day = F.coalesce(F.lower(message), F.lit("")).contains("per-day")
+def error_kind(status: Column, message: Column, raw: Column | None = None) -> Column:
+    """A provider's error by its status, its message and the raw text in its metadata; a limit per day is a quota."""
+    said = F.lower(F.concat_ws(" ", message, *([] if raw is None else [raw])))
+    per_day = said.rlike("per[- ]day")
     return (
         F.when(status.isin(401, 402, 403), "rejected")
         .when((status == 429) & per_day, "quota")

@@ -498,9 +498,9 @@ def _answers(spark, sf_dir):
     return rows.select("conv_id", "n", "k", raw.alias("raw"), F.create_map(F.lit("S1"), source, F.lit("S2"), source).alias("sources"))
 
 
-_PROBLEM = f"""CASE WHEN k IN (8, 9) OR (k = 11 AND conv_id % 2 = 0) THEN 'malformed output' WHEN k = 1 THEN 'insufficient_evidence outcome carries answer items' WHEN k = 0 THEN 'answered outcome has no answer items'
-  WHEN k = 2 THEN 'answer item: no source cited' WHEN k = 3 THEN 'claim: unknown source S9' WHEN k = 4 THEN 'claim: no supporting quote' WHEN k IN (5, 6) THEN 'claim: quote not found in S1' WHEN k = 7 THEN 'claim: quote from uncited S2'
-  WHEN length({S.squash(f"substr({S.squash('answer')}, 1, 40)")}) < 15 THEN 'claim: quote not found in S1' END"""
+_PROBLEM = f"""CASE WHEN k IN (8, 9) OR (k = 11 AND conv_id % 2 = 0) THEN 'malformed' WHEN k = 1 THEN 'items_without_evidence' WHEN k = 0 THEN 'answered_without_items'
+  WHEN k = 2 THEN 'item:uncited' WHEN k = 3 THEN 'claim:unknown:S9' WHEN k = 4 THEN 'claim:unquoted' WHEN k IN (5, 6) THEN 'claim:quote_missing:S1' WHEN k = 7 THEN 'claim:quote_uncited:S2'
+  WHEN length({S.squash(f"substr({S.squash('answer')}, 1, 40)")}) < 15 THEN 'claim:quote_missing:S1' END"""
 
 
 @query(f"WITH {S.PAIRS} SELECT conv_id, n, {_PROBLEM} AS problem, CASE WHEN {_PROBLEM} IS NULL THEN 1 END AS n_qualifications FROM (SELECT *, (conv_id * 7 + n) % 12 AS k FROM exchanges)")

@@ -41,9 +41,9 @@ def test_text_functions(spark):
     r = one(
         spark, a=T.squash(F.lit("  a \n b\x1c ")), b=T.normalize_answer(F.lit("The  TNF-α_(x)!")), c=T.normalize_answer(F.lit("Straße ﬁ")),
         d=T.pmid_from_url(F.lit("http://www.ncbi.nlm.nih.gov/pubmed/123/")), e=T.pmid_from_url(F.lit("https://pubmed.ncbi.nlm.nih.gov/123/x")),
-        f=T.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>")), g=T.display_text(F.lit("CDK1 (S1, S2) is")), h=T.strip_fence(F.lit("```json\n{}\n```")), i=T.nfc(F.lit("é")),
+        f=T.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>")), g=T.display_text(F.lit("Kinases [S2; S3] act")), h=T.strip_fence(F.lit("```json\n{}\n```")), i=T.nfc(F.lit("é")),
     )
-    assert tuple(r) == ("a b", "tnf alpha x", "strasse fi", "123", None, 0.0, "CDK1 is", "{}", "é")
+    assert tuple(r) == ("a b", "tnf alpha x", "strasse fi", "123", None, 0.0, "Kinases act", "{}", "é")
 
 
 def test_tokens(spark):
@@ -137,7 +137,7 @@ def test_quota_does_not_depend_on_order(spark):
 
 def test_answer_gate(spark):
     good = '{"outcome":"answered","items":[{"text":"x","source_ids":["S1"]}],"claims":[{"text":"c","source_ids":["S1"],"quotes":[{"source_id":"S1","text":"a quote  of enough words"}]}],"qualifications":[" ","q"]}'
-    cases = {good: None, good[:-1]: "malformed output", good.replace('"x"', '""'): "malformed output", good.replace('"qualifications"', '"extra"'): "malformed output", good.replace("of enough", "of other"): "claim: quote not found in S1", good.replace('"source_id":"S1"', '"source_id":"S2"'): "claim: quote from uncited S2", good.replace("answered", "insufficient_evidence"): "insufficient_evidence outcome carries answer items"}
+    cases = {good: None, good[:-1]: "malformed", good.replace('"x"', '""'): "malformed", good.replace('"qualifications"', '"extra"'): "malformed", good.replace("of enough", "of other"): "claim:quote_missing:S1", good.replace('"source_id":"S1"', '"source_id":"S2"'): "claim:quote_uncited:S2", good.replace("answered", "insufficient_evidence"): "items_without_evidence"}
     df = spark.createDataFrame([(k,) for k in cases], "raw string").withColumn("sources", F.create_map(F.lit("S1"), F.struct(F.lit("t").alias("title"), F.lit("here is a quote of enough words").alias("abstract"))))
     got = {r["raw"]: r for r in validation.validate_answers(df).collect()}
     assert {k: r["problem"] for k, r in got.items()} == cases and got[good]["qualifications"] == ["q"]
@@ -153,8 +153,8 @@ def test_limits(spark):
 
 
 XML = """<?xml version="1.0"?><!DOCTYPE PubmedArticleSet PUBLIC "x" "y"><PubmedArticleSet>
-<PubmedArticle><MedlineCitation><PMID>1</PMID><Article><Journal><JournalIssue><PubDate><MedlineDate>1998 Dec-1999 Jan</MedlineDate></PubDate></JournalIssue><Title>J</Title></Journal><ArticleTitle>On <i>in vivo</i> work</ArticleTitle>
-<Abstract><AbstractText Label="AIMS">One.</AbstractText><AbstractText Label="UNLABELLED">Two.</AbstractText></Abstract></Article><CommentsCorrectionsList><CommentsCorrections RefType="ErratumIn"><PMID>99</PMID></CommentsCorrections></CommentsCorrectionsList></MedlineCitation></PubmedArticle>
+<PubmedArticle><MedlineCitation><PMID>1</PMID><Article><Journal><JournalIssue><PubDate><MedlineDate>2003 Spring to 2004</MedlineDate></PubDate></JournalIssue><Title>J</Title></Journal><ArticleTitle>On <i>in vivo</i> work</ArticleTitle>
+<Abstract><AbstractText Label="SCOPE">One.</AbstractText><AbstractText Label="UNLABELLED">Two.</AbstractText></Abstract></Article><CommentsCorrectionsList><CommentsCorrections RefType="ErratumIn"><PMID>99</PMID></CommentsCorrections></CommentsCorrectionsList></MedlineCitation></PubmedArticle>
 <PubmedArticle><MedlineCitation><PMID>2</PMID><Article><ArticleTitle>T</ArticleTitle></Article></MedlineCitation></PubmedArticle>
 <PubmedArticle><MedlineCitation><PMID>3</PMID><Article><ArticleTitle>T</ArticleTitle><Abstract><AbstractText>x</AbstractText></Abstract><PublicationTypeList><PublicationType>Retracted Publication</PublicationType></PublicationTypeList></Article></MedlineCitation></PubmedArticle>
 <PubmedBookArticle><BookDocument><PMID>4</PMID><Book><BookTitle>B</BookTitle><PubDate><Year>2010</Year></PubDate></Book><Abstract><AbstractText>y</AbstractText></Abstract></BookDocument></PubmedBookArticle>
@@ -165,11 +165,16 @@ def test_article_xml(spark):
     requested = spark.createDataFrame([("4", 0), ("1", 1), ("2", 2), ("3", 3), ("5", 4)], "pmid string, pos long")
     kept, dropped = ingest.parse_articles(spark.createDataFrame([(0, XML)], "response long, xml string"), requested)
     got = {r["pmid"]: r for r in kept.collect()}
-    assert set(got) == {"1", "4"} and got["1"]["title"] == "On in vivo work" and got["1"]["abstract"] == "AIMS: One. Two." and got["1"]["year"] == 1998 and got["1"]["status"] == "corrected"
+    assert set(got) == {"1", "4"} and got["1"]["title"] == "On in vivo work" and got["1"]["abstract"] == "SCOPE: One. Two." and got["1"]["year"] == 2003 and got["1"]["status"] == "corrected"
     assert (got["4"]["title"], got["4"]["year"], got["4"]["journal"]) == ("B", 2010, None)
     assert sorted(rows(dropped)) == [("1", "duplicate"), ("2", "no_abstract"), ("3", "retracted"), ("5", "not_returned")]
     with pytest.raises(ValueError):
-        ingest.read_articles("<eFetchResult><ERROR>no</ERROR></eFetchResult>")
+        list(ingest.fields("<eFetchResult><ERROR>no</ERROR></eFetchResult>"))
+    with pytest.raises(Exception, match="no link result"):
+        ingest.parse_neighbours(spark.createDataFrame([("<eLinkResult><ERROR>no</ERROR></eLinkResult>",)], "xml string")).collect()
+    stored = spark.createDataFrame([(1, ["1", "2"], hashlib.sha256(b"<a/>").hexdigest(), "<a/>"), (2, ["3"], hashlib.sha256(b"<a/>").hexdigest(), "<b/>"), (3, ["9"], hashlib.sha256(b"<a/>").hexdigest(), "<a/>")], "batch long, pmids array<string>, sha256 string, xml string")
+    asked = spark.createDataFrame([(1, ["1", "2"]), (2, ["3"]), (3, ["4"]), (4, ["5"])], "batch long, pmids array<string>")
+    assert [(r["state"], r["xml"]) for r in ingest.reuse_responses(asked, stored).orderBy("batch").collect()] == [("reuse", "<a/>"), ("mismatch", None), ("mismatch", None), ("fetch", None)]
     links = "<eLinkResult><LinkSet><IdList><Id>1</Id></IdList><LinkSetDb><LinkName>pubmed_pubmed</LinkName><Link><Id>1</Id><Score>9</Score></Link><Link><Id>3</Id><Score>5</Score></Link><Link><Id>2</Id><Score>5</Score></Link></LinkSetDb><LinkSetDb><LinkName>other</LinkName><Link><Id>7</Id><Score>8</Score></Link></LinkSetDb></LinkSet></eLinkResult>"
     assert sorted(rows(ingest.parse_neighbours(spark.createDataFrame([(links,)], "xml string")))) == [("1", "2", 5, 1), ("1", "3", 5, 2)]
 

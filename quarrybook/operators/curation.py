@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrybook.functions import text as T
 from quarrybook.plans.components import connected_components
+from quarrybook.plans.pairs import similar_candidates
 from quarrybook.plans.staging import Staging
 
 MAX_QUESTION_CHARS = 2000
@@ -54,15 +55,20 @@ def related_pairs(questions: DataFrame, staging: Staging) -> DataFrame:
     sets = staging.table(sets, "sets")
     first = sets.groupBy("words").agg(F.min("id").alias("a"))
     same = sets.join(first, "words").where(F.col("a") < F.col("id")).select("a", F.col("id").alias("b"))
-    cited = sets.select("id", F.explode("pmids").alias("pmid"))
-    pairs = cited.join(cited.withColumnRenamed("id", "other"), "pmid").where(F.col("id") < F.col("other")).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    side = lambda s: sets.select(F.col("id").alias(s), F.col("words").alias(f"w_{s}"), F.col("pmids").alias(f"p_{s}"))
-    judged = pairs.join(side("a"), "a").join(side("b"), "b")
-    docs, words = T.jaccard(F.col("p_a"), F.col("p_b")), T.jaccard(F.col("w_a"), F.col("w_b"))
-    alike = (docs >= DOCS_SAME) | ((words >= TEXT_SIMILAR) & (docs >= DOCS_SIMILAR))
+    judged = paper_overlaps(sets, staging)
+    alike = (F.col("docs") >= DOCS_SAME) | ((F.col("word_share") >= TEXT_SIMILAR) & (F.col("docs") >= DOCS_SIMILAR))
     return same.unionByName(judged.where(alike).select("a", "b")).distinct()
 
 
+def paper_overlaps(sets: DataFrame, staging: Staging) -> DataFrame:
+    """(a, b, word_share, docs) of (id, words, pmids): pairs with an overlap of papers of at least ``DOCS_SIMILAR``."""
+    pairs = similar_candidates(sets.select("id", F.col("pmids").alias("values")), DOCS_SIMILAR, staging)
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("words").alias(f"w_{s}"), F.col("pmids").alias(f"p_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shares = both.select("a", "b", T.jaccard(F.col("w_a"), F.col("w_b")).alias("word_share"), T.jaccard(F.col("p_a"), F.col("p_b")).alias("docs"))
+    return shares.where(F.col("docs") >= DOCS_SIMILAR)
+
+
 def group_questions(questions: DataFrame) -> DataFrame:
     """(id, group_id): related questions in chains have one group, named by its least id."""
     staging = Staging(questions.sparkSession, "groups")
@@ -76,12 +82,13 @@ def seeded(seed: int, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("/", F.lit(str(seed)), *[p.cast("string") for p in parts]), 256)
 
 
-def select_quota(candidates: DataFrame, seed: int, per_type: int) -> DataFrame:
-    """(id, type, split) of (id, group_id, type, ok): at most one of each group, ``per_type`` of each type.
+def walk_quota(candidates: DataFrame, seed: int, per_type: int) -> tuple[DataFrame, DataFrame]:
+    """((id, type), (id, group_id, type)) of (id, group_id, type, ok): the chosen, and the rejected, whose evidence failed.
 
     Groups are walked in seeded order, members too; a member is taken if its type
-    is still open and it is ok.  The walk stops when all quotas are full, so only a
-    prefix of the groups is read: it is doubled until the quotas are met.
+    is still open and it is ok, at most one of each group.  The walk goes from one closing of a type to the next:
+    in between, each group's choice is its first ok member of an open type, so Spark picks
+    the next ``per_type`` groups of each type, and the driver sees only as many rows as quotas.
     Raises if all groups do not suffice.
     """
     if per_type % 2:
@@ -90,26 +97,40 @@ def select_quota(candidates: DataFrame, seed: int, per_type: int) -> DataFrame:
     if len(types) > 1000:
         raise ValueError("more than 1000 types")
     ordered = candidates.withColumn("g", seeded(seed, F.col("group_id"))).withColumn("m", seeded(seed, F.col("group_id"), F.col("id")))
-    groups = ordered.select("g").distinct()
-    want, total = 2 * per_type * max(1, len(types)), groups.count()
-    while True:
-        last = groups.orderBy("g").limit(want).agg(F.max("g")).first()[0]
-        taken: dict[str, list] = {t: [] for t in types}
-        done: set[str] = set()
-        # one row for each question of the prefix, which is bounded by the quotas
-        for r in ordered.where(F.col("g") <= F.lit(last)).select("g", "m", "id", "type", "ok").orderBy("g", "m").toLocalIterator():
-            if r["g"] not in done and r["ok"] and len(taken[r["type"]]) < per_type:
-                taken[r["type"]].append(r["id"])
-                done.add(r["g"])
-        short = {t: per_type - len(ids) for t, ids in taken.items() if len(ids) < per_type}
-        if not short:
-            break
-        if want >= total:
-            raise ValueError(f"all {total} groups examined; still short {short}")
-        want *= 2
-    rows = [(i, t) for t, ids in taken.items() for i in ids]
-    chosen = candidates.sparkSession.createDataFrame(rows, f"id {candidates.schema['id'].dataType.simpleString()}, type string")
-    return split_in_half(chosen, seed)
+    ordered = Staging(candidates.sparkSession, "quota").table(ordered, "ordered")
+    taken: dict[str, list[tuple]] = {t: [] for t in types}
+    closed: dict[str, str] = {}
+    done = ""
+    while len(closed) < len(types):
+        still = [t for t in types if t not in closed]
+        first = ordered.where(F.col("ok") & (F.col("g") > done) & F.col("type").isin(still)).groupBy("g").agg(F.min(F.struct("m", "id", "type")).alias("x"))
+        ranked = first.select("g", "x.*").withColumn("k", F.row_number().over(Window.partitionBy("type").orderBy("g")))
+        needed = F.element_at(F.create_map(*[F.lit(v) for t in still for v in (t, per_type - len(taken[t]))]), F.col("type"))
+        rows = sorted(ranked.where(F.col("k") <= per_type).where(F.col("k") <= needed).collect(), key=lambda r: r["g"])
+        ends = {}
+        for r in rows:
+            if r["k"] == per_type - len(taken[r["type"]]):
+                ends[r["type"]] = r["g"]
+        if not ends:
+            short = {t: per_type - len(taken[t]) - sum(r["type"] == t for r in rows) for t in still}
+            raise ValueError(f"all groups examined; still short {short}")
+        done = min(ends.values())
+        for r in rows:
+            if r["g"] <= done:
+                taken[r["type"]].append((r["id"], r["type"], r["g"], r["m"]))
+        closed |= {t: done for t, end in ends.items() if end == done}
+    id_type = candidates.schema["id"].dataType.simpleString()
+    chosen = candidates.sparkSession.createDataFrame([row for rows in taken.values() for row in rows], f"id {id_type}, type string, g string, m string")
+    # the chosen are at most 1000 times per_type rows, the types 1000
+    ends = candidates.sparkSession.createDataFrame(list(closed.items()), "type string, until string")
+    walked = ordered.where(~F.col("ok") & (F.col("g") <= done)).join(F.broadcast(ends), "type").where("g <= until")
+    beside = walked.join(chosen.select("g", F.col("m").alias("chosen")), "g", "left").where("chosen IS NULL OR m < chosen")
+    return chosen.select("id", "type"), beside.select("id", "group_id", "type")
+
+
+def select_quota(candidates: DataFrame, seed: int, per_type: int) -> DataFrame:
+    """(id, type, split) of the chosen; see :func:`walk_quota`."""
+    return split_in_half(walk_quota(candidates, seed, per_type)[0], seed)
 
 
 def split_in_half(chosen: DataFrame, seed: int) -> DataFrame:

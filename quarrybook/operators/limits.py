@@ -81,6 +81,14 @@ def occurrences(prompts: DataFrame, key: str, ts: str = "ts", tie: str = "event_
     return prompts.withColumn("occurrence", F.row_number().over(Window.partitionBy(key).orderBy(ts, tie)).cast("long"))
 
 
+def cached_completions(prompts: DataFrame, cache: DataFrame, key: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """``prompts`` with occurrence and completion: what is stored for the n-th sending of the same prompt, or null.
+
+    ``cache``: (key, occurrence, completion); failures are never stored.
+    """
+    return occurrences(prompts, key, ts, tie).join(cache.select(key, "occurrence", "completion"), [key, "occurrence"], "left")
+
+
 def attempt_budget(attempts: DataFrame, most: int = 4, retries: int = 2, deadline: float = 90.0, reserve: float = 5.0) -> DataFrame:
     """(request, n, seconds, failed) with allowed: whether the attempt may be made within the request's budget."""
     w = Window.partitionBy("request").orderBy("n")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import random
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrybook.plans.prefix import running_total
+from quarrybook.plans.staging import Staging
+
 SEED, RESAMPLES = 20260923, 10_000
 #: Differences up to this count as ties.
 TIE = 1e-12
@@ -41,18 +45,43 @@ def score_rankings(hits: DataFrame, relevant: DataFrame, queries: DataFrame | No
 
 
 def summarize(scores: DataFrame, *by: str) -> DataFrame:
-    """Means over the queries that have a score, and how many have a relevant paper in the top ten."""
-    return scores.where(F.col("recall_at_10").isNotNull()).groupBy("method", *by).agg(
+    """Means over the queries that have a score, and how many have a relevant paper in the top ten, for each method and, within it, each value of ``by``.
+
+    With ``by`` there is a row over all of its values too, in which it is null (grouping sets).
+    """
+    scored = scores.where(F.col("recall_at_10").isNotNull())
+    grouped = scored.groupingSets([["method"], ["method", *by]], "method", *by) if by else scored.groupBy("method")
+    return grouped.agg(
         F.count("*").alias("questions_scored"), F.avg("recall_at_5").alias("recall_at_5"), F.avg("recall_at_10").alias("recall_at_10"),
         F.avg("rr_at_10").alias("mrr_at_10"), F.count("first_rank").alias("any_relevant_in_top_10"),
     )
 
 
+def placed_values(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """(*by, value, first, last, n): the places that each distinct value takes in its group's order, from 1, and the group's size.
+
+    Places are prefix sums of counts over range partitions, so a group of any size is spread over tasks.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    summed = running_total(counted, [*by, value], {"_before": "_c"}, Staging(rows.sparkSession, "places"))
+    summed = Staging(rows.sparkSession, "placed").table(summed, "summed")
+    groups = summed.groupBy(*by).agg(F.min("_before").alias("_start"), F.sum("_c").alias("n"))
+    beside = summed.join(groups, list(by)) if by else summed.crossJoin(F.broadcast(groups))  # one row
+    return beside.select(*by, value, (F.col("_before") - F.col("_start") + 1).alias("first"), (F.col("_before") - F.col("_start") + F.col("_c")).alias("last"), "n")
+
+
 def nearest_rank(rows: DataFrame, value: str, share: float, *by: str) -> DataFrame:
     """The value at place max(1, round(share * n)) of each group; halves round to even."""
-    w = Window.partitionBy(*by)
-    placed = rows.withColumn("_place", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    return placed.where(F.col("_place") == F.greatest(F.lit(1), F.bround(F.col("_n") * share))).select(*by, value)
+    place = F.greatest(F.lit(1), F.bround(F.col("n") * share))
+    return placed_values(rows, value, *by).where((F.col("first") <= place) & (place <= F.col("last"))).select(*by, value)
+
+
+def latency_summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """p50 (mean of the middle ones), p95 (nearest rank) and max of each group."""
+    at = lambda place: (F.col("first") <= place) & (place <= F.col("last"))
+    low, high, far = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1, F.greatest(F.lit(1), F.bround(F.col("n") * 0.95))
+    value_at = lambda place: F.max(F.when(at(place), F.col(value)))
+    return placed_values(rows, value, *by).groupBy(*by).agg(((value_at(low) + value_at(high)) / 2).alias("p50"), value_at(far).alias("p95"), F.max(value).alias("max"))
 
 
 def describe(rows: DataFrame, value: str, *by: str) -> DataFrame:
@@ -71,21 +100,33 @@ def wins(diffs: DataFrame, *by: str) -> DataFrame:
     return diffs.groupBy(*by).agg(F.avg("diff").alias("mean_difference"), F.count_if(F.col("diff") > TIE).alias("a_better"), F.count_if(F.col("diff") < -TIE).alias("b_better"), F.count_if(F.abs("diff") <= TIE).alias("ties"))
 
 
-def _bootstrap(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def resample_weights(query_id: str) -> np.ndarray:
+    """How often a question is drawn in each resample: Poisson numbers that depend on the seed and the id alone."""
+    return np.random.default_rng([SEED, zlib.crc32(query_id.encode())]).poisson(1.0, RESAMPLES)
+
+
+def _resampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    drawn, sums = np.zeros(RESAMPLES), np.zeros(RESAMPLES)
     for frame in frames:
-        for diffs in frame["diffs"]:
-            rng, n = random.Random(SEED), len(diffs)
-            means = sorted(sum(rng.choice(diffs) for _ in range(n)) / n for _ in range(RESAMPLES))
-            yield pd.DataFrame({"low": [means[int(0.025 * RESAMPLES)]], "high": [means[int(0.975 * RESAMPLES) - 1]]})
+        for query_id, diff in zip(frame["query_id"], frame["diff"], strict=True):
+            weights = resample_weights(query_id)
+            drawn += weights
+            sums += weights * diff
+    yield pd.DataFrame({"resample": range(RESAMPLES), "drawn": drawn, "total": sums})
 
 
 def bootstrap_ci(diffs: DataFrame) -> DataFrame:
-    """(low, high) of the mean difference over the benchmark's questions, in order of query_id.
+    """(low, high): the middle 95 % of the mean difference over ``RESAMPLES`` resamples of the questions.
 
-    A benchmark has at most a few thousand questions; resampling needs them together.
+    Every question draws its own number of repeats in each resample (Poisson bootstrap), so each task adds up the questions it has,
+    and only one row for each task and resample is shuffled.  No rows without questions.
     """
-    gathered = diffs.agg(F.transform(F.sort_array(F.collect_list(F.struct("query_id", "diff"))), lambda x: x["diff"]).alias("diffs")).where(F.size("diffs") > 0)
-    return gathered.mapInPandas(lambda f: _bootstrap(f), "low double, high double")
+    parts = diffs.select(F.col("query_id").cast("string"), "diff").mapInPandas(_resampled, "resample long, drawn double, total double")
+    means = parts.groupBy("resample").agg(F.round(F.sum("total") / F.nullif(F.sum("drawn"), F.lit(0.0)), 12).alias("mean")).where("mean IS NOT NULL")
+    # a row for each resample, whatever the input
+    ordered = means.agg(F.sort_array(F.collect_list("mean")).alias("m")).where(F.size("m") > 0)
+    n = F.size("m")
+    return ordered.select(F.get("m", F.floor(n * 0.025).cast("int")).alias("low"), F.get("m", F.greatest(F.floor(n * 0.975) - 1, F.lit(0)).cast("int")).alias("high"))
 
 
 def miss_depth(deep_hits: DataFrame, relevant: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def http_status(outcome: Column, error: Column) -> Column:
 
 def origins(setting: Column) -> Column:
     """A comma-separated list without blanks and empty parts."""
-    return F.filter(F.transform(F.split(setting, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(setting, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def attempt_ceiling(used: Column, remaining: Column, reserve: int) -> Column:
@@ -85,7 +85,7 @@ def fixture_failures(cases: DataFrame) -> DataFrame:
 
     Columns: id, outcome, items, calls, and the expectations want_outcome (array, null: any), not_outcome, items_include, items_exclude, want_calls.
     """
-    shown = F.transform("items", F.lower)
+    shown = F.transform("items", lambda i: F.lower(i))
     has = lambda part: F.exists(shown, lambda i: F.contains(i, F.lower(part)))
     fails = F.filter(F.array(
         F.when(F.col("want_outcome").isNotNull() & ~F.array_contains("want_outcome", F.col("outcome")), "outcome"),

@@ -145,3 +145,29 @@ def select_evidence(hits: DataFrame, papers: DataFrame, units: DataFrame, most:
     cut = counted.withColumn("stop", F.min(over).over(Window.partitionBy("query_id")))
     shown = cut.where((F.col("place") <= most) & (F.col("stop").isNull() | (F.col("place") < F.col("stop"))))
     return shown.select("query_id", F.concat(F.lit("S"), F.col("place").cast("string")).alias("label"), "pmid", "unit_id", "n_chars")
+
+
+def relevant_papers(papers: DataFrame, questions: DataFrame, run: int = 8) -> DataFrame:
+    """(query_id, pmid): papers (pmid, terms) that have ``run`` terms in a row in common with a question (query_id, terms).
+
+    Runs are compared by hash, then those few that agree by their terms.
+    """
+    def runs(df: DataFrame, key: str) -> DataFrame:
+        hashed = F.transform(F.sequence(F.lit(1), F.size("terms") - run + 1), lambda i: F.xxhash64(F.slice("terms", i, run)))
+        return df.where(F.size("terms") >= run).select(key, F.posexplode(hashed).alias("at", "h"))
+
+    asked = runs(questions, "query_id").withColumnRenamed("at", "asked_at")
+    met = runs(papers, "pmid").join(small_or_shuffled(asked, asked.count()), "h").groupBy("query_id", "pmid", "h").agg(F.first("at").alias("at"), F.first("asked_at").alias("asked_at"))
+    beside = met.join(papers.select("pmid", F.col("terms").alias("p")), "pmid").join(questions.select("query_id", F.col("terms").alias("q")), "query_id")
+    return beside.where(F.slice("p", F.col("at") + 1, run) == F.slice("q", F.col("asked_at") + 1, run)).select("query_id", "pmid").distinct()
+
+
+def title_sample(papers: DataFrame, seed: int, n: int = 5) -> DataFrame:
+    """(query_id, text): ``n`` papers in seeded order, asked for by their own titles; see ``sources.files.publish``."""
+    return papers.select(F.col("pmid").alias("query_id"), F.col("title").alias("text")).orderBy(F.sha2(F.concat_ws("/", F.lit(str(seed)), "pmid"), 256)).limit(n)
+
+
+def own_ranks(hits: DataFrame, sample: DataFrame) -> DataFrame:
+    """(query_id, rank): where each sampled paper is in the hits for its own title; null if it is not."""
+    own = hits.where(F.col("pmid") == F.col("query_id")).select("query_id", "rank")
+    return sample.select("query_id").join(own, "query_id", "left")

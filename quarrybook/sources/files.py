@@ -90,3 +90,22 @@ def publish(unit_count: int, stored: DataFrame, self_ranks: DataFrame, index: Da
     if lost := self_ranks.where(F.col("rank").isNull() | (F.col("rank") > most_rank)).count():
         raise ValueError(f"{lost} sampled titles do not find their own paper")
     index.write.mode("errorifexists").parquet(path)
+
+
+def write_benchmark(questions: DataFrame, path: str) -> DataFrame:
+    """Questions (id, type, split, body, ...) as JSON lines below a new ``path``, and a manifest of counts and hashes without any text."""
+    questions.write.mode("errorifexists").json(f"{path}/questions")
+    one = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("id").cast("string"), "type", "split", "body"), 256), 1, 14), 16, 10).cast("decimal(38,0)")
+    found = questions.groupBy("split", "type").agg(F.count("*").alias("n"), F.sum(one).cast("string").alias("content_sum"))
+    found.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
+    return found
+
+
+def write_results(details: DataFrame, aggregates: DataFrame, config: dict[str, str], path: str) -> DataFrame:
+    """A run's rows and its aggregates with the hash of its settings, below a new ``path``."""
+    named = sorted(config.items())
+    digest = F.sha2(F.concat_ws("\n", *[F.lit(f"{k}={v}") for k, v in named]), 256)
+    details.write.mode("errorifexists").json(f"{path}/details")
+    found = aggregates.withColumn("config_sha256", digest)
+    found.coalesce(1).write.mode("errorifexists").json(f"{path}/aggregates")
+    return found

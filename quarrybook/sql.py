@@ -76,11 +76,17 @@ dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM postings GROUP BY term)"""
 
 ASKED = f"""asked AS MATERIALIZED (SELECT DISTINCT item_id AS query_id, unnest({tokens("text")}) AS term FROM benchmark)"""
 
-QRELS = f"""heads AS (SELECT item_id AS query_id, array_to_string(l[1:8], ' ') AS head FROM (SELECT item_id, {tokens("text")} AS l FROM benchmark) WHERE len(l) >= 8),
-grams AS (SELECT DISTINCT pmid, array_to_string(l[i:i + 7], ' ') AS head FROM (SELECT pmid, l, unnest(range(1, len(l) - 6)) AS i FROM (SELECT pmid, {tokens("title || chr(10) || abstract")} AS l FROM papers) WHERE len(l) >= 8)),
+def qrels(run: int) -> str:
+    """Papers with ``run`` terms in a row in common with an item."""
+    grams = f"array_to_string(l[i:i + {run - 1}], ' ') AS head"
+    return f"""heads AS (SELECT DISTINCT query_id, {grams} FROM (SELECT query_id, l, unnest(range(1, len(l) - {run - 2})) AS i FROM (SELECT item_id AS query_id, {tokens("text")} AS l FROM benchmark) WHERE len(l) >= {run})),
+grams AS (SELECT DISTINCT pmid, {grams} FROM (SELECT pmid, l, unnest(range(1, len(l) - {run - 2})) AS i FROM (SELECT pmid, {tokens("title || chr(10) || abstract")} AS l FROM papers WHERE true) WHERE len(l) >= {run})),
 qrels AS MATERIALIZED (SELECT DISTINCT query_id, pmid FROM heads JOIN grams USING (head))"""
 
 
+QRELS = qrels(8)
+
+
 def bm25(name: str, k: int, k1: float = 1.5, b: float = 0.75) -> str:
     """A ranking of the benchmark's items over the index."""
     return f"""{name} AS MATERIALIZED (

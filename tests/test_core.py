@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quarrybook import queries
+from quarrybook import queries, record_queries
 from quarrybook.functions import text as T
 from quarrybook.functions import tokens as K
 from quarrybook.operators import curation, ingest, limits, metrics, papers, retrieval, validation
@@ -19,9 +19,9 @@ from quarrybook.plans.staging import Staging
 from quarrybook.sources import files
 
 SF = "/root/testdata/sf0.001"
-TABLES = "events documents embeddings pages benchmark labels conversations".split()
+TABLES = "lineitem part events documents embeddings pages benchmark labels conversations".split()
 #: Cheap queries that cover every module; the driver runs all of them.
-SAMPLE = "tokenize_terms units_passages bm25_topk vector_knn rrf_hybrid evidence_select recall_mrr miss_depth list_f1 question_groups eligibility_reasons quota_split collection_expand schema_gate request_key_replay rolling_pacer snapshot_manifest batches_of_n stream_hourly_admission signed_tokens answer_normalize".split()
+SAMPLE = "tokenize_terms units_passages bm25_topk vector_knn rrf_hybrid evidence_select recall_mrr miss_depth list_f1 question_groups eligibility_reasons quota_split collection_expand schema_gate request_key_replay rolling_pacer snapshot_manifest batches_of_n stream_hourly_admission signed_tokens answer_normalize history_last latency_summary article_records article_exclusions article_links stored_responses paper_files summary_by_kind followup_turns request_checks cached_completions".split()
 
 
 def rows(df):
@@ -109,13 +109,20 @@ def test_answer_scores(spark):
 def test_nearest_rank(spark):
     df = spark.range(1, 31).select(F.lit("a").alias("g"), F.col("id").alias("v"))
     assert rows(metrics.nearest_rank(df, "v", 0.95, "g")) == [("a", 28)]
+    assert rows(metrics.latency_summary(df.unionByName(spark.createDataFrame([("b", 7), ("b", 7), ("b", None)], "g string, v long")), "v", "g").orderBy("g")) == [("a", 15.5, 28, 30), ("b", 7.0, 7, 7)]
 
 
-def test_bootstrap_is_pythons(spark):
-    diffs = spark.createDataFrame([(k, d) for k, d in enumerate([0.1, -0.2, 0.3])], "query_id long, diff double")
-    rng = random.Random(metrics.SEED)
-    means = sorted(sum(rng.choice([0.1, -0.2, 0.3]) for _ in range(3)) / 3 for _ in range(10_000))
-    assert rows(metrics.bootstrap_ci(diffs)) == [(means[250], means[9749])]
+def test_bootstrap(spark):
+    values = [0.1, -0.2, 0.3, 0.05, -0.1] * 8
+    diffs = spark.createDataFrame(list(enumerate(values)), "query_id long, diff double")
+    weights = [metrics.resample_weights(str(k)) for k in range(40)]
+    means = sorted(round(sum(w[r] * v for w, v in zip(weights, values, strict=True)) / sum(w[r] for w in weights), 12) for r in range(metrics.RESAMPLES))
+    got = rows(metrics.bootstrap_ci(diffs.repartition(3)))
+    assert got == [(pytest.approx(means[250], abs=1e-9), pytest.approx(means[9749], abs=1e-9))]
+    rng = random.Random(1)  # and the same as drawing with replacement, but for chance
+    drawn = sorted(sum(rng.choice(values) for _ in values) / 40 for _ in range(10_000))
+    assert abs(got[0][0] - drawn[250]) < 0.01 and abs(got[0][1] - drawn[9749]) < 0.01
+    assert rows(metrics.bootstrap_ci(diffs.limit(0))) == []
 
 
 def test_groups(spark):
@@ -133,6 +140,20 @@ def test_quota_does_not_depend_on_order(spark):
     assert sum(s == "test" for _, _, s in a) == 10
     with pytest.raises(ValueError):
         curation.select_quota(spark.createDataFrame(data[:30], schema), 1, 10)
+    chosen, rejected = curation.walk_quota(spark.createDataFrame(data, schema), 1, 10)
+    sha = lambda *p: hashlib.sha256("/".join(map(str, ("1", *p))).encode()).hexdigest()
+    taken, failed, done = {"fact": [], "list": []}, [], set()
+    for i, g, t, ok in sorted(data, key=lambda r: (sha(r[1]), sha(r[1], r[0]))):  # the walk itself
+        if all(len(x) == 10 for x in taken.values()):
+            break
+        if g not in done and len(taken[t]) < 10:
+            if ok:
+                taken[t].append(i)
+                done.add(g)
+            else:
+                failed.append(i)
+    assert sorted(r["id"] for r in chosen.collect()) == sorted(taken["fact"] + taken["list"])
+    assert sorted(r["id"] for r in rejected.collect()) == sorted(failed)
 
 
 def test_answer_gate(spark):
@@ -234,4 +255,4 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry_without_the_pipeline_folder():
     import __spark_entry__ as entry
 
-    assert set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert record_queries.query is queries.query and set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrybook.plans.names import own_names
 from quarrybook.plans.staging import Staging
 
 
@@ -17,17 +18,13 @@ def running_total(rows: DataFrame, order: list[str], values: dict[str, str], sta
     partitions before it.  Only one row per partition meets in one task.
     Equal sort keys may be in either order.
     """
-    ranged = staging.table(
-        rows.withColumn("_tie", F.monotonically_increasing_id())
-        .repartitionByRange(*order, "_tie")
-        .withColumn("_part", F.spark_partition_id()),
-        name,
-    )
-    totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_sum_{new}") for new, c in values.items()])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_part", *[F.coalesce(F.sum(f"_sum_{new}").over(before), F.lit(0)).alias(f"_from_{new}") for new in values])
-    within = Window.partitionBy("_part").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_in_{new}") for new, c in values.items()])
-    joined = summed.join(F.broadcast(offsets), "_part")
-    out = joined.select(*rows.columns, *[(F.col(f"_from_{new}") + F.col(f"_in_{new}")).alias(new) for new in values])
-    return out
+    tie, part, *_ = own = own_names(rows, "_tie", "_part", *(f"_{kind}_{new}" for new in values for kind in ("sum", "from", "in")))
+    sums, froms, ins = ({new: own[2 + 3 * j + k] for j, new in enumerate(values)} for k in range(3))
+    ranged = staging.table(rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*order, tie).withColumn(part, F.spark_partition_id()), name)
+    totals = ranged.groupBy(part).agg(*[F.sum(c).alias(sums[new]) for new, c in values.items()])
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(part, *[F.coalesce(F.sum(sums[new]).over(before), F.lit(0)).alias(froms[new]) for new in values])
+    within = Window.partitionBy(part).orderBy(*order, tie).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(ins[new]) for new, c in values.items()])
+    joined = summed.join(F.broadcast(offsets), part)
+    return joined.select(*rows.columns, *[(F.col(froms[new]) + F.col(ins[new])).alias(new) for new in values])

@@ -26,13 +26,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str,
     total = groups.agg(F.sum(count)).first()[0] or 0
     least = total // HEAVY_KEYS + 1
     heavy, light = groups.where(F.col(count) > least), groups.where(F.col(count) <= least)
-    narrow = F.broadcast(heavy.select(*keys, F.ceil(F.col(count) / least).cast("int").alias("_parts")))
+    narrow = F.broadcast(heavy.select(*keys, F.ceil(F.col(count) / least).cast("int").alias("_group_parts")))
     others = rows.join(narrow.select(*keys), keys, "left_anti").join(light, keys, how)
     if width is None or (heavy.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(heavy), keys, "inner").unionByName(others)
-    dealt = rows.join(narrow, keys, "inner").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int")).drop("_parts")
-    repeated = heavy.withColumn("_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col(count) / least).cast("int") - 1)))
-    return dealt.join(repeated.hint("merge"), [*keys, "_part"], "inner").drop("_part").unionByName(others)
+    dealt = rows.join(narrow, keys, "inner").withColumn("_group_part", F.pmod(F.monotonically_increasing_id(), F.col("_group_parts")).cast("int")).drop("_group_parts")
+    repeated = heavy.withColumn("_group_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col(count) / least).cast("int") - 1)))
+    return dealt.join(repeated.hint("merge"), [*keys, "_group_part"], "inner").drop("_group_part").unionByName(others)
 
 
 def small_or_shuffled_by_size(df: DataFrame, width: Column) -> DataFrame:

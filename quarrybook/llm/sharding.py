@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrybook.plans.names import own_names
 from quarrybook.plans.prefix import running_total
 from quarrybook.plans.staging import Staging
 
@@ -47,7 +48,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with their shard.  Texts are not shuffled.
+    """The documents with their shard; a column ``shard`` of theirs is replaced.  Texts are not shuffled.
 
     A contiguous shard is an interval of the order, so its first key is enough to
     place a row: the ``shards`` first keys are compared with every row.  Rows that
@@ -55,8 +56,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     """
     found = assign_shards(docs, shards, id_col, text_col)
     key = F.struct(F.col("doc_id"), F.col("text_crc32"), F.col("size"))
-    cuts = found.groupBy("shard").agg(F.min(key).alias("k")).agg(F.sort_array(F.collect_list(F.struct("shard", "k"))).alias("_cuts"))
+    own_col, cuts_col = own_names(docs, "own_key", "shard_cuts")
+    cuts = found.groupBy("shard").agg(F.min(key).alias("k")).agg(F.sort_array(F.collect_list(F.struct("shard", "k"))).alias(cuts_col))
     octets = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     own = F.struct(F.col(id_col).alias("doc_id"), F.crc32(octets).alias("text_crc32"), (F.octet_length(octets) + F.lit(OVERHEAD)).cast("long").alias("size"))
-    keyed = docs.withColumn("_own", own).crossJoin(F.broadcast(cuts))  # one row of at most `shards` keys
-    return keyed.withColumn("shard", F.array_max(F.transform(F.filter("_cuts", lambda c: c["k"] <= F.col("_own")), lambda c: c["shard"]))).drop("_own", "_cuts")
+    keyed = docs.withColumn(own_col, own).crossJoin(F.broadcast(cuts))  # one row of at most `shards` keys
+    place = F.array_max(F.transform(F.filter(cuts_col, lambda c: c["k"] <= F.col(own_col)), lambda c: c["shard"]))
+    return keyed.withColumn("shard", place).drop(own_col, cuts_col)

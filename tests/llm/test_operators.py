@@ -42,7 +42,7 @@ def corpus():
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(corpus(), SCHEMA).withColumns({"size": F.lit(1), "doc": F.lit("x"), "kept": F.lit(0), "value": F.lit(None).cast("string")})
+    return spark.createDataFrame(corpus(), SCHEMA).withColumns({"size": F.lit(1), "doc": F.lit("x"), "kept": F.lit(0), "value": F.lit(None).cast("string"), "_row": F.lit(1), "SHARD": F.lit("z"), "mix_id": F.lit(2), "leaked_id": F.lit(3), "repeated_key": F.lit(4), "own_key": F.lit(5), "text_key": F.lit(6), "sha": F.lit(7)})
 
 
 @pytest.fixture(scope="module")
@@ -72,6 +72,8 @@ def test_exact_duplicates(docs, none):
     assert exact_dedup.exact_duplicates(none).count() == 0
     kept = exact_dedup.drop_exact_duplicates(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
+    mixed = docs.sparkSession.createDataFrame([(3, "a b"), (5, "ab"), (5, "c"), (7, "c d"), (None, "c"), (None, "c"), (7, "cd")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in exact_dedup.drop_exact_duplicates(mixed).collect()) == [(3, "a b"), (5, "c"), (7, "c d")]
 
 
 def shingles(text):
@@ -190,7 +192,10 @@ def test_mix(docs, none):
         assert abs(taken[s] - targets[s]) <= largest[s]
     key = lambda r: (r["doc_id"] is None, r["doc_id"], r["copies"])
     assert sorted(map(key, found)) == sorted(map(key, mixing.mix(docs.repartition(7)).collect()))
-    assert mixing.mix(none).count() == 0
+    assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
+    crowd = docs.sparkSession.createDataFrame([(None, "one two three", "s", 0)] * 500 + [(k, "word " * (k % 9 + 1), "t" if k % 2 else "u", 0) for k in range(400)], "doc_id long, text string, source string, n int")
+    taken = {r["source"]: (r["t"], r["w"]) for r in mixing.mix(crowd).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("t"), F.first("target").alias("w")).collect()}
+    assert all(abs(t - w) <= 9 for t, w in taken.values()) and mixing.mixed_documents(crowd).count() == mixing.mix(crowd).agg(F.sum("copies")).first()[0]
     times = mixing.mixed_documents(docs)
     assert times.columns == docs.columns
     assert times.groupBy("doc_id").count().count() == len({r["doc_id"] for r in found if r["copies"]})
@@ -199,7 +204,7 @@ def test_mix(docs, none):
 
 def test_rounding_keeps_expectations(spark):
     rows = [(i, "s", 10) for i in range(3000)]
-    got = mixing.mix_sizes(spark.createDataFrame(rows + [(9000, "t", 20_000)], "doc_id long, source string, size long"), mixing.Staging(spark, "t"))
+    got = mixing.mix_sizes(spark.createDataFrame(rows + [(9000, "t", 20_000)], "doc_id long, source string, size long").withColumn("text_key", F.lit(0)), mixing.Staging(spark, "t"))
     by = {r["source"]: r for r in got.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()}
     assert abs(by["s"]["taken"] - by["s"]["target"]) <= 10
 

@@ -299,14 +299,17 @@ def test_chat_round_trip(spark):
     talks[7] = [("user", "hello")] + [("assistant" if k % 2 else "user", f"turn {k}") for k in range(60)]
     rows = [(c, k, role, text) for c, turns in talks.items() for k, (role, text) in enumerate(turns)]
     random.Random(1).shuffle(rows)
-    trees = chat.ChatTrees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1)))
-    read = {r["conv_id"]: r for r in trees.read_back().collect()}
+    rows += [(None, 0, "user", "z")]  # rows without conv_id are conversations of one turn
+    trees = chat.ChatTrees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"n": F.lit(1), "talk": F.lit(2), "rank": F.lit(3), "alone": F.lit(4)}))
+    found = trees.read_back().collect()
+    assert len(found) == len(talks) + 1
+    read = {r["conv_id"]: r for r in found if r["conv_id"] is not None or r["turns"][0]["text"] == "y"}
     for c, turns in talks.items():
         plain = [(role or "", text or "") for role, text in turns]
         assert [(t["role"], t["text"]) for t in read[c]["turns"]] == plain and read[c]["n_turns"] == len(turns)
         assert read[c]["loss_text"] == "".join(t for r, t in plain if r == "assistant")
     nodes = [r.asDict() for r in trees.nodes.collect()]
-    prefixes = {tuple(t[: k + 1]) for t in talks.values() for k in range(len(t))}
+    prefixes = {tuple(t[: k + 1]) for t in [*talks.values(), [("user", "z")]] for k in range(len(t))}
     assert len(nodes) == len(prefixes)  # each shared turn once
     for tree in {n["tree"] for n in nodes}:
         stream, own = {}, [n for n in nodes if n["tree"] == tree]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Buckets of the trigram hash; a power of two.
 BUCKETS = 1 << 15
 #: Most languages that are learned; more distinct labels are an error, as the model is held whole.
-MOST_LANGUAGES = 1000
+MOST_LANGUAGES = 200
 #: Added to every count.
 SMOOTHING = 0.5
 #: Bytes of text that are scored at once with few languages.
@@ -97,11 +97,12 @@ class LanguageModel:
     def fit(cls, labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
         """Learn from all rows whose language is not null; counts are summed by Spark."""
         rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+        known = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()  # before any task counts for so many
+        if known > MOST_LANGUAGES:
+            raise ValueError(f"more than {MOST_LANGUAGES} languages, which the model does not hold")
         counts = rows.mapInArrow(_count_rows, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         found = counts.toPandas()
         languages = sorted(found["lang"].unique())
-        if len(languages) > MOST_LANGUAGES:
-            raise ValueError(f"{len(languages)} languages; the model holds at most {MOST_LANGUAGES}")
         table = np.full((len(languages), BUCKETS), SMOOTHING)
         place = {lang: k for k, lang in enumerate(languages)}
         np.add.at(table, (found["lang"].map(place).to_numpy(np.int64), found["gram"].to_numpy(np.int64)), found["n"].to_numpy(float))

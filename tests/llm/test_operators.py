@@ -318,7 +318,7 @@ def test_chat_round_trip(spark):
                 assert n["start"] + k not in stream
                 stream[n["start"] + k] = ch
         assert sorted(stream) == list(range(len(stream)))
-        formatted = {r["formatted"] for r in read.values()}
+        formatted = {r["formatted"] for r in found}
         for n in own:  # what a node attends to, then itself, is a prefix of a conversation at the right positions
             seen = "".join(stream[k] for a in n["attends"] for k in range(a["from"], a["to"]))
             assert len(seen) == n["position"] and any(f.startswith(seen + n["text"]) for f in formatted)

@@ -13,7 +13,8 @@
    node of each of its lists.  A pair inside a component needs no further
    link, so a group of many near copies costs a few pairs for each document.
    Then come the nodes of those lists that still hold several components, with sketches of
-   ``WIDE_K`` values: the same lists again, by the values' rarity among these nodes, where a pair meets
+   ``WIDE_K`` values: each is paired with some nodes before it in each list, in orders by the least values, so that
+   large groups are in one component before all other pairs across components are looked at.  They are the same lists again, by the values' rarity among these nodes, where a pair meets
    only if the places of the value in both sketches leave enough values for the overlap that the two sizes need.
    Documents that share a passage, but each have words of their own, do not meet at all.  Long lists are
    joined in parts.  So no link between components is lost.
@@ -41,6 +42,9 @@ WIDE_K, WIDE_SHARED = 512, 332
 PERCENT = 75
 #: Nodes of one list that are joined in one task.
 LIST_PART = 1000
+#: Orders of a list's nodes, similar sets mostly having their least values in common, and nodes that each is paired with.
+ORDERS = (("m0", "m1", "n", "node"), ("m1", "m0", "n", "node"), ("n", "m0", "node"))
+BEFORE = 6
 
 
 class NearDuplicates:
@@ -98,31 +102,59 @@ class NearDuplicates:
         beyond = F.greatest(F.col("n") - WIDE_K, F.lit(0)) + F.greatest(F.col("n_y") - WIDE_K, F.lit(0))
         return F.when(beyond == 0, overlap).otherwise(F.greatest(overlap - beyond, F.lit(WIDE_SHARED)))
 
-    def across(self, index: DataFrame, components: DataFrame, tested: DataFrame) -> DataFrame:
-        """(a, b): hopeful pairs across components, not yet tested, of nodes whose lists hold several components."""
-        comps = self.staging.table(components, "components")
-        comps = small_or_shuffled(comps.withColumnRenamed("node", "member"), comps.count())
-        labelled = index.join(comps, index["node"] == comps["member"], "left").select("value", "node", F.coalesce("component", "node").alias("comp"))
-        labelled = self.staging.table(labelled, "labelled")
+    def open_lists(self, index: DataFrame, components: DataFrame) -> DataFrame:
+        """(value, node, n, m0, m1, place, parts): lists of wide sketches of the nodes whose lists hold several components."""
+        labelled = self.staging.table(self._labelled(index, components), "labelled")
         mixed = labelled.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("value")
         mixed = self.staging.table(mixed, "mixed")
-        open_nodes = labelled.join(small_or_shuffled(mixed, mixed.count()), "value", "left_semi").select("node", "comp").distinct()
+        open_nodes = labelled.join(small_or_shuffled(mixed, mixed.count()), "value", "left_semi").select("node").distinct()
         open_nodes = self.staging.table(open_nodes.join(self.nodes, "node"), "open")
-        wide = self.staging.table(self._again(open_nodes, WIDE_K).select("node", "comp", "n", "sketch"), "wide")
-        postings = wide.select("node", "comp", "n", F.explode("sketch").alias("value"))
-        ranked = self._ranked(postings, WIDE_K, WIDE_SHARED, "wide-index", "comp", "n")
-        lists = ranked.groupBy("value").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-        lists = lists.select("value", F.ceil(F.col("m") / LIST_PART).cast("int").alias("parts"))
+        wide = self.staging.table(self._again(open_nodes, WIDE_K).select("node", "n", "sketch"), "wide")
+        least = [F.coalesce(F.get("sketch", k), F.lit(0)).alias(f"m{k}") for k in (0, 1)]
+        ranked = self._ranked(wide.select("node", "n", *least, F.explode("sketch").alias("value")), WIDE_K, WIDE_SHARED, "wide-index", "n", "m0", "m1")
+        lists = ranked.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value", F.ceil(F.col("m") / LIST_PART).cast("int").alias("parts"))
         dealt = self.staging.table(ranked.join(lists, "value"), "dealt")
+        self.staging.drop("labelled", "mixed", "open", "wide", "wide-index")
+        return dealt
+
+    def _labelled(self, lists: DataFrame, components: DataFrame) -> DataFrame:
+        """``lists`` with each node's component."""
+        comps = small_or_shuffled(components.withColumnRenamed("node", "member"), components.count())
+        return lists.join(comps, lists["node"] == comps["member"], "left").withColumn("comp", F.coalesce("component", "node")).drop("member", "component")
+
+    def _hopeful(self, met: DataFrame, tested: DataFrame, name: str) -> DataFrame:
+        """(a, b), not yet tested, of pairs (node, n, place and the same with _y) whose sizes and places leave room for the overlap."""
+        needed = self._needed()
+        room = lambda n, place: F.col(place) <= F.least(F.col(n), F.lit(WIDE_K)) - needed + 1
+        close = F.least("n", "n_y") * 100 >= F.greatest("n", "n_y") * self.percent
+        new = met.where(close & room("n", "place") & room("n_y", "place_y")).select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
+        return self.staging.table(new.join(tested, ["a", "b"], "left_anti"), name)
+
+    def neighbours(self, lists: DataFrame, components: DataFrame, tested: DataFrame, name: str) -> DataFrame:
+        """(a, b): each node of the lists with those of other components among the ``BEFORE`` before it, in orders that have similar sets together."""
+        labelled = self.staging.table(self._labelled(lists, components), f"{name}-labelled")
+        shown, met = F.struct("node", "comp", "n", "place"), None
+        for order in ORDERS:
+            part = F.pmod(F.xxhash64(order[0]), F.col("parts")).cast("int")
+            before = Window.partitionBy("value", part).orderBy(*order).rowsBetween(-BEFORE, -1)
+            listed = labelled.select("node", "comp", "n", "place", F.collect_list(shown).over(before).alias("others"))
+            near = listed.select("node", "n", "place", F.explode(F.filter("others", lambda o: o["comp"] != F.col("comp"))).alias("o"))
+            met = near if met is None else met.unionByName(near)
+        met = met.select("node", "n", "place", *[F.col(f"o.{c}").alias(f"{c}_y") for c in ("node", "n", "place")])
+        found = self._hopeful(met, tested, name)
+        self.staging.drop(f"{name}-labelled")
+        return found
+
+    def across(self, lists: DataFrame, components: DataFrame, tested: DataFrame) -> DataFrame:
+        """(a, b): all hopeful pairs across components that are not yet tested."""
+        labelled = self._labelled(lists, components)
+        mixed = labelled.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("value")
+        dealt = self.staging.table(labelled.join(mixed, "value"), "mixed-lists")
         left = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         right = dealt.select("value", *[F.col(c).alias(f"{c}_y") for c in ("node", "comp", "n", "place")], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         met = left.join(right, ["value", "part"]).where("comp <> comp_y AND (n < n_y OR (n = n_y AND node < node_y))")
-        needed = self._needed()
-        room = lambda n, place: F.col(place) <= F.least(F.col(n), F.lit(WIDE_K)) - needed + 1
-        hopeful = met.where((F.col("n") * 100 >= F.col("n_y") * self.percent) & room("n", "place") & room("n_y", "place_y"))
-        new = hopeful.select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
-        found = self.staging.table(new.join(tested, ["a", "b"], "left_anti"), "across")
-        self.staging.drop("labelled", "mixed", "wide", "wide-index", "dealt")
+        found = self._hopeful(met, tested, "across")
+        self.staging.drop("mixed-lists")
         return found
 
     def _beside(self, pairs: DataFrame, table: DataFrame, columns: list[str], name: str) -> DataFrame:
@@ -176,13 +208,18 @@ class NearDuplicates:
         stars = self.stars(index)
         links = self.confirm(stars, reps, "stars")
         components = connected_components(links, self.staging, "a", "b", "cc-stars")
-        across = self.across(index, components, stars)
+        lists = self.open_lists(index, components)
+        near = self.neighbours(lists, components, stars, "near")
+        links = self.staging.table(links.unionByName(self.confirm(near, reps, "near")), "near-and-stars")
+        components = connected_components(links, self.staging, "a", "b", "cc-near")
+        tested = stars.unionByName(near)
+        across = self.across(lists, components, tested)
         if not across.isEmpty():
             links = self.staging.table(links.unionByName(self.confirm(across, reps, "across")), "links")
             components = connected_components(links, self.staging, "a", "b", "cc-all")
         labels = self.staging.table(self._labels(classes, components), "labels")
         members = join_groups(sketched.select("doc_id", "text_key", "n", "sig"), labels, ["sig"], "rows", "left")
-        self.staging.drop("index", "hubs", "stars", "across", "open", "components", "copies", "classes", "links", "stars-links", "across-links")
+        self.staging.drop("index", "hubs", "stars", "across", "dealt", "copies", "classes", "links", "near", "near-and-stars", "stars-links", "near-links", "across-links")
         component = F.coalesce("component_id", "doc_id")
         return members.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

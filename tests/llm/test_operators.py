@@ -1,6 +1,7 @@
 """The pipeline operators against brute force, exact round trips and held-out accuracy, on small tables with awkward rows."""
 
 import hashlib
+import os
 import random
 import re
 import string
@@ -334,14 +335,43 @@ def test_chat_tokens(spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """Each stage keeps exactly what it should of what it is given."""
     rows = [r for r in corpus() if r[0] is not None]
+    rows = rows[: rows.index(rows[3], 4)] if rows.count(rows[3]) > 1 else rows  # ids are unique in the pipeline's table
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     item = " ".join(prose(79, 59).split(" ")[5:40])
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r["doc_id"] for r in found}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema if name != "sharding" else f"{SCHEMA}, shard int")
+        kept[name] = docs.collect()
     lettered = [r for r in rows if re.search("[a-z]", r[1] or "")]
-    groups = components(lettered)
-    firsts = {i for i, (_, c) in groups.items() if i == c}
-    assert ids <= firsts and 59 in firsts and 59 not in ids
-    assert all(0 <= r["shard"] <= 23 for r in found) and set(found[0].asDict()) == {*SCHEMA.replace(" string", "").replace(" long", "").split(", "), "shard"}
+    assert Counter(map(tuple, kept["language_id"])) == Counter(lettered)
+    firsts = {i for i, (_, c) in components(lettered).items() if i == c}
+    assert Counter(map(tuple, kept["near_dedup"])) == Counter(r for r in lettered if r[0] in firsts)
+    windows = {tuple(item.split(" ")[k : k + 10]) for k in range(26)}
+    leaked = {r["doc_id"] for r in kept["near_dedup"] if any(tuple(w[k : k + 10]) in windows for w in [r["text"].split(" ")] for k in range(len(w)))}
+    assert leaked == {59} and {r["doc_id"] for r in kept["decontamination"]} == firsts - leaked
+    clean = {r["doc_id"]: tuple(r) for r in kept["decontamination"]}
+    taken = Counter(r["doc_id"] for r in kept["source_mix"])
+    assert {tuple(r) for r in kept["source_mix"]} == {clean[i] for i in taken} and max(taken.values()) <= 3
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(spark.createDataFrame(kept["decontamination"], SCHEMA)).collect() if r["copies"]}
+    assert taken == copies
+    assert Counter(tuple(r)[:5] for r in kept["sharding"]) == Counter(map(tuple, kept["source_mix"]))
+    order = sorted((r["doc_id"], r["shard"]) for r in kept["sharding"])
+    assert [s for _, s in order] == sorted(s for _, s in order) and {s for _, s in order} <= set(range(24))
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(taken)
+
+
+def test_held_out_accuracy_on_the_given_tables(spark):
+    """Language and quality of the documents of sf0.01 that were not learned from."""
+    sf_dir = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no tables")
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = language.identify_held_out(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    assert len(found) > 100 and sum(r["lang_pred"] == r["lang"] for r in found) >= 0.98 * len(found)
+    scored = quality.quality_held_out(docs, labels).where("held_out").join(labels, "doc_id").where("quality IS NOT NULL").collect()
+    good, bad = ([r["score"] for r in scored if r["quality"] == q] for q in (1, 0))
+    assert good and bad and sum((g > b) + 0.5 * (g == b) for g in good for b in bad) >= 0.95 * len(good) * len(bad)

@@ -25,6 +25,8 @@ MOST_LANGUAGES = 200
 SMOOTHING = 0.5
 #: Bytes of text that are scored at once with few languages.
 CHUNK_BYTES = 1 << 18
+#: Rows that are turned into Python values at once.
+SLICE_ROWS = 512
 #: EM steps for each set of languages.
 STEPS = 8
 #: Log-likelihood that a further language must bring, times the log of the number of words.
@@ -66,9 +68,16 @@ def _pieces(text: bytes, size: int) -> Iterator[bytes]:
         at = end
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that no whole batch is held a second time as Python values."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in _slices(batches):
         labels = batch.column("lang").to_pylist()
         texts = _lowered(batch.column("text"))
         order = sorted(range(len(labels)), key=labels.__getitem__)
@@ -224,7 +233,7 @@ def _predict_rows(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Recor
             [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", "languages", "proportions"],
         )
 
-    for batch in batches:
+    for batch in _slices(batches):
         texts = _lowered(batch.column("text"))
         known = pc.match_substring_regex(pc.fill_null(batch.column("text"), ""), r"\p{L}").to_numpy(zero_copy_only=False)
         at = 0

@@ -26,6 +26,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str,
     total = groups.agg(F.sum(count)).first()[0] or 0
     least = total // HEAVY_KEYS + 1
     heavy, light = groups.where(F.col(count) > least), groups.where(F.col(count) <= least)
+    if heavy.isEmpty():  # the common case: no broadcast, no union
+        return rows.join(groups, keys, how)
     narrow = F.broadcast(heavy.select(*keys, F.ceil(F.col(count) / least).cast("int").alias("_group_parts")))
     others = rows.join(narrow.select(*keys), keys, "left_anti").join(light, keys, how)
     if width is None or (heavy.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrybook.llm import chat, decontamination, exact_dedup, html_extraction, language, mixing, near_dedup, pii, quality, sharding, url_rules
+from quarrybook.llm import chat, conversation_repair, decontamination, exact_dedup, html_extraction, language, mixing, near_dedup, pii, quality, sharding, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(_read(spark, sf_dir, "conversations"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256, length(coalesce(text, '')) AS n
@@ -139,6 +143,38 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM s LEFT JO
 """
 
 
+# the CRC's table of 256 numbers comes from its rule; costs go backwards row by row, each state with its least audit and its text
+OP12_SQL = r"""
+WITH RECURSIVE steps(n, k, c) AS (SELECT n, 0, n FROM range(256) t(n) UNION ALL SELECT n, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM steps WHERE k = 8),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295) % 20 AS kind FROM k, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER w AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, role[1] AS ini FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+f AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN body[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+c AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(CASE WHEN fault = 'blank' THEN 1 END) AS blank, count(CASE WHEN fault = 'duplicate' THEN 1 END) AS duplicate, count(CASE WHEN fault = 'truncated' THEN 1 END) AS truncated,
+  count(CASE WHEN i > 1 AND before || ini NOT IN ('su', 'ua', 'au') THEN 1 END) AS illegal FROM f GROUP BY conv_id),
+b AS (
+  SELECT conv_id, n + 1 AS i, {'c': 0, 'a': '', 'r': ''} AS s0, {'c': 4, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'} AS s1, {'c': 2, 'a': 'I', 'r': chr(10) || 'assistant:'} AS s2, {'c': 0, 'a': '', 'r': ''} AS s3 FROM c
+  UNION ALL
+  SELECT conv_id, i, list_min([v0, {'c': v2.c + 2, 'a': 'I' || v2.a, 'r': chr(10) || 'user:' || v2.r}, {'c': v3.c + 4, 'a': 'II' || v3.a, 'r': chr(10) || 'user:' || chr(10) || 'assistant:' || v3.r}]),
+    list_min([v1, {'c': v2.c + 2, 'a': 'I' || v2.a, 'r': chr(10) || 'user:' || v2.r}, {'c': v3.c + 4, 'a': 'II' || v3.a, 'r': chr(10) || 'user:' || chr(10) || 'assistant:' || v3.r}]),
+    list_min([v2, {'c': v3.c + 2, 'a': 'I' || v3.a, 'r': chr(10) || 'assistant:' || v3.r}]), list_min([v3, {'c': v2.c + 2, 'a': 'I' || v2.a, 'r': chr(10) || 'user:' || v2.r}])
+  FROM (
+    SELECT conv_id, i,
+      list_min([{'c': s0.c + 3, 'a': 'D' || s0.a, 'r': s0.r}] || CASE WHEN must THEN [] ELSE [{'c': s2.c + 2 + t, 'a': 'R' || s2.a, 'r': chr(10) || 'user:' || text || s2.r}] END || CASE WHEN NOT must AND ini = 's' THEN [{'c': s1.c + t, 'a': 'K' || s1.a, 'r': own || s1.r}] WHEN NOT must AND ini = 'u' THEN [{'c': s2.c + t, 'a': 'K' || s2.a, 'r': own || s2.r}] ELSE [] END) AS v0,
+      list_min([{'c': s1.c + 3, 'a': 'D' || s1.a, 'r': s1.r}] || CASE WHEN must THEN [] ELSE [{'c': s2.c + 2 + t, 'a': 'R' || s2.a, 'r': chr(10) || 'user:' || text || s2.r}] END || CASE WHEN NOT must AND ini = 'u' THEN [{'c': s2.c + t, 'a': 'K' || s2.a, 'r': own || s2.r}] ELSE [] END) AS v1,
+      list_min([{'c': s2.c + 3, 'a': 'D' || s2.a, 'r': s2.r}] || CASE WHEN must THEN [] ELSE [{'c': s3.c + 2 + t, 'a': 'R' || s3.a, 'r': chr(10) || 'assistant:' || text || s3.r}] END || CASE WHEN NOT must AND ini = 'a' THEN [{'c': s3.c + t, 'a': 'K' || s3.a, 'r': own || s3.r}] ELSE [] END) AS v2,
+      list_min([{'c': s3.c + 3, 'a': 'D' || s3.a, 'r': s3.r}] || CASE WHEN must THEN [] ELSE [{'c': s2.c + 2 + t, 'a': 'R' || s2.a, 'r': chr(10) || 'user:' || text || s2.r}] END || CASE WHEN NOT must AND ini = 'u' THEN [{'c': s2.c + t, 'a': 'K' || s2.a, 'r': own || s2.r}] ELSE [] END) AS v3
+    FROM (SELECT f.conv_id, f.i, f.text, f.ini, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS t, chr(10) || role || ':' || text AS own, s0, s1, s2, s3 FROM b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i - 1)
+  )
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(substr(s0.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN c USING (conv_id) LEFT JOIN (SELECT * FROM b WHERE i = 1) USING (conv_id)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -146,8 +182,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language, op3_source_mix, op4_near_dedup, op5_html_text, op6_decontamination, op7_pii, op8_chat, op9_quality, op10_sharding, op11_url_rules, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language, op3_source_mix, op4_near_dedup, op5_html_text, op6_decontamination, op7_pii, op8_chat, op9_quality, op10_sharding, op11_url_rules, op12_conversation_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_decontamination": OP6_SQL, "op8_chat": OP8_SQL, "op11_url_rules": OP11_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_decontamination": OP6_SQL, "op8_chat": OP8_SQL, "op11_url_rules": OP11_SQL, "op12_conversation_repair": OP12_SQL}

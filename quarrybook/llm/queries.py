@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrybook.llm import chat, conversation_repair, decontamination, exact_dedup, html_extraction, language, mixing, near_dedup, pii, quality, sharding, url_rules
+from quarrybook.llm import chat, conversation_repair, decontamination, exact_dedup, html_extraction, language, lexical_search, mixing, near_dedup, pii, quality, sharding, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_damaged(_read(spark, sf_dir, "conversations"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.LexicalSearch(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).results
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256, length(coalesce(text, '')) AS n
@@ -175,6 +179,19 @@ FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN c USING (conv_id) LE
 """
 
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id, list_distinct(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w FROM benchmark),
+s AS (SELECT count(*) AS big_n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+a AS (SELECT item, item_id, unnest(w) AS term FROM i),
+t AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term, big_n),
+x AS (SELECT item, item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * big_n) // l))))) AS BIGINT) AS score FROM a JOIN t USING (term) JOIN f USING (term), s GROUP BY item, item_id, row, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -182,8 +199,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language, op3_source_mix, op4_near_dedup, op5_html_text, op6_decontamination, op7_pii, op8_chat, op9_quality, op10_sharding, op11_url_rules, op12_conversation_repair, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language, op3_source_mix, op4_near_dedup, op5_html_text, op6_decontamination, op7_pii, op8_chat, op9_quality, op10_sharding, op11_url_rules, op12_conversation_repair, op13_lexical_search, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_decontamination": OP6_SQL, "op8_chat": OP8_SQL, "op11_url_rules": OP11_SQL, "op12_conversation_repair": OP12_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_decontamination": OP6_SQL, "op8_chat": OP8_SQL, "op11_url_rules": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_lexical_search": OP13_SQL}

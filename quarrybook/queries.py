@@ -626,6 +626,65 @@ def stream_hourly_admission(spark, sf_dir):
     return spark.read.schema(result.schema).parquet(sink).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def _in_slices(spark, rows, start, n=3):
+    """Runs the stream that ``start`` makes of a growing folder once for each stretch of time, from one checkpoint."""
+    from quarrybook.streaming import limits as streams
+
+    staging = Staging(spark, "slices")
+    source = lambda: spark.readStream.schema(rows.schema).parquet(f"{staging.root}/in")
+    slices = streams.time_slices(rows, n)
+    for part in slices:
+        part.write.mode("append").parquet(f"{staging.root}/in")
+        start(source(), f"{staging.root}/progress").awaitTermination()
+    return staging, slices
+
+
+@query(_REPLAY)
+def stream_request_leases(spark, sf_dir):
+    from quarrybook.streaming import limits as streams
+
+    sink = f"{Staging(spark, 'leases').root}/decisions"
+
+    def start(source, progress):
+        leases = streams.request_leases(source, lease=21600)
+        keep = lambda batch, k: batch.write.mode("overwrite").parquet(f"{sink}/batch-{k}")
+        return leases.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", progress).trigger(availableNow=True).start()
+
+    with streams.rocksdb(spark):
+        _in_slices(spark, _requests(spark, sf_dir), start)
+    return spark.read.schema("request_key string, event_id long, decision string").option("recursiveFileLookup", True).parquet(sink)
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS attempts, least(count(*), 300) AS charged, greatest(count(*) - 300, 0) AS refused FROM events GROUP BY 1")
+def stream_daily_ledger(spark, sf_dir):
+    from quarrybook.streaming import limits as streams
+
+    ledger = streams.DayLedger(spark, f"{Staging(spark, 'ledger').root}/days")
+    start = lambda source, progress: source.writeStream.foreachBatch(ledger.charge).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    _, slices = _in_slices(spark, read_table(spark, sf_dir, "events").select("event_id", "ts"), start)
+    ledger.charge(slices[-1], len(slices) - 1)  # as after a crash between the sink and the commit of a batch
+    return ledger.days()
+
+
+@query("""WITH s AS (SELECT epoch(date_trunc('second', ts))::BIGINT AS second, CAST(sum(CAST(value * 100 AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1)
+SELECT second, tokens, CAST(sum(tokens) OVER (ORDER BY second RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS BIGINT) AS trailing FROM s""")
+def global_load(spark, sf_dir):
+    events = read_table(spark, sf_dir, "events").withColumn("tokens", F.round(F.col("value") * 100).cast("long"))
+    return limits.trailing_load(events, seconds=3600, stretch=21600)
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) AS sent, CAST(value * 100 AS BIGINT) AS tokens FROM events WHERE CAST(value * 100 AS BIGINT) <= 12000),
+o AS (SELECT *, row_number() OVER w AS i, sum(tokens) OVER w AS upto FROM e WINDOW w AS (ORDER BY sent, event_id)),
+p AS (SELECT max(i) AS i, upto - tokens AS below FROM o GROUP BY 2),
+j AS MATERIALIZED (SELECT o.i, o.sent, p.i AS waits FROM o ASOF LEFT JOIN p ON o.upto - 12000 > p.below),
+f AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS s UNION ALL SELECT f.i + 1, list_append(s, greatest(sent, coalesce(s[-1], sent), coalesce(s[waits] + 3600000000, sent))) FROM f JOIN j ON j.i = f.i + 1),
+r AS (SELECT unnest(s) AS t, unnest(range(1, len(s) + 1)) AS i FROM f WHERE f.i = (SELECT max(i) FROM o))
+SELECT events.event_id, t / 1e6 AS starts_at FROM events LEFT JOIN o USING (event_id) LEFT JOIN r USING (i)""")
+def paced_starts(spark, sf_dir):
+    events = read_table(spark, sf_dir, "events").select("event_id", "ts", F.round(F.col("value") * 100).cast("long").alias("tokens"))
+    return limits.paced_starts(events, 12000, seconds=3600).select("event_id", "starts_at")
+
+
 # --- scalars
 
 

@@ -5,15 +5,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType, DoubleType
 
-from quarrybook.operators.limits import CLIENT_LIMIT, DAILY_CEILING, LEASE_SECONDS
+from quarrybook.operators.limits import CLIENT_LIMIT, DAILY_CEILING, LEASE_SECONDS, lease_step
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _timed(events: DataFrame, ts: str, late: str) -> DataFrame:
@@ -32,45 +35,114 @@ def charged_by_day(events: DataFrame, ceiling: int = DAILY_CEILING, ts: str = "t
 
 
 class _Lease(StatefulProcessor):
-    """One request key: its fingerprint and status, forgotten after the lease."""
+    """One request key: its fingerprint and status, forgotten when the watermark passes the end of the lease."""
 
     def __init__(self, lease: int):
         self.lease = lease
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField("fingerprint", StringType()), StructField("status", StringType()), StructField("until", DoubleType())])
-        self.held = handle.getValueState("held", schema)
+        self.handle = handle
+        self.held = handle.getValueState("held", "fingerprint string, status string, until double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         steps = pd.concat(list(rows)).sort_values(["at", "event_id"], kind="stable")
-        out = []
+        held, out = tuple(self.held.get()) if self.held.exists() else None, []
         for event_id, at, fingerprint, kind in zip(steps["event_id"], steps["at"], steps["fingerprint"], steps["kind"], strict=True):
-            held = self.held.get() if self.held.exists() else None
-            if held and at >= held[2]:
-                self.held.clear()
-                held = None
-            if kind == "finish":
-                self.held.update((fingerprint, "done", at + self.lease))
-                decision = "stored"
-            elif kind == "release":
-                self.held.clear()
-                decision = "released"
-            elif held is None:
-                self.held.update((fingerprint, "running", at + self.lease))
-                decision = "run"
-            elif held[0] != fingerprint:
-                decision = "conflict: different question"
-            else:
-                decision = "conflict: being answered" if held[1] == "running" else "replay"
+            decision, held = lease_step(held, at, fingerprint, kind, self.lease)
             out.append((key[0], event_id, decision))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held:
+            self.held.update(held)
+            self.handle.registerTimer(math.ceil(held[2] * 1000))
+        elif self.held.exists():
+            self.held.clear()
         yield pd.DataFrame(out, columns=["request_key", "event_id", "decision"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def request_leases(requests: DataFrame, lease: int = LEASE_SECONDS) -> DataFrame:
-    """The stream's form of operators.limits.request_leases; needs the RocksDB state store."""
-    steps = requests.select("request_key", "event_id", F.col("ts").cast("timestamp").cast("double").alias("at"), "fingerprint", "kind")
+def request_leases(requests: DataFrame, lease: int = LEASE_SECONDS, late: str = "1 minute") -> DataFrame:
+    """The stream's form of operators.limits.request_leases, with the same steps; needs the RocksDB state store (:func:`rocksdb`).
+
+    A key's state goes when the watermark passes the end of its lease, so the store holds the keys of one lease.
+    Steps that are later than ``late`` are dropped.
+    """
+    at = F.col("ts").cast("timestamp")
+    # a stream's first watermark is 1970, and what is not after it would be late
+    timed = requests.withColumns({"at": at.cast("double"), "seen": F.greatest(at, F.timestamp_millis(F.lit(1)))}).withWatermark("seen", late)
+    steps = timed.select("request_key", "event_id", "seen", "at", "fingerprint", "kind")
     schema = f"request_key {steps.schema['request_key'].dataType.simpleString()}, event_id {steps.schema['event_id'].dataType.simpleString()}, decision string"
-    return steps.groupBy("request_key").transformWithStateInPandas(_Lease(lease), outputStructType=schema, outputMode="Append", timeMode="None")
+    return steps.groupBy("request_key").transformWithStateInPandas(_Lease(lease), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Queries that start inside keep their state in RocksDB."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+
+
+def time_slices(rows: DataFrame, n: int, ts: str = "ts") -> list[DataFrame]:
+    """``rows`` in ``n`` stretches of equal time, in order."""
+    first, last = rows.agg(F.min(F.unix_micros(F.col(ts).cast("timestamp"))), F.max(F.unix_micros(F.col(ts).cast("timestamp")))).first()
+    if first is None:
+        return [rows]
+    step = (last - first) // n + 1
+    return [rows.where(F.floor((F.unix_micros(F.col(ts).cast("timestamp")) - first) / step) == k) for k in range(n)]
+
+
+class DayLedger:
+    """A daily ceiling over a stream that charges each attempt once, however often a micro-batch is run.
+
+    Each micro-batch has a folder of its own, which is overwritten when it is run again: ``charged`` holds the
+    attempts that were admitted, ``days`` the attempts of each day up to and with the batch, written last.  A batch starts
+    from the newest folder below its own number, so a repeated batch finds what it found before.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, ceiling: int = DAILY_CEILING):
+        self.spark, self.path, self.ceiling = spark, path.rstrip("/"), ceiling
+
+    def _batches(self) -> list[int]:
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/days")
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        done = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))] if fs.exists(root) else []
+        return sorted(int(name.removeprefix("batch-")) for name in done)
+
+    def _days(self, below: int | None = None) -> DataFrame:
+        known = [b for b in self._batches() if below is None or b < below]
+        if not known:
+            return self.spark.createDataFrame([], "day date, attempts long")
+        return self.spark.read.schema("day date, attempts long").parquet(f"{self.path}/days/batch-{known[-1]}")
+
+    def charge(self, attempts: DataFrame, batch: int) -> None:
+        """One micro-batch of (event_id, ts); the sink of ``foreachBatch``."""
+        timed = attempts.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.to_date(F.col("ts").cast("timestamp")).alias("day"))
+        before = self._days(batch)
+        place = F.row_number().over(Window.partitionBy("day").orderBy("ts", "event_id"))
+        first = timed.withColumn("place", place.cast("long")).where(F.col("place") <= self.ceiling)  # limited within map tasks, so a day of any size is never gathered
+        admitted = first.join(before, "day", "left").where(F.col("place") + F.coalesce("attempts", F.lit(0)) <= self.ceiling)
+        admitted.select("event_id", "ts", "day").write.mode("overwrite").parquet(f"{self.path}/charged/batch-{batch}")
+        both = before.unionByName(timed.groupBy("day").agg(F.count("*").alias("attempts")))
+        both.groupBy("day").agg(F.sum("attempts").alias("attempts")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/days/batch-{batch}")  # a row for each day
+
+    def charged(self) -> DataFrame:
+        """(event_id, ts, day) of all admitted attempts."""
+        found = [f"{self.path}/charged/batch-{b}" for b in self._batches()]
+        schema = "event_id long, ts timestamp, day date"
+        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
+
+    def days(self) -> DataFrame:
+        """(day, attempts, charged, refused), as operators.limits.daily_ceiling."""
+        admitted = self.charged().groupBy("day").agg(F.count("*").alias("charged"))
+        joined = self._days().join(admitted, "day", "left").withColumn("charged", F.coalesce("charged", F.lit(0).cast("long")))
+        return joined.select("day", "attempts", "charged", (F.col("attempts") - F.col("charged")).alias("refused"))

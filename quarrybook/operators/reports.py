@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrybook.operators.metrics import placed_values
+
 OUTCOMES = ("answered", "insufficient_evidence", "needs_clarification", "out_of_scope", "service_unavailable")
 QUESTION_CHARS, CLARIFICATION_CHARS = 2000, 1000
 
@@ -119,9 +121,18 @@ def answer_summary(attempts: DataFrame, *by: str) -> DataFrame:
 
 
 def operations_summary(requests: DataFrame) -> DataFrame:
-    """(error, attempts, median_ms, max_ms) of (request, attempts: array<struct<error, ms>>)."""
-    each = requests.select(F.explode("attempts").alias("a")).select(F.coalesce("a.error", F.lit("none")).alias("error"), F.col("a.ms").alias("ms"))
-    return each.groupBy("error").agg(F.count("*").alias("attempts"), F.percentile("ms", 0.5).alias("median_ms"), F.max("ms").alias("max_ms"))
+    """(error, attempts, median_ms, max_ms) of (request, attempts: variant), over the attempts of all requests.
+
+    ``attempts`` is an open record: an array of objects of which ``error`` and ``ms`` are read; an attempt without
+    error counts as ``none``, one without a number ``ms`` in no median.  What is no array, or null, has no attempts.
+    """
+    each = requests.select(F.explode(F.try_variant_get("attempts", "$", "array<variant>")).alias("a"))
+    read = each.select(F.coalesce(F.try_variant_get("a", "$.error", "string"), F.lit("none")).alias("error"), F.try_variant_get("a", "$.ms", "double").alias("ms"))
+    counted = read.groupBy("error").agg(F.count("*").alias("attempts"), F.max("ms").alias("max_ms"))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    value_at = lambda place: F.max(F.when((F.col("first") <= place) & (place <= F.col("last")), F.col("ms")))
+    medians = placed_values(read, "ms", "error").groupBy("error").agg(((value_at(low) + value_at(high)) / 2).alias("median_ms"))
+    return counted.join(medians, "error", "left").select("error", "attempts", "median_ms", "max_ms")
 
 
 def question_profile(questions: DataFrame) -> DataFrame:

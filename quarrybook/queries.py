@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from quarrybook import sql as S
 from quarrybook.functions import text as T
 from quarrybook.functions import tokens as K
 from quarrybook.operators import curation, followup, limits, metrics, papers, retrieval, validation
+from quarrybook.plans.merkle import MerkleTree
 from quarrybook.plans.staging import Staging, built_once, spread
-from quarrybook.sources import files
+from quarrybook.sources import files, store
 from quarrybook.sources.files import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +60,11 @@ def _vectors(spark, sf_dir):
     return read_table(spark, sf_dir, "embeddings").select("vec_id", pmid.alias("unit_id"), pmid.alias("pmid"), F.col("embedding").alias("vector"), "label")
 
 
+def _vector_index(spark, sf_dir):
+    """The vectors by learnt cells, written once."""
+    return built_once(spark, "vectors", read_table(spark, sf_dir, "embeddings"), lambda: retrieval.VectorIndex(_vectors(spark, sf_dir)))
+
+
 def _every_20th(spark, sf_dir):
     return _vectors(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector")
 
@@ -130,7 +137,7 @@ def unit_length_stats(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {S.INDEX} SELECT unit_id, CAST(len(terms) AS BIGINT) AS dl FROM sized")
 def doc_lengths(spark, sf_dir):
-    return _index(spark, sf_dir).sized.select("unit_id", "dl")
+    return _index(spark, sf_dir).names.select("unit_id", "dl")
 
 
 @query(f"WITH RECURSIVE {S.INDEX} SELECT term, df, cf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) AS idf FROM (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY term), stats")
@@ -147,16 +154,23 @@ def exclusion_counts(spark, sf_dir):
     return judged.groupBy(F.coalesce("r", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {S.RECORDS}, p AS (SELECT length(abstract) AS a, CAST(('0x' || substr(sha256(pmid || '|' || content_hash), 1, 14)) AS BIGINT) AS h FROM papers)
+@query(f"""WITH {S.RECORDS}, p AS (SELECT length(abstract) AS a FROM papers), {S.merkle('SELECT pmid AS key, content_hash AS value FROM papers')}
 SELECT (SELECT count(*) FROM recs) AS requested, count(*) AS papers, min(a) AS abstract_min, CAST(round_even(quantile_cont(a, 0.5), 0) AS BIGINT) AS abstract_p50,
-  CAST(round_even(quantile_cont(a, 0.95), 0) AS BIGINT) AS abstract_p95, max(a) AS abstract_max, CAST(sum(h) AS VARCHAR) AS collection_sum,
+  CAST(round_even(quantile_cont(a, 0.95), 0) AS BIGINT) AS abstract_p95, max(a) AS abstract_max, (SELECT arg_max(sha256, level) FROM tree) AS collection_sha256,
   (SELECT count(reason) FROM recs) AS excluded, CAST(0 AS BIGINT) AS not_returned, (SELECT count(*) FROM recs WHERE reason = 'no_title') AS no_title,
   (SELECT count(*) FROM recs WHERE reason = 'no_abstract') AS no_abstract, (SELECT count(*) FROM recs WHERE reason = 'title_too_long') AS title_too_long, CAST(0 AS BIGINT) AS retracted, CAST(0 AS BIGINT) AS duplicate FROM p""")
 def snapshot_manifest(spark, sf_dir):
     rows = _records(spark, sf_dir)
     kept, dropped = papers.split_records(rows)
     found = files.manifest(kept, dropped, rows.select("pmid"))
-    return found.withColumn("collection_sum", F.col("collection_sum").cast("string")).withColumns({c: F.col(c).cast("long") for c in ("abstract_min", "abstract_max")})
+    return found.withColumns({c: F.col(c).cast("long") for c in ("abstract_min", "abstract_max")})
+
+
+@query(f"WITH {S.RECORDS}, {S.merkle('SELECT pmid AS key, content_hash AS value FROM papers')} SELECT level, node, sha256 FROM tree")
+def collection_tree(spark, sf_dir):
+    tree = MerkleTree(_papers(spark, sf_dir), "pmid", "content_hash")
+    levels = [level.select(F.lit(k).alias("level"), "node", "sha256") for k, level in enumerate(tree.levels)]
+    return reduce(DataFrame.unionByName, levels)
 
 
 @query("SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 200 AS batch, (row_number() OVER (ORDER BY doc_id) - 1) % 200 AS place, CAST(doc_id + 1 AS VARCHAR) AS pmid FROM documents")
@@ -213,6 +227,17 @@ def vector_knn(spark, sf_dir):
     return retrieval.vector_search(_vectors(spark, sf_dir), _every_20th(spark, sf_dir), 10).select("query_id", "rank", "pmid", "score")
 
 
+@query(f"WITH {S.knn('h', 10, 'q.vec_id % 20 = 0')} SELECT query_id, rank, pmid, score FROM h")
+def vector_cells_exact(spark, sf_dir):
+    return _vector_index(spark, sf_dir).search(_every_20th(spark, sf_dir), 10).select("query_id", "rank", "pmid", "score")
+
+
+@query()
+def vector_cells(spark, sf_dir):
+    index = _vector_index(spark, sf_dir)
+    return index.search(_every_20th(spark, sf_dir), 10, probes=index.probes_for(0.95)).select("query_id", "rank", "pmid", "score")
+
+
 @query(f"""WITH {S.knn('h', 11, 'q.vec_id % 20 = 0')}
 SELECT query_id, count(*) AS n, count(CASE WHEN b.label = q.label THEN 1 END) AS same_label FROM h JOIN embeddings q ON q.vec_id = query_id JOIN embeddings b ON CAST(b.vec_id + 1 AS VARCHAR) = pmid
 WHERE b.vec_id <> query_id GROUP BY query_id""")
@@ -685,6 +710,49 @@ def paced_starts(spark, sf_dir):
     return limits.paced_starts(events, 12000, seconds=3600).select("event_id", "starts_at")
 
 
+# --- sinks
+
+
+@query("SELECT doc_id, n_chars + CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS n_chars FROM documents")
+def keyed_upsert(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
+    kept = store.KeyedStore(spark, f"{Staging(spark, 'store').root}/documents", "doc_id", buckets=8)
+    kept.upsert(docs.select("doc_id", "n_chars"))
+    german = docs.where("lang = 'de'").select("doc_id", F.explode(F.array(F.col("n_chars"), F.col("n_chars") + 1)).alias("n_chars"))
+    kept.upsert(docs.select("doc_id", F.lit(-1).cast("long").alias("n_chars")), commit=False)  # as a call that broke off before its commit
+    for _ in range(2):
+        kept.upsert(german, latest=F.col("n_chars"))
+    return kept.read()
+
+
+@query(f"""WITH RECURSIVE {S.INDEX}, sampled AS (SELECT pmid, title FROM papers ORDER BY sha256('11/' || pmid) LIMIT 5), asked AS MATERIALIZED (SELECT DISTINCT pmid AS query_id, unnest({S.tokens("title")}) AS term FROM sampled), {S.bm25('h', 3)}
+SELECT s.pmid AS query_id, rank FROM sampled s LEFT JOIN h ON query_id = s.pmid AND h.pmid = s.pmid""")
+def title_ranks(spark, sf_dir):
+    return store.title_ranks(_index(spark, sf_dir), _papers(spark, sf_dir), 11)
+
+
+@query("SELECT event_type, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events GROUP BY 1")
+def resumed_run(spark, sf_dir):
+    events = read_table(spark, sf_dir, "events")
+    path = f"{Staging(spark, 'run').root}/run"
+    work = lambda rows: rows.select("event_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    store.ResumableRun(events, "event_id", work, path, parts=6).go_on(at_most=2)  # stopped by its budget
+    run = store.ResumableRun(events, "event_id", work, path, parts=6)
+    run.go_on()
+    return run.result(lambda details: details.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("cents").alias("cents")))
+
+
+@query("""WITH a AS (SELECT 'none' AS error, CAST(json_extract(props, '$.k') AS DOUBLE) AS ms FROM events UNION ALL SELECT event_type, CAST(json_extract(props, '$.k') AS DOUBLE) + event_id % 7 FROM events)
+SELECT error, count(*) AS attempts, median(ms) AS median_ms, max(ms) AS max_ms FROM a GROUP BY error""")
+def operations_report(spark, sf_dir):
+    from quarrybook.operators import reports
+
+    k = F.variant_get(F.parse_json("props"), "$.k", "int")
+    second = F.to_json(F.struct(F.col("event_type").alias("error"), (k + F.col("event_id") % 7).alias("ms")))
+    text = F.concat(F.lit("["), F.replace("props", F.lit('"k"'), F.lit('"note": ["any"], "ms"')), F.lit(", "), second, F.lit("]"))
+    return reports.operations_summary(read_table(spark, sf_dir, "events").select(F.parse_json(text).alias("attempts")))
+
+
 # --- scalars
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrybook.functions.text import valid_pmid
+from quarrybook.plans.merkle import MerkleTree
 
 SCHEMA_VERSION = 1
 PAPER = "pmid string, title string, abstract string, journal string, year int, source_status string, retrieved_on date, content_hash string"
@@ -49,14 +50,11 @@ def read_pmids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(papers: DataFrame, exclusions: DataFrame, requested: DataFrame) -> DataFrame:
-    """One row: counts, reasons, length quantiles and the hash of the sorted ids; no text.
-
-    The hash is of (id, content hash) pairs, folded to one number per paper and
-    added up, so that no task gathers all ids.
-    """
-    per_paper = papers.select(F.length("title").alias("t"), F.length("abstract").alias("a"), F.conv(F.substring(F.sha2(F.concat_ws("|", "pmid", "content_hash"), 256), 1, 14), 16, 10).cast("decimal(38,0)").alias("h"))
+    """One row: counts, reasons, length quantiles and the hash of the ids and contents in order (see plans.merkle); no text."""
+    root = MerkleTree(papers, "pmid", "content_hash").root()
+    per_paper = papers.select(F.length("abstract").alias("a"))
     spread = F.percentile(F.col("a"), F.array(F.lit(0.5), F.lit(0.95)))
-    counted = per_paper.agg(F.count("*").alias("papers"), F.min("a").alias("abstract_min"), F.bround(spread[0]).cast("long").alias("abstract_p50"), F.bround(spread[1]).cast("long").alias("abstract_p95"), F.max("a").alias("abstract_max"), F.sum("h").alias("collection_sum"))
+    counted = per_paper.agg(F.count("*").alias("papers"), F.min("a").alias("abstract_min"), F.bround(spread[0]).cast("long").alias("abstract_p50"), F.bround(spread[1]).cast("long").alias("abstract_p95"), F.max("a").alias("abstract_max"), F.lit(root).alias("collection_sha256"))
     reasons = exclusions.agg(F.count("*").alias("excluded"), *[F.count_if(F.col("reason") == r).alias(r) for r in ("not_returned", "no_title", "no_abstract", "title_too_long", "retracted", "duplicate")])
     asked = requested.agg(F.count_distinct("pmid").alias("requested"))
     return asked.crossJoin(F.broadcast(counted)).crossJoin(F.broadcast(reasons))  # one row each
@@ -72,24 +70,10 @@ def write_snapshot(papers: DataFrame, exclusions: DataFrame, requested: DataFram
 
 
 def append_missing(rows: DataFrame, path: str, key: str) -> int:
-    """Append those rows whose key is not stored yet, so a repeated call changes nothing; how many were new."""
-    spark = rows.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-    new = rows.join(spark.read.parquet(path).select(key), key, "left_anti") if exists else rows
-    before = spark.read.parquet(path).count() if exists else 0
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
-
-
-def publish(unit_count: int, stored: DataFrame, self_ranks: DataFrame, index: DataFrame, path: str, most_rank: int = 3) -> None:
-    """Write an index only if it is whole and every sampled title finds its own paper among the first ``most_rank``."""
-    if (n := stored.count()) != unit_count:
-        raise ValueError(f"{n} units stored, not {unit_count}")
-    if lost := self_ranks.where(F.col("rank").isNull() | (F.col("rank") > most_rank)).count():
-        raise ValueError(f"{lost} sampled titles do not find their own paper")
-    index.write.mode("errorifexists").parquet(path)
+    """Store rows by key, those that are stored already anew; how many keys were new.  See sources.store.KeyedStore."""
+    from quarrybook.sources.store import KeyedStore
+
+    return KeyedStore(rows.sparkSession, path, key).upsert(rows)["inserted"]
 
 
 def write_benchmark(questions: DataFrame, path: str) -> DataFrame:

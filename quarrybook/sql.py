@@ -128,6 +128,16 @@ def scores(name: str, hits: str) -> str:
 RANKINGS = f"""{INDEX}, {ASKED}, {QRELS}, {bm25("bm25", 50)}, {knn("vector", 50, "q.vec_id IN (SELECT item_id FROM benchmark)")}, {fused("hybrid", 50, "bm25", "vector")},
 hits AS (SELECT query_id, 'bm25' AS method, rank, pmid FROM bm25 UNION ALL SELECT query_id, 'hybrid', rank, pmid FROM hybrid), {scores("scored", "(SELECT * FROM hits WHERE rank <= 10)")}"""
 
+
+
+def merkle(rows: str) -> str:
+    """Levels of a tree of hashes over ``rows`` (key, value), for up to 256**3 of them: level, node, sha256."""
+    up = lambda k: f"l{k + 1} AS MATERIALIZED (SELECT node // 256 AS node, sha256(string_agg(h, chr(10) ORDER BY node)) AS h FROM l{k} GROUP BY 1)"
+    return f"""l0 AS MATERIALIZED (SELECT node, sha256(string_agg(r, chr(10) ORDER BY i)) AS h FROM (SELECT (row_number() OVER w - 1) // 256 AS node, row_number() OVER w AS i, key || '|' || value AS r FROM ({rows}) WINDOW w AS (ORDER BY key, value)) GROUP BY 1),
+{up(0)}, {up(1)},
+tree AS (SELECT 0 AS level, node, h AS sha256 FROM l0 UNION ALL SELECT 1, node, h FROM l1 WHERE (SELECT count(*) FROM l0) > 1 UNION ALL SELECT 2, node, h FROM l2 WHERE (SELECT count(*) FROM l1) > 1)"""
+
+
 PAIRS = f"""turns AS (
   SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
 ), exchanges AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrybook.plans.skew import join_groups
+from quarrybook.plans.skew import group_sizes, join_groups
 from quarrybook.plans.staging import Staging
 
 
@@ -16,28 +16,24 @@ def connected_components(edges: DataFrame, staging: Staging, src: str = "src", d
     Each round's edges are written and the last round's removed.  Nodes with
     very many neighbours are handled by :func:`join_groups`.
     """
+    mark = {"n": F.count("*"), "sum": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
     base = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
-    current = staging.table(base, f"{name}-0")
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before, k = mark(current), 0
-    if before[0] == 0:
+    current, before = staging.measured(base, f"{name}-0", **mark)
+    k = 0
+    if before["n"] == 0:
         return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = staging.table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), f"{name}-large-{k}")
-        large = join_groups(both.where("v > u"), least, ["u"], "n", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least, sizes = staging.measured(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), f"{name}-large-{k}", **group_sizes("n"))
+        large = join_groups(both.where("v > u"), least, ["u"], "n", "inner", sizes=sizes).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = staging.table(large, f"{name}-l-{k}")
-        least = staging.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{name}-small-{k}")
-        small = join_groups(large, least, ["u"], "n", "inner")
+        least, sizes = staging.measured(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{name}-small-{k}", **group_sizes("n"))
+        small = join_groups(large, least, ["u"], "n", "inner", sizes=sizes)
         small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         small = small.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
         k += 1
-        current = staging.table(small, f"{name}-{k}")
+        current, after = staging.measured(small, f"{name}-{k}", **mark)
         staging.drop(f"{name}-large-{k - 1}", f"{name}-l-{k - 1}", f"{name}-small-{k - 1}", f"{name}-{k - 1}")
-        after = mark(current)
         if after == before:
             break
         before = after

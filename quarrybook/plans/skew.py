@@ -13,7 +13,7 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 << 20
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, how: str = "left", width: Column | None = None) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, how: str = "left", width: Column | None = None, sizes: dict | None = None) -> DataFrame:
     """Give each row its group's columns.
 
     ``groups`` has one row per key and the key's row count in ``count``; it
@@ -22,12 +22,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str,
     ``HEAVY_KEYS`` of the rows for a key.  Where a group has texts or long arrays,
     ``width`` gives its bytes: if the heavy groups have more than ``BROADCAST_BYTES``
     together, their rows are dealt over parts instead and the groups repeated for each part.
+    ``sizes`` (:func:`group_sizes`) tells what was measured when the groups were written; without it they are read for it.
     """
-    total = groups.agg(F.sum(count)).first()[0] or 0
-    least = total // HEAVY_KEYS + 1
-    heavy, light = groups.where(F.col(count) > least), groups.where(F.col(count) <= least)
-    if heavy.isEmpty():  # the common case: no broadcast, no union
+    measured = sizes or groups.agg(*[c.alias(k) for k, c in group_sizes(count).items()]).first().asDict()
+    least = (measured["total"] or 0) // HEAVY_KEYS + 1
+    if (measured["most"] or 0) <= least:  # the common case: no broadcast, no union
         return rows.join(groups, keys, how)
+    heavy, light = groups.where(F.col(count) > least), groups.where(F.col(count) <= least)
     narrow = F.broadcast(heavy.select(*keys, F.ceil(F.col(count) / least).cast("int").alias("_group_parts")))
     others = rows.join(narrow.select(*keys), keys, "left_anti").join(light, keys, how)
     if width is None or (heavy.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES:
@@ -37,6 +38,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str,
     return dealt.join(repeated.hint("merge"), [*keys, "_group_part"], "inner").drop("_group_part").unionByName(others)
 
 
+def group_sizes(count: str) -> dict[str, Column]:
+    """What :func:`join_groups` must know of its groups: all their rows and those of the largest."""
+    return {"total": F.sum(count), "most": F.max(count)}
+
+
 def small_or_shuffled_by_size(df: DataFrame, width: Column) -> DataFrame:
     """``df`` marked for broadcast if its measured bytes are few; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else df

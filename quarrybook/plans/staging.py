@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 Built = TypeVar("Built")
@@ -70,6 +70,12 @@ class Staging:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def measured(self, df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+        """:meth:`table` and aggregates over its rows, taken while they are written, without a job of their own."""
+        seen = Observation()
+        table = self.table(df.observe(seen, *[c.alias(k) for k, c in measures.items()]), name)
+        return table, seen.get
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(f"{self.root}/{name}")

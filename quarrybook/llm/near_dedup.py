@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from quarrybook.llm.shingles import sketch_rows
 from quarrybook.plans.components import connected_components
-from quarrybook.plans.skew import join_groups, small_or_shuffled
+from quarrybook.plans.skew import group_sizes, join_groups, small_or_shuffled
 from quarrybook.plans.staging import Staging
 
 K, SHARED = 96, 46
@@ -85,15 +85,15 @@ class NearDuplicates:
 
     def stars(self, index: DataFrame) -> DataFrame:
         """(a, b): each node with the least node of each of its lists."""
-        hubs = self.staging.table(index.groupBy("value").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1"), "hubs")
-        pairs = join_groups(index, hubs, ["value"], "m", "inner").where("node <> hub")
+        hubs, sizes = self.staging.measured(index.groupBy("value").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1"), "hubs", **group_sizes("m"))
+        pairs = join_groups(index, hubs, ["value"], "m", "inner", sizes=sizes).where("node <> hub")
         return self.staging.table(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
-    def _again(self, nodes: DataFrame, k: int | None) -> DataFrame:
+    def _again(self, nodes: DataFrame, n_nodes: int, k: int | None) -> DataFrame:
         """The columns of ``nodes`` (node, doc_id, sig, ...) and n, sketch: their texts are read again."""
-        ids = small_or_shuffled(nodes.select("doc_id").distinct(), nodes.count())
+        ids = small_or_shuffled(nodes.select("doc_id").distinct(), n_nodes)
         sketched = self._sketched(self.texts.join(ids, "doc_id", "left_semi"), k)
-        found = sketched.join(small_or_shuffled(nodes, nodes.count()), ["doc_id", "sig"])
+        found = sketched.join(small_or_shuffled(nodes, n_nodes), ["doc_id", "sig"])
         return found.dropDuplicates(["node"]) if self.repeated else found  # rows that repeat id and set are one node
 
     def _needed(self) -> Column:
@@ -106,10 +106,10 @@ class NearDuplicates:
         """(value, node, n, m0, m1, place, parts): lists of wide sketches of the nodes whose lists hold several components."""
         labelled = self.staging.table(self._labelled(index, components), "labelled")
         mixed = labelled.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("value")
-        mixed = self.staging.table(mixed, "mixed")
-        open_nodes = labelled.join(small_or_shuffled(mixed, mixed.count()), "value", "left_semi").select("node").distinct()
-        open_nodes = self.staging.table(open_nodes.join(self.nodes, "node"), "open")
-        wide = self.staging.table(self._again(open_nodes, WIDE_K).select("node", "n", "sketch"), "wide")
+        mixed, seen = self.staging.measured(mixed, "mixed", rows=F.count("*"))
+        open_nodes = labelled.join(small_or_shuffled(mixed, seen["rows"]), "value", "left_semi").select("node").distinct()
+        open_nodes, seen = self.staging.measured(open_nodes.join(self.nodes, "node"), "open", rows=F.count("*"))
+        wide = self.staging.table(self._again(open_nodes, seen["rows"], WIDE_K).select("node", "n", "sketch"), "wide")
         least = [F.coalesce(F.get("sketch", k), F.lit(0)).alias(f"m{k}") for k in (0, 1)]
         ranked = self._ranked(wide.select("node", "n", *least, F.explode("sketch").alias("value")), WIDE_K, WIDE_SHARED, "wide-index", "n", "m0", "m1")
         lists = ranked.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value", F.ceil(F.col("m") / LIST_PART).cast("int").alias("parts"))
@@ -117,9 +117,15 @@ class NearDuplicates:
         self.staging.drop("labelled", "mixed", "open", "wide", "wide-index")
         return dealt
 
+    def _components(self, links: DataFrame, name: str) -> DataFrame:
+        """Components of ``links``, written once; ``n_components`` has the number of nodes in them."""
+        found, seen = self.staging.measured(connected_components(links, self.staging, "a", "b", f"cc-{name}"), f"components-{name}", rows=F.count("*"))
+        self.n_components = seen["rows"]
+        return found
+
     def _labelled(self, lists: DataFrame, components: DataFrame) -> DataFrame:
         """``lists`` with each node's component."""
-        comps = small_or_shuffled(components.withColumnRenamed("node", "member"), components.count())
+        comps = small_or_shuffled(components.withColumnRenamed("node", "member"), self.n_components)
         return lists.join(comps, lists["node"] == comps["member"], "left").withColumn("comp", F.coalesce("component", "node")).drop("member", "component")
 
     def _hopeful(self, met: DataFrame, tested: DataFrame, name: str) -> DataFrame:
@@ -164,9 +170,9 @@ class NearDuplicates:
         """
         out = pairs
         for side in ("b", "a"):
-            often = pairs.groupBy(F.col(side).alias("node")).agg(F.count("*").alias("pairs"))
-            groups = table.join(small_or_shuffled(often, often.count()), "node").select(F.col("node").alias(side), "pairs", *[F.col(c).alias(f"{c}_{side}") for c in columns])
-            out = join_groups(out, self.staging.table(groups, f"{name}-{side}"), [side], "pairs", "inner", width=8 * F.size(f"{columns[-1]}_{side}") + 50).drop("pairs")
+            often, sizes = self.staging.measured(pairs.groupBy(F.col(side).alias("node")).agg(F.count("*").alias("pairs")), f"{name}-often-{side}", rows=F.count("*"), **group_sizes("pairs"))
+            groups = table.join(small_or_shuffled(often, sizes["rows"]), "node").select(F.col("node").alias(side), "pairs", *[F.col(c).alias(f"{c}_{side}") for c in columns])
+            out = join_groups(out, self.staging.table(groups, f"{name}-{side}"), [side], "pairs", "inner", width=8 * F.size(f"{columns[-1]}_{side}") + 50, sizes=sizes).drop("pairs")
         return out
 
     def confirm(self, pairs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
@@ -174,13 +180,14 @@ class NearDuplicates:
         beside = self._beside(pairs, reps.select("node", "n", "sketch"), ["n", "sketch"], "sketches-of")
         long_enough = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
         hopeful = self.staging.table(beside.where(long_enough & (self._estimate() >= self._floor())).select("a", "b"), f"{name}-hopeful")
-        ids = self.staging.table(hopeful.select(F.col("a").alias("node")).unionByName(hopeful.select(F.col("b").alias("node"))).distinct().join(self.nodes, "node"), "ids")
-        sets = self.staging.table(self._again(ids, None).select("node", F.col("sketch").alias("s")), "sets")
+        ids = hopeful.select(F.col("a").alias("node")).unionByName(hopeful.select(F.col("b").alias("node"))).distinct().join(self.nodes, "node")
+        ids, seen = self.staging.measured(ids, "ids", rows=F.count("*"))
+        sets = self.staging.table(self._again(ids, seen["rows"], None).select("node", F.col("sketch").alias("s")), "sets")
         out = self._beside(hopeful, sets, ["s"], "sets-of")
         common = F.size(F.array_intersect("s_a", "s_b"))
         union = F.size("s_a") + F.size("s_b") - common
         links = self.staging.table(out.where(common * 100 >= union * self.percent).select("a", "b").distinct(), f"{name}-links")
-        self.staging.drop("ids", "sets", f"{name}-hopeful", *(f"{t}-{s}" for t in ("sketches-of", "sets-of") for s in "ab"))
+        self.staging.drop("ids", "sets", f"{name}-hopeful", *(f"{t}-{s}" for t in ("sketches-of", "sets-of", "sketches-of-often", "sets-of-often") for s in "ab"))
         return links
 
     def _estimate(self) -> Column:
@@ -198,27 +205,27 @@ class NearDuplicates:
         sketched = self.staging.table(self._sketched(keyed, self.k).withColumn("node", F.monotonically_increasing_id()), "sketches")
         named = sketched.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
         first = F.min(F.struct("doc_id", "node"))
-        classes = self.staging.table(named.groupBy("sig").agg(first.alias("first"), F.count("*").alias("rows")).select("sig", F.col("first.node").alias("node"), F.col("first.doc_id").alias("doc_id"), "rows"), "classes")
+        classes, sizes = self.staging.measured(named.groupBy("sig").agg(first.alias("first"), F.count("*").alias("rows")).select("sig", F.col("first.node").alias("node"), F.col("first.doc_id").alias("doc_id"), "rows"), "classes", **group_sizes("rows"))
         self.nodes = classes.select("node", "doc_id", "sig")
         several = classes.where("rows > 1").withColumnRenamed("node", "rep").drop("doc_id")
-        copies = self.staging.table(join_groups(named.select("node", "doc_id", "sig"), several, ["sig"], "rows", "inner").where("node <> rep").select("node", "doc_id", "sig"), "copies")
+        copies, seen = self.staging.measured(join_groups(named.select("node", "doc_id", "sig"), several, ["sig"], "rows", "inner", sizes=sizes).where("node <> rep").select("node", "doc_id", "sig"), "copies", rows=F.count("*"))
         self.repeated = not copies.join(classes.where("rows > 1").select("sig", "doc_id"), ["sig", "doc_id"], "left_semi").isEmpty()
-        reps = named.join(small_or_shuffled(copies.select("node"), copies.count()), "node", "left_anti")
+        reps = named.join(small_or_shuffled(copies.select("node"), seen["rows"]), "node", "left_anti")
         index = self.index(reps)
         stars = self.stars(index)
         links = self.confirm(stars, reps, "stars")
-        components = connected_components(links, self.staging, "a", "b", "cc-stars")
+        components = self._components(links, "stars")
         lists = self.open_lists(index, components)
         near = self.neighbours(lists, components, stars, "near")
         links = self.staging.table(links.unionByName(self.confirm(near, reps, "near")), "near-and-stars")
-        components = connected_components(links, self.staging, "a", "b", "cc-near")
+        components = self._components(links, "near")
         tested = stars.unionByName(near)
         across = self.across(lists, components, tested)
         if not across.isEmpty():
             links = self.staging.table(links.unionByName(self.confirm(across, reps, "across")), "links")
-            components = connected_components(links, self.staging, "a", "b", "cc-all")
+            components = self._components(links, "all")
         labels = self.staging.table(self._labels(classes, components), "labels")
-        members = join_groups(sketched.select("doc_id", "text_key", "n", "sig"), labels, ["sig"], "rows", "left")
+        members = join_groups(sketched.select("doc_id", "text_key", "n", "sig"), labels, ["sig"], "rows", "left", sizes=sizes)
         self.staging.drop("index", "hubs", "stars", "across", "dealt", "copies", "classes", "links", "near", "near-and-stars", "stars-links", "near-links", "across-links")
         component = F.coalesce("component_id", "doc_id")
         return members.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -226,9 +233,9 @@ class NearDuplicates:
     def _labels(self, classes: DataFrame, components: DataFrame) -> DataFrame:
         """(sig, rows, component_id): the least doc_id of each class's component."""
         linked = self.staging.table(components.join(classes.select("node", "doc_id"), "node"), "linked")
-        least = self.staging.table(linked.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m")), "least")
-        named = join_groups(linked, least, ["component"], "m", "inner").select("node", "component_id")
-        return classes.join(small_or_shuffled(named, linked.count()), "node", "left").select("sig", "rows", F.coalesce("component_id", "doc_id").alias("component_id"))
+        least, sizes = self.staging.measured(linked.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m")), "least", **group_sizes("m"))
+        named = join_groups(linked, least, ["component"], "m", "inner", sizes=sizes).select("node", "component_id")
+        return classes.join(small_or_shuffled(named, sizes["total"] or 0), "node", "left").select("sig", "rows", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -247,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; rows that repeat id and text stay as they are."""
     found = NearDuplicates(docs, id_col, text_col)
-    dropped = found.staging.table(found.run().where(~F.col("kept")).select("doc_id", "text_key").distinct(), "dropped")
-    side = small_or_shuffled(dropped, dropped.count())
+    dropped, seen = found.staging.measured(found.run().where(~F.col("kept")).select("doc_id", "text_key").distinct(), "dropped", rows=F.count("*"))
+    side = small_or_shuffled(dropped, seen["rows"])
     same = (docs[id_col] == side["doc_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == side["text_key"])
     return docs.join(side, same, "left_anti")

@@ -13,7 +13,9 @@ different values different ones, and whoever has the key can invert them.
 * US social security numbers: a permutation of the 898 * 99 * 9,999 numbers that may be issued.
 * IPv4 addresses: a permutation of the 2^32 addresses.
 * Dates: a permutation of the 146,097 days of 1700-2099, which is one whole cycle of the
-  calendar; the layout and order of the parts stay.
+  calendar; the layout and order of the parts stay.  The first twelve days of all months and the later ones are permuted
+  apart, so a date that can only be read day first still can only be read so, and one date has one pseudonym in all layouts.
+* Secrets: a word before one, or the known beginning of a key, stays.
 * E-mail addresses: the part before the @ and the labels before the last two of the domain.
 * Strings of digits and letters: each character moves within its class (digit,
   lower case, upper case) and everything else stays, so the layout is the same;
@@ -30,9 +32,10 @@ from pyspark.sql import functions as F
 from quarrybook.plans.names import own_names
 
 ROUNDS = 6
-#: Days of a whole Gregorian cycle as a product, and its first day; fixed values.
-DAY_FACTORS = (189, 773)
-FIRST_DAY = "1700-01-01"
+#: First year and months of a whole Gregorian cycle, and its days after the twelfth of a month; fixed values.
+FIRST_YEAR, MONTHS, LATE_DAYS = 1700, 4800, 88_497
+#: The first twelve days of all months as a product, and the least larger product of near numbers for the later days.
+EARLY_FACTORS, LATE_FACTORS = (240, 240), (297, 298)
 #: Area and group, and serial, of the social security numbers that may be issued; the area 666 is not; fixed values.
 SSN_FACTORS = (898 * 99, 9999)
 #: Digits of a telephone number without its country code, where nothing divides them.
@@ -41,10 +44,12 @@ NATIONAL = 10
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What follows one of these words and a sign is a secret.
 _BEFORE_SECRET = r"(?:token|secret|password|passwd|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?"
+#: Keys that are known by how they begin, and the least that follows; fixed values.
+_KEY_BEGINS = r"(?:AKIA|ASIA)(?=[0-9A-Z]{16}\b)|sk-(?=[A-Za-z0-9_-]{20})|gh[pousr]_(?=[A-Za-z0-9]{36})"
 #: What is looked for, in order of precedence; each pattern stands for itself inside the joint pattern.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
-    "secret": rf"\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b|{_BEFORE_SECRET}[A-Za-z0-9_/+=-]{{8,}}+",
+    "secret": rf"\b(?:{_KEY_BEGINS})[A-Za-z0-9_-]++|{_BEFORE_SECRET}[A-Za-z0-9_/+=-]{{8,}}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "date": r"(?<![\d/.-])(?:(?:1[7-9]|20)\d\d(?:-\d\d-\d\d|/\d\d/\d\d)|\d\d(?:\.\d\d\.|/\d\d/|-\d\d-)(?:1[7-9]|20)\d\d)(?![\d/-]|\.\d)",
@@ -177,19 +182,48 @@ def _date_parts(value: Column) -> tuple[Column, Column, Column]:
     return iso, year_first, month_first
 
 
+def _late_before(month: Column) -> Column:
+    """How many days after the twelfth lie before a month of the cycle, counted from 0."""
+    return F.datediff(F.make_date(F.floor(month / 12).cast("int") + FIRST_YEAR, F.pmod(month, F.lit(12)).cast("int") + 1, F.lit(1)), F.lit(f"{FIRST_YEAR}-01-01").cast("date")) - 12 * month
+
+
+def _permute_late(place: Column, secret: str, inverse: bool) -> Column:
+    """A permutation of the numbers below ``LATE_DAYS``: that of the larger product, followed on while it leaves them."""
+    a, b = LATE_FACTORS
+
+    def follow(at: Column, k: Column) -> Column:
+        moved = _once(_permute_pair(F.floor(at / b), at % b, a, b, secret, "late", inverse), lambda done: done["a"] * b + done["b"])
+        return F.when((k > 0) & (at < LATE_DAYS), at).otherwise(moved)
+
+    # a walk meets each of the places outside at most once
+    return F.aggregate(F.sequence(F.lit(0), F.lit(a * b - LATE_DAYS)), place.cast("long"), follow)
+
+
 def pseudonym_date(value: Column, secret: str, inverse: bool = False) -> Column:
     """A calendar date in the same layout; null if the value is no date."""
     iso, year_first, month_first = _date_parts(value)
-    day = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).cast("long")
-    a, b = DAY_FACTORS
+    date = F.try_to_date(iso, "yyyy-MM-dd")
+    month, day = ((F.year(date) - FIRST_YEAR) * 12 + F.month(date) - 1).cast("long"), F.dayofmonth(date)
     mark = F.when(year_first, F.substring(value, 5, 1)).otherwise(F.substring(value, 3, 1))
+    rows, columns = EARLY_FACTORS
+
+    def early(done: Column) -> Column:
+        return _once(done["a"] * columns + done["b"], lambda place: F.struct(F.floor(place / 12).alias("month"), (place % 12 + 1).alias("day")))
+
+    def late(place: Column) -> Column:
+        # months have about equally many late days, so the month is the estimated one or one beside it
+        near = F.floor(place * MONTHS / LATE_DAYS)
+        month = F.array_max(F.filter(F.sequence(near - 1, near + 1), lambda m: _late_before(m) <= place))
+        return _once(month, lambda m: F.struct(m.alias("month"), (place - _late_before(m) + 13).alias("day")))
 
-    def laid_out(done: Column) -> Column:
-        new = F.date_add(F.lit(FIRST_DAY).cast("date"), (done["a"] * b + done["b"]).cast("int"))
-        y, m, d = F.date_format(new, "yyyy"), F.date_format(new, "MM"), F.date_format(new, "dd")
+    def laid_out(new: Column) -> Column:
+        y, m, d = F.format_string("%04d", F.floor(new["month"] / 12) + FIRST_YEAR), F.format_string("%02d", new["month"] % 12 + 1), F.format_string("%02d", new["day"])
         return F.when(year_first, F.concat_ws("", y, mark, m, mark, d)).when(month_first, F.concat_ws("", m, mark, d, mark, y)).otherwise(F.concat_ws("", d, mark, m, mark, y))
 
-    return F.when(day.isNotNull(), _once(_permute_pair(F.floor(day / b), day % b, a, b, secret, "date", inverse), laid_out))
+    number = month * 12 + day - 1
+    moved = F.when(day <= 12, _once(_permute_pair(F.floor(number / columns), number % columns, rows, columns, secret, "early", inverse), early))
+    moved = moved.otherwise(_once(_permute_late(_late_before(month) + day - 13, secret, inverse), late))
+    return F.when(date.isNotNull(), _once(moved, laid_out))
 
 
 def pseudonym_card(value: Column, secret: str, inverse: bool = False) -> Column:
@@ -246,8 +280,8 @@ def pseudonym_phone(value: Column, secret: str, inverse: bool = False) -> Column
 
 
 def pseudonym_secret(value: Column, secret: str, inverse: bool = False) -> Column:
-    """The word before it stays."""
-    before = F.regexp_extract(value, f"^{_BEFORE_SECRET}", 0)
+    """The word before it stays, or the known beginning of a key."""
+    before = F.regexp_extract(value, f"^(?:{_BEFORE_SECRET}|{_KEY_BEGINS})", 0)
     bare = F.substr(value, F.length(before) + 1)
     moved = F.when(bare.rlike("^[0-9a-f]+$"), permute_characters(bare, secret, "hex", _shift_hex, inverse)).otherwise(permute_characters(bare, secret, "string", inverse=inverse))
     return F.concat(before, moved)
@@ -281,7 +315,7 @@ def pseudonymise(docs: DataFrame, secret: str, text_col: str = "text", out_col:
     marked = F.split(F.regexp_replace(text, f"(?:{JOINT})", f"{MARK}$0{MARK}"), MARK)
     twice = F.flatten(F.zip_with(F.split(text, JOINT), F.regexp_extract_all(text, F.lit(JOINT), F.lit(0)), lambda rest, m: F.when(m.isNull(), F.array(rest)).otherwise(F.array(rest, m))))
     # text and matches in turn; the matches have odd places
-    pieces = F.when(text.rlike(r"\d|@|[=:]"), F.when(text.contains(MARK), twice).otherwise(marked))
+    pieces = F.when(text.rlike(r"\d|@|[=:]|sk-|gh[pousr]_"), F.when(text.contains(MARK), twice).otherwise(marked))
     found = docs.withColumn(pieces_col, pieces)
     some = F.coalesce(F.size(pieces_col) > 1, F.lit(False))
     matches = F.transform(F.filter(pieces_col, lambda p, i: i % 2 == 1), lambda m: F.struct(m.alias("old"), _kind(m).alias("kind")))

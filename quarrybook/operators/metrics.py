@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from itertools import accumulate
+from math import exp, factorial
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +14,8 @@ from quarrybook.plans.staging import Staging
 SEED, RESAMPLES = 20260923, 10_000
 #: Differences up to this count as ties.
 TIE = 1e-12
+#: The share of Poisson numbers of mean 1 that are at most 0, 1, ..., in units of 2**-32; beyond twelve less than one is left.
+POISSON_BOUNDS = [round(c * 2**32) for c in accumulate(exp(-1) / factorial(k) for k in range(13))]
 
 
 def score_rankings(hits: DataFrame, relevant: DataFrame, queries: DataFrame | None = None) -> DataFrame:
@@ -100,35 +100,56 @@ def wins(diffs: DataFrame, *by: str) -> DataFrame:
     return diffs.groupBy(*by).agg(F.avg("diff").alias("mean_difference"), F.count_if(F.col("diff") > TIE).alias("a_better"), F.count_if(F.col("diff") < -TIE).alias("b_better"), F.count_if(F.abs("diff") <= TIE).alias("ties"))
 
 
-def resample_weights(query_id: str) -> np.ndarray:
-    """How often a question is drawn in each resample: Poisson numbers that depend on the seed and the id alone."""
-    return np.random.default_rng([SEED, zlib.crc32(query_id.encode())]).poisson(1.0, RESAMPLES)
-
-
-def _resampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    drawn, sums = np.zeros(RESAMPLES), np.zeros(RESAMPLES)
-    for frame in frames:
-        for query_id, diff in zip(frame["query_id"], frame["diff"], strict=True):
-            weights = resample_weights(query_id)
-            drawn += weights
-            sums += weights * diff
-    yield pd.DataFrame({"resample": range(RESAMPLES), "drawn": drawn, "total": sums})
-
-
 def bootstrap_ci(diffs: DataFrame) -> DataFrame:
     """(low, high): the middle 95 % of the mean difference over ``RESAMPLES`` resamples of the questions.
 
-    Every question draws its own number of repeats in each resample (Poisson bootstrap), so each task adds up the questions it has,
-    and only one row for each task and resample is shuffled.  No rows without questions.
+    Every question draws its own number of repeats in each resample (Poisson bootstrap) from a hash of the seed, its id and the resample's
+    place: eight draws of 32 bits a hash.  So each task adds up the questions it has, and only one row for each task and resample is shuffled.  No rows without questions.
     """
-    parts = diffs.select(F.col("query_id").cast("string"), "diff").mapInPandas(_resampled, "resample long, drawn double, total double")
-    means = parts.groupBy("resample").agg(F.round(F.sum("total") / F.nullif(F.sum("drawn"), F.lit(0.0)), 12).alias("mean")).where("mean IS NOT NULL")
+    blocks = diffs.select(F.col("query_id").cast("string").alias("query_id"), "diff", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES // 8 - 1))).alias("block"))
+    digest = F.sha2(F.concat_ws("|", F.lit(SEED), "query_id", "block"), 256)
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv(F.substr(F.col("digest"), k * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+    drawn = blocks.withColumn("digest", digest).select("diff", "block", F.posexplode(numbers).alias("k", "u"))
+    weight = sum(((F.col("u") >= bound).cast("int") for bound in POISSON_BOUNDS), F.lit(0))
+    sums = drawn.select((F.col("block") * 8 + F.col("k")).alias("resample"), weight.alias("w"), "diff").groupBy("resample").agg(F.sum("w").alias("drawn"), F.sum(F.col("w") * F.col("diff")).alias("total"))
+    means = sums.select(F.round(F.col("total") / F.nullif("drawn", F.lit(0)), 12).alias("mean")).where("mean IS NOT NULL")
     # a row for each resample, whatever the input
     ordered = means.agg(F.sort_array(F.collect_list("mean")).alias("m")).where(F.size("m") > 0)
     n = F.size("m")
     return ordered.select(F.get("m", F.floor(n * 0.025).cast("int")).alias("low"), F.get("m", F.greatest(F.floor(n * 0.975) - 1, F.lit(0)).cast("int")).alias("high"))
 
 
+def recall_ceiling(scores: DataFrame, relevant: DataFrame) -> DataFrame:
+    """method, recall_vs_ceiling, mean_ceiling, and of the questions' numbers of relevant papers the least, the upper median, the greatest and how many are above ten.
+
+    A ranking of ten cannot find more than ten papers: the ceiling is the recall of a ranking that finds as many as it can.
+    """
+    cap = F.least(F.lit(10), F.col("n_relevant")) / F.col("n_relevant")
+    placed = placed_values(relevant.groupBy("query_id").agg(F.count("*").alias("c")), "c")
+    middle = F.floor(F.col("n") / 2) + 1
+    spread = placed.agg(
+        F.min("c").alias("least_relevant"), F.max(F.when((F.col("first") <= middle) & (middle <= F.col("last")), F.col("c"))).alias("upper_median"), F.max("c").alias("most_relevant"),
+        F.coalesce(F.sum(F.when(F.col("c") > 10, F.col("last") - F.col("first") + 1)), F.lit(0)).alias("above_ten"),
+    )
+    means = scores.where("recall_at_10 is not null").groupBy("method").agg(F.avg(F.col("recall_at_10") / cap).alias("recall_vs_ceiling"), F.avg(cap).alias("mean_ceiling"))
+    return means.crossJoin(F.broadcast(spread))  # one row
+
+
+def with_latency(summary: DataFrame, times: DataFrame, value: str, *by: str) -> DataFrame:
+    """``summary`` with p50, p95 and max of the group's ``times``, rounded to a tenth; null where nothing was timed."""
+    tenth = [F.bround(c, 1).alias(f"{c}_{value}") for c in ("p50", "p95", "max")]
+    return summary.join(latency_summary(times, value, *by).select(*by, *tenth), list(by), "left")
+
+
+def check_targets(values: DataFrame, targets: DataFrame) -> DataFrame:
+    """Each row of ``values`` (..., metric, value) with its target (metric, least, most) and whether it is met.
+
+    A bound that is null does not bind; a null value meets no target; a target without any value is a row of its own; values without a target stay out.
+    """
+    met = F.col("value").isNotNull() & F.coalesce(F.col("value") >= F.col("least"), F.lit(True)) & F.coalesce(F.col("value") <= F.col("most"), F.lit(True))
+    return targets.join(values, "metric", "left").select(*values.columns, "least", "most", met.alias("met"))
+
+
 def miss_depth(deep_hits: DataFrame, relevant: DataFrame) -> DataFrame:
     """method, bucket, n: where the relevant papers outside the top ten are in a ranking of depth 50."""
     methods = deep_hits.select("method").distinct()

@@ -141,6 +141,41 @@ def question_profile(questions: DataFrame) -> DataFrame:
     return questions.groupBy("type").agg(F.count("*").alias("n"), some("exact_answer").alias("with_answer"), some("snippets").alias("with_snippets"), F.avg(F.size("documents")).alias("mean_documents"))
 
 
+def question_gate(questions: DataFrame, least: int = 100) -> DataFrame:
+    """One row of raw questions (exact_answer, documents, snippets): n, fully_eligible, distinct_papers, mean_documents of the eligible, and whether at least ``least`` are eligible.
+
+    Eligible is what has an answer, documents and snippets.  Papers count by the last part of their addresses; an empty table has zeros.
+    """
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    eligible = some("exact_answer") & some("documents") & some("snippets")
+    counted = questions.agg(F.count("*").alias("n"), F.count_if(eligible).alias("fully_eligible"), F.avg(F.when(eligible, F.size("documents"))).alias("mean_documents"))
+    address = questions.select(F.explode("documents").alias("d")).select(F.substring_index(F.regexp_replace("d", "/+$", ""), "/", -1).alias("paper"))
+    distinct = address.agg(F.count_distinct("paper").alias("distinct_papers"))
+    return counted.crossJoin(F.broadcast(distinct)).withColumn("enough", F.col("fully_eligible") >= least)  # one row each
+
+
+def reference_states(reference: DataFrame, kept: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``reference`` (..., pmid) with the state of each paper: in_collection, the reason of its exclusion, or not_requested."""
+    state = F.when(F.col("_has"), "in_collection").otherwise(F.coalesce("_reason", F.lit("not_requested")))
+    known = kept.select("pmid", F.lit(True).alias("_has")).distinct()
+    why = dropped.groupBy("pmid").agg(F.min("reason").alias("_reason"))
+    return reference.join(known, "pmid", "left").join(why, "pmid", "left").select(*reference.columns, state.alias("state"))
+
+
+def coverage(states: DataFrame, *by: str) -> DataFrame:
+    """(*by, reference, in_collection, missing)."""
+    has = F.col("state") == "in_collection"
+    return states.groupBy(*by).agg(F.count("*").alias("reference"), F.count_if(has).alias("in_collection"), F.count_if(~has).alias("missing"))
+
+
+def collection_size(papers: DataFrame, limit: int) -> DataFrame:
+    """One row of (title, abstract): papers, searchable_chars, over_limit (longer than ``limit``), and the tokens at four and at three characters each."""
+    chars = F.length("title") + 1 + F.length("abstract")
+    total = F.coalesce(F.sum(chars), F.lit(0))
+    estimate = [F.bround(total / by).cast("long").alias(f"tokens_at_{by}") for by in (4, 3)]
+    return papers.agg(F.count("*").alias("papers"), total.alias("searchable_chars"), F.count_if(chars > limit).alias("over_limit"), *estimate)
+
+
 def shared_between(splits: DataFrame) -> DataFrame:
     """Papers that both splits cite, of (split, pmid)."""
     part = lambda s: splits.where(F.col("split") == s).select("pmid")

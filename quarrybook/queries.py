@@ -294,15 +294,10 @@ def method_summary(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {S.RANKINGS}, r AS (SELECT count(*) AS c FROM qrels GROUP BY query_id), o AS (SELECT c, row_number() OVER (ORDER BY c) AS i, count(*) OVER () AS n FROM r)
 SELECT method, round(avg(recall_at_10 / (least(10, n_relevant) / n_relevant)), 9) AS recall_vs_ceiling, round(avg(least(10, n_relevant) / n_relevant), 9) AS mean_ceiling,
-  (SELECT min(c) FROM r) AS least_relevant, (SELECT c FROM o WHERE i = n // 2 + 1) AS upper_median, (SELECT max(c) FROM r) AS most_relevant FROM scored WHERE recall_at_10 IS NOT NULL GROUP BY method""")
+  (SELECT min(c) FROM r) AS least_relevant, (SELECT c FROM o WHERE i = n // 2 + 1) AS upper_median, (SELECT max(c) FROM r) AS most_relevant, (SELECT count(*) FROM r WHERE c > 10) AS above_ten FROM scored WHERE recall_at_10 IS NOT NULL GROUP BY method""")
 def recall_ceiling(spark, sf_dir):
     scored, _, relevant = _scores(spark, sf_dir)
-    cap = F.least(F.lit(10), F.col("n_relevant")) / F.col("n_relevant")
-    counts = relevant.groupBy("query_id").agg(F.count("*").alias("c"))
-    placed = counts.select("c", F.row_number().over(Window.orderBy("c")).alias("i"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))  # a row per benchmark question
-    spread = placed.agg(F.min("c").alias("least_relevant"), F.max(F.when(F.col("i") == F.floor(F.col("n") / 2) + 1, F.col("c"))).alias("upper_median"), F.max("c").alias("most_relevant"))
-    means = scored.where("recall_at_10 is not null").groupBy("method").agg(F.round(F.avg(F.col("recall_at_10") / cap), 9).alias("recall_vs_ceiling"), F.round(F.avg(cap), 9).alias("mean_ceiling"))
-    return means.crossJoin(F.broadcast(spread))  # one row
+    return metrics.recall_ceiling(scored, relevant).withColumns({c: F.round(c, 9) for c in ("recall_vs_ceiling", "mean_ceiling")})
 
 
 @query(f"""WITH {S.knn('hits', 50, 'q.vec_id % 20 = 0')}, w AS (SELECT q.vec_id AS query_id, CAST(b.vec_id + 1 AS VARCHAR) AS pmid FROM embeddings q JOIN embeddings b ON q.label = b.label WHERE q.vec_id % 20 = 0 AND b.vec_id <> q.vec_id)
@@ -325,17 +320,18 @@ _WINS = " UNION ALL ".join(
 @query(f"WITH RECURSIVE {S.RANKINGS} {_WINS}")
 def paired_wins(spark, sf_dir):
     scored = Staging(spark, "paired").table(_scores(spark, sf_dir)[0], "scores")
-    out = None
-    for m in ("recall_at_5", "recall_at_10", "rr_at_10"):
-        one = metrics.paired(scored, "hybrid", "bm25", m).agg(F.round(F.avg("diff"), 9).alias("mean_difference"), F.count_if(F.col("diff") > metrics.TIE).alias("a_better"), F.count_if(F.col("diff") < -metrics.TIE).alias("b_better"), F.count_if(F.abs("diff") <= metrics.TIE).alias("ties"))
-        one = one.select(F.lit(m).alias("metric"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    each = [metrics.wins(metrics.paired(scored, "hybrid", "bm25", m)).select(F.lit(m).alias("metric"), _r("mean_difference"), "a_better", "b_better", "ties") for m in ("recall_at_5", "recall_at_10", "rr_at_10")]
+    return reduce(DataFrame.unionByName, each)
 
 
-@query()
+@query(f"""WITH RECURSIVE {S.RANKINGS}, d AS (SELECT query_id, x.rr_at_10 - y.rr_at_10 AS diff FROM scored x JOIN scored y USING (query_id) WHERE x.method = 'hybrid' AND y.method = 'bm25' AND x.rr_at_10 IS NOT NULL AND y.rr_at_10 IS NOT NULL),
+b AS (SELECT diff, block, sha256('{metrics.SEED}|' || query_id || '|' || block) AS h FROM d, range({metrics.RESAMPLES // 8}) t(block)),
+u AS (SELECT diff, block * 8 + k AS resample, CAST('0x' || substr(h, k * 8 + 1, 8) AS BIGINT) AS u FROM b, range(8) s(k)),
+m AS (SELECT round(sum(w * diff) / sum(w), 12) AS mean FROM (SELECT diff, resample, len(list_filter({metrics.POISSON_BOUNDS}, lambda c: c <= u)) AS w FROM u) GROUP BY resample HAVING sum(w) > 0),
+o AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS i, count(*) OVER () AS n FROM m)
+SELECT max(CASE WHEN i = floor(n * 0.025) THEN mean END) AS low, max(CASE WHEN i = greatest(floor(n * 0.975) - 1, 0) THEN mean END) AS high FROM o HAVING count(*) > 0""")
 def bootstrap_interval(spark, sf_dir):
-    return metrics.bootstrap_ci(metrics.paired(_scores(spark, sf_dir)[0], "hybrid", "bm25", "recall_at_10"))
+    return metrics.bootstrap_ci(metrics.paired(_scores(spark, sf_dir)[0], "hybrid", "bm25", "rr_at_10"))
 
 
 @query(f"""WITH RECURSIVE {S.RANKINGS}, f AS (SELECT r.query_id, count(DISTINCT h.pmid) AS c, count(DISTINCT r.pmid) AS n FROM qrels r LEFT JOIN (SELECT * FROM hits WHERE rank <= 10) h ON r.query_id = h.query_id AND r.pmid = h.pmid GROUP BY r.query_id)
@@ -503,10 +499,9 @@ def collection_expand(spark, sf_dir):
   FROM qrels q LEFT JOIN papers p ON p.pmid = q.pmid LEFT JOIN recs r ON r.pmid = q.pmid)
 SELECT query_id, count(*) AS reference, count(CASE WHEN state = 'in_collection' THEN 1 END) AS in_collection, count(CASE WHEN state <> 'in_collection' THEN 1 END) AS missing FROM m GROUP BY query_id""")
 def coverage_report(spark, sf_dir):
-    kept, dropped = papers.split_records(_records(spark, sf_dir))
-    reference = _qrels(spark, sf_dir)
-    state = reference.join(kept.select("pmid", F.lit(True).alias("has")), "pmid", "left").join(dropped, "pmid", "left").withColumn("state", F.when(F.col("has"), "in_collection").otherwise(F.coalesce("reason", F.lit("not_requested"))))
-    return state.groupBy("query_id").agg(F.count("*").alias("reference"), F.count_if(F.col("state") == "in_collection").alias("in_collection"), F.count_if(F.col("state") != "in_collection").alias("missing"))
+    from quarrybook.operators import reports
+
+    return reports.coverage(reports.reference_states(_qrels(spark, sf_dir), *papers.split_records(_records(spark, sf_dir))), "query_id")
 
 
 # --- answers

@@ -77,10 +77,11 @@ def append_missing(rows: DataFrame, path: str, key: str) -> int:
 
 
 def write_benchmark(questions: DataFrame, path: str) -> DataFrame:
-    """Questions (id, type, split, body, ...) as JSON lines below a new ``path``, and a manifest of counts and hashes without any text."""
+    """Questions (id, type, split, body, ...) as JSON lines below a new ``path``, and a manifest without any text: numbers by split and type, the hash of all in order of id."""
     questions.write.mode("errorifexists").json(f"{path}/questions")
-    one = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("id").cast("string"), "type", "split", "body"), 256), 1, 14), 16, 10).cast("decimal(38,0)")
-    found = questions.groupBy("split", "type").agg(F.count("*").alias("n"), F.sum(one).cast("string").alias("content_sum"))
+    content = F.sha2(F.concat_ws("|", F.col("id").cast("string"), "type", "split", "body"), 256)
+    root = MerkleTree(questions.select("id", content.alias("content")), "id", "content").root()
+    found = questions.groupBy("split", "type").agg(F.count("*").alias("n")).withColumn("questions_sha256", F.lit(root))
     found.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
     return found
 

@@ -115,7 +115,11 @@ def test_nearest_rank(spark):
 def test_bootstrap(spark):
     values = [0.1, -0.2, 0.3, 0.05, -0.1] * 8
     diffs = spark.createDataFrame(list(enumerate(values)), "query_id long, diff double")
-    weights = [metrics.resample_weights(str(k)) for k in range(40)]
+    weights = []
+    for q in range(40):
+        blocks = [hashlib.sha256(f"{metrics.SEED}|{q}|{b}".encode()).hexdigest() for b in range(metrics.RESAMPLES // 8)]
+        weights.append([sum(int(h[8 * k : 8 * k + 8], 16) >= bound for bound in metrics.POISSON_BOUNDS) for h in blocks for k in range(8)])
+    assert abs(sum(map(sum, weights)) / 40 / metrics.RESAMPLES - 1) < 0.01
     means = sorted(round(sum(w[r] * v for w, v in zip(weights, values, strict=True)) / sum(w[r] for w in weights), 12) for r in range(metrics.RESAMPLES))
     got = rows(metrics.bootstrap_ci(diffs.repartition(3)))
     assert got == [(pytest.approx(means[250], abs=1e-9), pytest.approx(means[9749], abs=1e-9))]

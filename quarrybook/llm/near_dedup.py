@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrybook.llm.shingles import sketch_rows
-from quarrybook.plans.components import connected_components
+from quarrybook.plans.components import counted_components
 from quarrybook.plans.skew import group_sizes, join_groups, small_or_shuffled
 from quarrybook.plans.staging import Staging
 
@@ -119,8 +119,7 @@ class NearDuplicates:
 
     def _components(self, links: DataFrame, name: str) -> DataFrame:
         """Components of ``links``, written once; ``n_components`` has the number of nodes in them."""
-        found, seen = self.staging.measured(connected_components(links, self.staging, "a", "b", f"cc-{name}"), f"components-{name}", rows=F.count("*"))
-        self.n_components = seen["rows"]
+        found, self.n_components = counted_components(links, self.staging, "a", "b", f"cc-{name}")
         return found
 
     def _labelled(self, lists: DataFrame, components: DataFrame) -> DataFrame:
@@ -128,13 +127,14 @@ class NearDuplicates:
         comps = small_or_shuffled(components.withColumnRenamed("node", "member"), self.n_components)
         return lists.join(comps, lists["node"] == comps["member"], "left").withColumn("comp", F.coalesce("component", "node")).drop("member", "component")
 
-    def _hopeful(self, met: DataFrame, tested: DataFrame, name: str) -> DataFrame:
-        """(a, b), not yet tested, of pairs (node, n, place and the same with _y) whose sizes and places leave room for the overlap."""
+    def _hopeful(self, met: DataFrame, tested: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """(a, b), not yet tested, and their number, of pairs (node, n, place and the same with _y) whose sizes and places leave room for the overlap."""
         needed = self._needed()
         room = lambda n, place: F.col(place) <= F.least(F.col(n), F.lit(WIDE_K)) - needed + 1
         close = F.least("n", "n_y") * 100 >= F.greatest("n", "n_y") * self.percent
         new = met.where(close & room("n", "place") & room("n_y", "place_y")).select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
-        return self.staging.table(new.join(tested, ["a", "b"], "left_anti"), name)
+        found, seen = self.staging.measured(new.join(tested, ["a", "b"], "left_anti"), name, rows=F.count("*"))
+        return found, seen["rows"]
 
     def neighbours(self, lists: DataFrame, components: DataFrame, tested: DataFrame, name: str) -> DataFrame:
         """(a, b): each node of the lists with those of other components among the ``BEFORE`` before it, in orders that have similar sets together."""
@@ -147,12 +147,12 @@ class NearDuplicates:
             near = listed.select("node", "n", "place", F.explode(F.filter("others", lambda o: o["comp"] != F.col("comp"))).alias("o"))
             met = near if met is None else met.unionByName(near)
         met = met.select("node", "n", "place", *[F.col(f"o.{c}").alias(f"{c}_y") for c in ("node", "n", "place")])
-        found = self._hopeful(met, tested, name)
+        found, _ = self._hopeful(met, tested, name)
         self.staging.drop(f"{name}-labelled")
         return found
 
-    def across(self, lists: DataFrame, components: DataFrame, tested: DataFrame) -> DataFrame:
-        """(a, b): all hopeful pairs across components that are not yet tested."""
+    def across(self, lists: DataFrame, components: DataFrame, tested: DataFrame) -> tuple[DataFrame, int]:
+        """(a, b): all hopeful pairs across components that are not yet tested, and their number."""
         labelled = self._labelled(lists, components)
         mixed = labelled.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("value")
         dealt = self.staging.table(labelled.join(mixed, "value"), "mixed-lists")
@@ -163,31 +163,41 @@ class NearDuplicates:
         self.staging.drop("mixed-lists")
         return found
 
-    def _beside(self, pairs: DataFrame, table: DataFrame, columns: list[str], name: str) -> DataFrame:
-        """Both nodes' columns beside each pair, suffixed _a and _b.
+    def _nodes_of(self, pairs: DataFrame) -> tuple[DataFrame, dict]:
+        """(node, pairs_a, pairs_b): in how many pairs each node is on either side; and what to measure when they are written."""
+        each = F.explode(F.array(*[F.struct(F.col(s).alias("node"), *[F.lit(int(s == t)).cast("long").alias(f"pairs_{t}") for t in "ab"]) for s in "ab"]))
+        counted = pairs.select(each.alias("e")).groupBy("e.node").agg(*[F.sum(f"e.pairs_{s}").alias(f"pairs_{s}") for s in "ab"])
+        return counted, {"rows": F.count("*")} | {f"{k}_{s}": c for s in "ab" for k, c in group_sizes(f"pairs_{s}").items()}
+
+    def _beside(self, pairs: DataFrame, table: DataFrame, columns: list[str], sizes: dict, width: str | None = None) -> DataFrame:
+        """Both nodes' columns beside each pair, suffixed _a and _b; ``table`` is staged and has pairs_a and pairs_b.
 
         The least node of a large group is in many pairs; it comes last, so that its columns are not shuffled with each of them.
+        ``width`` is a column of unbounded arrays.
         """
         out = pairs
         for side in ("b", "a"):
-            often, sizes = self.staging.measured(pairs.groupBy(F.col(side).alias("node")).agg(F.count("*").alias("pairs")), f"{name}-often-{side}", rows=F.count("*"), **group_sizes("pairs"))
-            groups = table.join(small_or_shuffled(often, sizes["rows"]), "node").select(F.col("node").alias(side), "pairs", *[F.col(c).alias(f"{c}_{side}") for c in columns])
-            out = join_groups(out, self.staging.table(groups, f"{name}-{side}"), [side], "pairs", "inner", width=8 * F.size(f"{columns[-1]}_{side}") + 50, sizes=sizes).drop("pairs")
+            groups = table.where(F.col(f"pairs_{side}") > 0).select(F.col("node").alias(side), F.col(f"pairs_{side}").alias("pairs"), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+            measured = {k: sizes[f"{k}_{side}"] for k in ("total", "most")}
+            out = join_groups(out, groups, [side], "pairs", "inner", width=width and 8 * F.size(f"{width}_{side}") + 50, sizes=measured).drop("pairs")
         return out
 
     def confirm(self, pairs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
         """Those pairs whose full sets are similar enough."""
-        beside = self._beside(pairs, reps.select("node", "n", "sketch"), ["n", "sketch"], "sketches-of")
+        counted, measures = self._nodes_of(pairs)
+        often, seen = self.staging.measured(counted, "often", **measures)
+        sketches = self.staging.table(reps.select("node", "n", "sketch").join(small_or_shuffled(often, seen["rows"]), "node"), "sketches-of")
+        beside = self._beside(pairs, sketches, ["n", "sketch"], seen)  # heavy nodes: fewer than HEAVY_KEYS, of K values each
         long_enough = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
         hopeful = self.staging.table(beside.where(long_enough & (self._estimate() >= self._floor())).select("a", "b"), f"{name}-hopeful")
-        ids = hopeful.select(F.col("a").alias("node")).unionByName(hopeful.select(F.col("b").alias("node"))).distinct().join(self.nodes, "node")
-        ids, seen = self.staging.measured(ids, "ids", rows=F.count("*"))
-        sets = self.staging.table(self._again(ids, seen["rows"], None).select("node", F.col("sketch").alias("s")), "sets")
-        out = self._beside(hopeful, sets, ["s"], "sets-of")
+        counted, measures = self._nodes_of(hopeful)
+        ids, seen = self.staging.measured(counted.join(self.nodes, "node"), "ids", **measures)
+        sets = self.staging.table(self._again(ids, seen["rows"], None).select("node", "pairs_a", "pairs_b", F.col("sketch").alias("s")), "sets")
+        out = self._beside(hopeful, sets, ["s"], seen, width="s")
         common = F.size(F.array_intersect("s_a", "s_b"))
         union = F.size("s_a") + F.size("s_b") - common
         links = self.staging.table(out.where(common * 100 >= union * self.percent).select("a", "b").distinct(), f"{name}-links")
-        self.staging.drop("ids", "sets", f"{name}-hopeful", *(f"{t}-{s}" for t in ("sketches-of", "sets-of", "sketches-of-often", "sets-of-often") for s in "ab"))
+        self.staging.drop("often", "sketches-of", "ids", "sets", f"{name}-hopeful")
         return links
 
     def _estimate(self) -> Column:
@@ -207,9 +217,10 @@ class NearDuplicates:
         first = F.min(F.struct("doc_id", "node"))
         classes, sizes = self.staging.measured(named.groupBy("sig").agg(first.alias("first"), F.count("*").alias("rows")).select("sig", F.col("first.node").alias("node"), F.col("first.doc_id").alias("doc_id"), "rows"), "classes", **group_sizes("rows"))
         self.nodes = classes.select("node", "doc_id", "sig")
-        several = classes.where("rows > 1").withColumnRenamed("node", "rep").drop("doc_id")
-        copies, seen = self.staging.measured(join_groups(named.select("node", "doc_id", "sig"), several, ["sig"], "rows", "inner", sizes=sizes).where("node <> rep").select("node", "doc_id", "sig"), "copies", rows=F.count("*"))
-        self.repeated = not copies.join(classes.where("rows > 1").select("sig", "doc_id"), ["sig", "doc_id"], "left_semi").isEmpty()
+        several = classes.where("rows > 1").select("sig", "rows", F.col("node").alias("rep"), F.col("doc_id").alias("rep_id"))
+        copies = join_groups(named.select("node", "doc_id", "sig"), several, ["sig"], "rows", "inner", sizes=sizes).where("node <> rep").select("node", (F.col("doc_id") == F.col("rep_id")).alias("again"))
+        copies, seen = self.staging.measured(copies, "copies", rows=F.count("*"), again=F.count_if("again"))
+        self.repeated = seen["again"] > 0
         reps = named.join(small_or_shuffled(copies.select("node"), seen["rows"]), "node", "left_anti")
         index = self.index(reps)
         stars = self.stars(index)
@@ -220,8 +231,8 @@ class NearDuplicates:
         links = self.staging.table(links.unionByName(self.confirm(near, reps, "near")), "near-and-stars")
         components = self._components(links, "near")
         tested = stars.unionByName(near)
-        across = self.across(lists, components, tested)
-        if not across.isEmpty():
+        across, n_across = self.across(lists, components, tested)
+        if n_across:
             links = self.staging.table(links.unionByName(self.confirm(across, reps, "across")), "links")
             components = self._components(links, "all")
         labels = self.staging.table(self._labels(classes, components), "labels")

@@ -7,11 +7,12 @@ import html
 import re
 from dataclasses import dataclass, field
 
-#: Elements without content, elements whose content is not markup, inline elements, and elements that never hold main text.
+#: Elements without content, elements whose content is not markup or is not shown, formulas, inline elements, and elements that never hold main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-ASIDE = frozenset("head nav footer aside form script style noscript template iframe textarea title svg math object button select option dialog menu".split())
+RAW = frozenset("script style noscript template iframe textarea title svg annotation annotation-xml object xmp".split())
+MATH = frozenset("math semantics mrow mi mn mo ms mtext mspace mstyle mpadded mphantom mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | MATH
+ASIDE = frozenset("head nav footer aside form script style noscript template iframe textarea title svg object button select option dialog menu".split())
 CONTAINERS = frozenset(("article", "main"))
 #: Elements without a meaning of their own: which of its kind one is among its siblings is part of its path.
 BOXES = frozenset("div section td".split())
@@ -23,6 +24,10 @@ MARKS = frozenset(
     "breadcrumb breadcrumbs pagination pager comment comments reply replies respond disqus discussion form search login copyright legal widget complementary contentinfo".split()
 )
 
+#: Last parts of longer names that mark the same (post-comments), unless the first part says otherwise (no-sidebar).
+MARKING_ENDS = frozenset("ad ads advert adverts comment comments cookies footer nav navbar newsletter replies sidebar".split())
+DENYING_STARTS = frozenset("no not has with without hide show".split())
+
 #: A quoted value may hold > if it ends as a value does; after a quote that is never closed the tag ends at the first >.
 _PIECES = re.compile(r"<!--.*?(?:-->|\Z)|<[A-Za-z/!?](?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*>|<[A-Za-z/!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?\s*([A-Za-z][A-Za-z0-9:-]*)")
@@ -86,9 +91,17 @@ class Block:
         return frozenset().union(*(e.names for e in self.named))
 
 
+def is_mark(name: str) -> bool:
+    """Whether a class, id or role marks what is not main text: it is in ``MARKS``, all its parts are, or its last part is a marking end."""
+    parts = [p for p in re.split("[-_]+", name) if p]
+    if len(parts) < 2:
+        return name in MARKS
+    return all(p in MARKS for p in parts) or (parts[-1] in MARKING_ENDS and parts[0] not in DENYING_STARTS)
+
+
 def marks_of(tag: str) -> frozenset[str]:
-    """Those of an element's classes, id and role that are in ``MARKS``."""
-    return frozenset(n for found in _HINT.findall(tag) for n in "".join(found).lower().split() if n in MARKS)
+    """Those of an element's classes, id and role that are marks."""
+    return frozenset(n for found in _HINT.findall(tag) for n in "".join(found).lower().split() if is_mark(n))
 
 
 def parse(page: str, region: int | None = None) -> tuple[list[Block], list[Element]]:
@@ -186,7 +199,7 @@ def parse(page: str, region: int | None = None) -> tuple[list[Block], list[Eleme
             stack[-1].named = (*top.named, stack[-1])
         if tag not in INLINE:
             opened.append(stack[-1])
-        if piece.endswith("/>") and tag in ("svg", "math"):
+        if piece.endswith("/>") and tag in MATH:
             stack.pop()
     held.append(page[at:])
     flush()

@@ -105,3 +105,16 @@ def test_deep_and_broken_markup():
     assert html_extraction.main_text(deep, [], []) == "bottom"
     assert html_extraction.main_text("<p title=\"a>one</p><p class=\"x\">two</p><p title='b>c'>three <i title='>four</i>", [], []) == "one two three four"
     assert html_extraction.main_text("<p><b>open<br><p>next</b> x", [], []) == "open next x"
+
+
+def test_formulas_are_text():
+    page = "<article><p>Let <math><mi>x</mi><mspace/><msup><mi>y</mi><mn>2</mn></msup></math> be large.<p>So <math/>it <math><semantics><mi>z</mi><annotation>\\zeta</annotation></semantics></math> is</article>"
+    assert html_extraction.main_text(page, [], []) == "Let xy2 be large. So it z is"
+
+
+def test_names_of_several_parts():
+    side = "<div class='{}'><p>We use cookies</p></div><div class=text><p>Main words</p></div>"
+    for name in ("cookie-banner", "post-comments", "site_footer", "newsletter-signup", "right-sidebar"):
+        assert html_extraction.main_text(side.format(name), [], []) == "Main words", name
+    for name in ("no-sidebar", "comments-open", "has-comments", "legal-text", "related-work", "article-header", "-"):
+        assert html_extraction.main_text(side.format(name), [], []) == "We use cookies Main words", name

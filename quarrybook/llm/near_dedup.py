@@ -13,7 +13,9 @@
    node of each of its lists.  A pair inside a component needs no further
    link, so a group of many near copies costs a few pairs for each document.
    Then come the nodes of those lists that still hold several components, with sketches of
-   ``WIDE_K`` values: each is paired with some nodes before it in each list, in orders by the least values, so that
+   ``WIDE_K`` values: each is paired with some nodes before it in each list, in orders by the least values, and with the
+   list's centre, the node with the least share of values rarer than the list's own.  Variants of one text that are too unlike each other are linked
+   through such a node alone.  While far more pairs than rows of lists are left and links are found, this is done again with twice as many centres, so that
    large groups are in one component before all other pairs across components are looked at.  They are the same lists again, by the values' rarity among these nodes, where a pair meets
    only if the places of the value in both sketches leave enough values for the overlap that the two sizes need.
    Documents that share a passage, but each have words of their own, do not meet at all.  Long lists are
@@ -45,6 +47,8 @@ LIST_PART = 1000
 #: Orders of a list's nodes, similar sets mostly having their least values in common, and nodes that each is paired with.
 ORDERS = (("m0", "m1", "n", "node"), ("m1", "m0", "n", "node"), ("n", "m0", "node"))
 BEFORE = 6
+#: Pairs across components for each row of a list beyond which the lists' next centres are tried before the pairs.
+PAIRS_PER_ROW = 8
 
 
 class NearDuplicates:
@@ -136,32 +140,51 @@ class NearDuplicates:
         found, seen = self.staging.measured(new.join(tested, ["a", "b"], "left_anti"), name, rows=F.count("*"))
         return found, seen["rows"]
 
-    def neighbours(self, lists: DataFrame, components: DataFrame, tested: DataFrame, name: str) -> DataFrame:
-        """(a, b): each node of the lists with those of other components among the ``BEFORE`` before it, in orders that have similar sets together."""
+    def neighbours(self, lists: DataFrame, components: DataFrame, tested: DataFrame, name: str, centres: int) -> DataFrame:
+        """(a, b): each node of the lists with those of other components among the ``BEFORE`` before it, in orders that have similar sets together, and among the list's centres.
+
+        What is before a node is looked at with the first centre only, as it is the same each time.
+        """
         labelled = self.staging.table(self._labelled(lists, components), f"{name}-labelled")
-        shown, met = F.struct("node", "comp", "n", "place"), None
-        for order in ORDERS:
+        shown, met = F.struct("node", "comp", "n", "place"), self._beside_centres(labelled, name, centres)
+        for order in ORDERS if centres == 1 else ():
             part = F.pmod(F.xxhash64(order[0]), F.col("parts")).cast("int")
             before = Window.partitionBy("value", part).orderBy(*order).rowsBetween(-BEFORE, -1)
             listed = labelled.select("node", "comp", "n", "place", F.collect_list(shown).over(before).alias("others"))
             near = listed.select("node", "n", "place", F.explode(F.filter("others", lambda o: o["comp"] != F.col("comp"))).alias("o"))
-            met = near if met is None else met.unionByName(near)
+            met = met.unionByName(near)
         met = met.select("node", "n", "place", *[F.col(f"o.{c}").alias(f"{c}_y") for c in ("node", "n", "place")])
         found, _ = self._hopeful(met, tested, name)
-        self.staging.drop(f"{name}-labelled")
+        self.staging.drop(f"{name}-labelled", f"{name}-centres")
         return found
 
-    def across(self, lists: DataFrame, components: DataFrame, tested: DataFrame) -> tuple[DataFrame, int]:
+    def _beside_centres(self, labelled: DataFrame, name: str, centres: int) -> DataFrame:
+        """(node, n, place, o): each node with the centres of its lists that are of other components; a list is dealt into ``centres`` parts of one centre each."""
+        rarer = F.col("place") / F.least(F.col("n"), F.lit(WIDE_K))
+        best = F.min(F.struct(rarer.alias("rarer"), "node", "comp", "n", "place")).alias("best")
+        parts = labelled.groupBy("value", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("part")).agg(best, F.count("*").alias("m"))
+        hubs = parts.groupBy("value").agg(F.collect_list("best").alias("centres"), F.sum("m").alias("m"))
+        hubs, sizes = self.staging.measured(hubs, f"{name}-centres", **group_sizes("m"))
+        met = join_groups(labelled.select("value", "node", "comp", "n", "place"), hubs, ["value"], "m", "inner", sizes=sizes)
+        others = F.transform(F.filter("centres", lambda o: o["comp"] != F.col("comp")), lambda o: F.struct(*[o[c].alias(c) for c in ("node", "comp", "n", "place")]))
+        return met.select("node", "n", "place", F.explode(others).alias("o"))
+
+    def left(self, lists: DataFrame, components: DataFrame, name: str) -> tuple[DataFrame, dict]:
+        """The lists that hold several components, with each node's comp; their rows, and how many pairs across components they have."""
+        labelled = self._labelled(lists.drop("comp"), components)
+        counts = labelled.groupBy("value", "comp").agg(F.count("*").alias("c"))
+        mixed = counts.groupBy("value").agg(F.count("*").alias("comps"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same")).where("comps > 1")
+        mixed, seen = self.staging.measured(mixed, f"{name}-mixed", rows=F.sum("m"), pairs=F.sum(F.col("m") * F.col("m") - F.col("same")) / 2)
+        dealt = self.staging.table(labelled.join(mixed.select("value"), "value"), f"{name}-lists")
+        self.staging.drop(f"{name}-mixed")
+        return dealt, {k: v or 0 for k, v in seen.items()}
+
+    def across(self, dealt: DataFrame, tested: DataFrame) -> tuple[DataFrame, int]:
         """(a, b): all hopeful pairs across components that are not yet tested, and their number."""
-        labelled = self._labelled(lists, components)
-        mixed = labelled.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("value")
-        dealt = self.staging.table(labelled.join(mixed, "value"), "mixed-lists")
         left = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         right = dealt.select("value", *[F.col(c).alias(f"{c}_y") for c in ("node", "comp", "n", "place")], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         met = left.join(right, ["value", "part"]).where("comp <> comp_y AND (n < n_y OR (n = n_y AND node < node_y))")
-        found = self._hopeful(met, tested, "across")
-        self.staging.drop("mixed-lists")
-        return found
+        return self._hopeful(met, tested, "across")
 
     def _nodes_of(self, pairs: DataFrame) -> tuple[DataFrame, dict]:
         """(node, pairs_a, pairs_b): in how many pairs each node is on either side; and what to measure when they are written."""
@@ -196,7 +219,8 @@ class NearDuplicates:
         out = self._beside(hopeful, sets, ["s"], seen, width="s")
         common = F.size(F.array_intersect("s_a", "s_b"))
         union = F.size("s_a") + F.size("s_b") - common
-        links = self.staging.table(out.where(common * 100 >= union * self.percent).select("a", "b").distinct(), f"{name}-links")
+        links, seen = self.staging.measured(out.where(common * 100 >= union * self.percent).select("a", "b").distinct(), f"{name}-links", rows=F.count("*"))
+        self.n_links = seen["rows"]
         self.staging.drop("often", "sketches-of", "ids", "sets", f"{name}-hopeful")
         return links
 
@@ -226,18 +250,24 @@ class NearDuplicates:
         stars = self.stars(index)
         links = self.confirm(stars, reps, "stars")
         components = self._components(links, "stars")
-        lists = self.open_lists(index, components)
-        near = self.neighbours(lists, components, stars, "near")
-        links = self.staging.table(links.unionByName(self.confirm(near, reps, "near")), "near-and-stars")
-        components = self._components(links, "near")
-        tested = stars.unionByName(near)
-        across, n_across = self.across(lists, components, tested)
+        lists, tested, centres, more = self.open_lists(index, components), stars, 1, True
+        while more:
+            name = f"near-{centres}"
+            near = self.neighbours(lists, components, tested, name, centres)
+            links = self.staging.table(links.unionByName(self.confirm(near, reps, name)), f"{name}-all")
+            found, tested = self.n_links, tested.unionByName(near)
+            components = self._components(links, name)
+            lists, left = self.left(lists, components, name)
+            centres *= 2
+            more = found > 0 and left["pairs"] > PAIRS_PER_ROW * centres * left["rows"]
+        across, n_across = self.across(lists, tested)
         if n_across:
             links = self.staging.table(links.unionByName(self.confirm(across, reps, "across")), "links")
             components = self._components(links, "all")
         labels = self.staging.table(self._labels(classes, components), "labels")
         members = join_groups(sketched.select("doc_id", "text_key", "n", "sig"), labels, ["sig"], "rows", "left", sizes=sizes)
-        self.staging.drop("index", "hubs", "stars", "across", "dealt", "copies", "classes", "links", "near", "near-and-stars", "stars-links", "near-links", "across-links")
+        rounds = [f"near-{2**k}{part}" for k in range(centres.bit_length() - 1) for part in ("", "-all", "-links", "-lists")]
+        self.staging.drop("index", "hubs", "stars", "across", "dealt", "copies", "classes", "links", "stars-links", "across-links", *rounds)
         component = F.coalesce("component_id", "doc_id")
         return members.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -1,6 +1,7 @@
 """Near-duplicates: the second round, repeated ids, lists of many documents without a link, and brute force over a given table."""
 
 import os
+import random
 import re
 import time
 from collections import Counter, defaultdict
@@ -93,6 +94,40 @@ def test_many_documents_with_a_common_line_and_no_link(spark):
     assert took[1] < 3 * took[0] + 5  # eight times the documents are no sixty-four times the work
 
 
+def variants(words, ids, edits, seed):
+    """The text of ``words`` in the middle of ``ids``, and for all other ids one with ``edits`` words of its own in places of their own."""
+    draw, rows = random.Random(seed), []
+    for i in ids:
+        own = set(draw.sample(range(len(words)), edits)) if i != ids[len(ids) // 2] else ()
+        rows.append((i, " ".join(f"e{i}x{k}" if k in own else w for k, w in enumerate(words))))
+    return rows
+
+
+def counted(monkeypatch):
+    """The pairs that are tested from now on, by the name of the round."""
+    tested, confirm = {}, near_dedup.NearDuplicates.confirm
+    monkeypatch.setattr(near_dedup.NearDuplicates, "confirm", lambda self, pairs, reps, name: tested.update({name: pairs.count()}) or confirm(self, pairs, reps, name))
+    return tested
+
+
+def test_variants_linked_through_one_text_alone(spark, monkeypatch):
+    """Hardly any two variants are similar enough, all are to the text they come from: one component, and pairs in proportion to its size."""
+    tested = counted(monkeypatch)
+    rows = variants([f"w{k}" for k in range(150)], range(1, 301), 4, 1)
+    assert {r["component_id"] for r in check(spark, rows)} == {1}
+    assert sum(tested.values()) < 20 * len(rows)  # 300 * 299 / 2 = 44,850
+
+
+def test_rounds_of_more_centres(spark, monkeypatch):
+    """Two groups whose texts are just too unlike, so pairs across components are left after a round that found links."""
+    tested = counted(monkeypatch)
+    monkeypatch.setattr(near_dedup, "PAIRS_PER_ROW", 0)
+    words = [f"w{k}" for k in range(150)]
+    other = [f"v{k}" if k in (20, 50, 80, 110, 140) else w for k, w in enumerate(words)]
+    check(spark, variants(words, range(1, 61), 3, 1) + variants(other, range(61, 121), 3, 2))
+    assert {"near-1", "near-2"} <= set(tested)
+
+
 def test_whole_table_equals_brute_force(spark):
     """All 10,000 documents of sf0.1: recall of links' components by length band."""
     path = "/root/testdata/sf0.1/documents.parquet"

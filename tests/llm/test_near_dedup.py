@@ -118,6 +118,14 @@ def test_variants_linked_through_one_text_alone(spark, monkeypatch):
     assert sum(tested.values()) < 20 * len(rows)  # 300 * 299 / 2 = 44,850
 
 
+def test_stage_keeps_one_of_linked_variants(spark, monkeypatch):
+    """The pipeline's stage: one of the variants stays, and others' rows are as they were, without all pairs."""
+    tested = counted(monkeypatch)
+    rows = [*variants([f"w{k}" for k in range(150)], range(2, 202), 4, 3), (1, "another text of its own"), (300, None)]
+    assert sorted(map(tuple, near_dedup.one_of_each_group(spark.createDataFrame(rows, SCHEMA)).collect())) == [(1, "another text of its own"), rows[0], (300, None)]
+    assert sum(tested.values()) < 20 * len(rows)  # 200 * 199 / 2 = 19,900
+
+
 def test_rounds_of_more_centres(spark, monkeypatch):
     """Two groups whose texts are just too unlike, so pairs across components are left after a round that found links."""
     tested = counted(monkeypatch)

@@ -12,13 +12,12 @@
 3. Links are sought in two rounds.  First each node is paired with the least
    node of each of its lists.  A pair inside a component needs no further
    link, so a group of many near copies costs a few pairs for each document.
-   Then come the nodes of those lists that still hold several components, with sketches of
-   ``WIDE_K`` values: each is paired with some nodes before it in each list, in orders by the least values, and with the
-   list's centre, the node with the least share of values rarer than the list's own.  Variants of one text that are too unlike each other are linked
+   Then come the nodes of those lists that still hold several components, with their full sets: in the lists of each set's
+   ``NEAR_K`` least values each is paired with some nodes before it, in orders by the least values, and with the list's centre, the node with the least share of values rarer than the list's own.  Variants of one text that are too unlike each other are linked
    through such a node alone.  While far more pairs than rows of lists are left and links are found, this is done again with twice as many centres, so that
-   large groups are in one component before all other pairs across components are looked at.  They are the same lists again, by the values' rarity among these nodes, where a pair meets
-   only if the places of the value in both sketches leave enough values for the overlap that the two sizes need.
-   Documents that share a passage, but each have words of their own, do not meet at all.  Long lists are
+   large groups are in one component before all other pairs across components are looked at.  They meet in the lists of all values, by the values' rarity among these nodes, and
+   only if the places of the value in both sets leave enough values for the overlap that the two sizes need; this is exact.
+   Documents that share a passage, but each have words of their own, do not meet at all, however long they are.  Long lists are
    joined in parts.  So no link between components is lost.
 4. Pairs whose union sketch estimates too little are dropped (7 standard errors
    below the threshold); the others are confirmed on full sets.
@@ -38,8 +37,8 @@ from quarrybook.plans.skew import group_sizes, join_groups, small_or_shuffled
 from quarrybook.plans.staging import Staging
 
 K, SHARED = 96, 46
-#: The same for pairs across components: 5.3 standard errors less than three quarters of the values.
-WIDE_K, WIDE_SHARED = 512, 332
+#: Least values of a full set whose lists are searched for centres and neighbours; pairs across components are sought in all of them.
+NEAR_K = 512
 #: Per cent of the union that the intersection has at least.
 PERCENT = 75
 #: Nodes of one list that are joined in one task.
@@ -47,6 +46,8 @@ LIST_PART = 1000
 #: Orders of a list's nodes, similar sets mostly having their least values in common, and nodes that each is paired with.
 ORDERS = (("m0", "m1", "n", "node"), ("m1", "m0", "n", "node"), ("n", "m0", "node"))
 BEFORE = 6
+#: Ratio of the sizes of sets that meet under one key when pairs across components are sought.
+SIZE_STEP = 1.05
 #: Pairs across components for each row of a list beyond which the lists' next centres are tried before the pairs.
 PAIRS_PER_ROW = 8
 
@@ -66,18 +67,16 @@ class NearDuplicates:
         new = [T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))]
         return texts.mapInArrow(partial(sketch_rows, k=k), T.StructType([*own, *new]))
 
-    def _least(self, n: Column, k: int, shared: int) -> Column:
-        """Values of a sketch that any similar set's sketch shares at least."""
-        return F.when(n <= k * self.percent // 100, F.ceil(n * self.percent / 100)).otherwise(F.lit(shared))
+    def _ranked(self, postings: DataFrame, kept: Column, least: Column, name: str, *keep: str) -> DataFrame:
+        """(value, node, *keep, place) for the first values of each node, in order of rarity; values of one node alone are passed over.
 
-    def _ranked(self, postings: DataFrame, k: int, shared: int, name: str, *keep: str) -> DataFrame:
-        """(value, node, *keep, place) for the first values of each node, in order of rarity; values of one node alone are passed over."""
+        A node has ``kept`` values, of which it shares ``least`` or more with any similar node.
+        """
         lists = self.staging.table(postings.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"), f"{name}-lists")
         found = postings.join(lists.hint("merge"), "value")  # lists grow with the input, so one plan serves all sizes
-        kept = F.least(F.col("n"), F.lit(k))
         own = Window.partitionBy("node")
         place = kept - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "value"))
-        ranked = found.select("value", "node", *keep, place.alias("place"), (kept - self._least(F.col("n"), k, shared) + 1).alias("last"))
+        ranked = found.select("value", "node", *keep, place.alias("place"), (kept - least + 1).alias("last"))
         ranked = self.staging.table(ranked.where("place <= last").drop("last"), name)
         self.staging.drop(f"{name}-lists")
         return ranked
@@ -85,7 +84,8 @@ class NearDuplicates:
     def index(self, reps: DataFrame) -> DataFrame:
         """(value, node): the values under which each node is found."""
         postings = reps.select("node", "n", F.explode("sketch").alias("value"))
-        return self._ranked(postings, self.k, SHARED * self.k // K, "index").drop("place")
+        least = F.when(F.col("n") <= self.k * self.percent // 100, F.ceil(F.col("n") * self.percent / 100)).otherwise(F.lit(SHARED * self.k // K))
+        return self._ranked(postings, F.least(F.col("n"), F.lit(self.k)), least, "index").drop("place")
 
     def stars(self, index: DataFrame) -> DataFrame:
         """(a, b): each node with the least node of each of its lists."""
@@ -100,25 +100,24 @@ class NearDuplicates:
         found = sketched.join(small_or_shuffled(nodes, n_nodes), ["doc_id", "sig"])
         return found.dropDuplicates(["node"]) if self.repeated else found  # rows that repeat id and set are one node
 
-    def _needed(self) -> Column:
-        """Values that the wide sketches of x and y share at least if x and y are similar."""
-        overlap = F.ceil((F.col("n") + F.col("n_y")) * self.percent / (100 + self.percent))
-        beyond = F.greatest(F.col("n") - WIDE_K, F.lit(0)) + F.greatest(F.col("n_y") - WIDE_K, F.lit(0))
-        return F.when(beyond == 0, overlap).otherwise(F.greatest(overlap - beyond, F.lit(WIDE_SHARED)))
+    def _last(self, n: Column, n_y: Column) -> Column:
+        """The last place, in order of rarity, at which a set of ``n`` values can first meet a similar one of ``n_y``."""
+        return n - F.ceil((n + n_y) * self.percent / (100 + self.percent)) + 1
 
     def open_lists(self, index: DataFrame, components: DataFrame) -> DataFrame:
-        """(value, node, n, m0, m1, place, parts): lists of wide sketches of the nodes whose lists hold several components."""
+        """(value, node, n, m0, m1, near, place, parts): lists of the full sets of the nodes whose lists hold several components; near: one of a set's ``NEAR_K`` least values."""
         labelled = self.staging.table(self._labelled(index, components), "labelled")
         mixed = labelled.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("value")
         mixed, seen = self.staging.measured(mixed, "mixed", rows=F.count("*"))
         open_nodes = labelled.join(small_or_shuffled(mixed, seen["rows"]), "value", "left_semi").select("node").distinct()
         open_nodes, seen = self.staging.measured(open_nodes.join(self.nodes, "node"), "open", rows=F.count("*"))
-        wide = self.staging.table(self._again(open_nodes, seen["rows"], WIDE_K).select("node", "n", "sketch"), "wide")
-        least = [F.coalesce(F.get("sketch", k), F.lit(0)).alias(f"m{k}") for k in (0, 1)]
-        ranked = self._ranked(wide.select("node", "n", *least, F.explode("sketch").alias("value")), WIDE_K, WIDE_SHARED, "wide-index", "n", "m0", "m1")
+        full = self.staging.table(self._again(open_nodes, seen["rows"], None).select("node", "n", F.col("sketch").alias("s")), "full")
+        first = [F.coalesce(F.get("s", k), F.lit(0)).alias(f"m{k}") for k in (0, 1)]
+        postings = full.select("node", "n", *first, F.posexplode("s").alias("pos", "value")).withColumn("near", F.col("pos") < NEAR_K).drop("pos")
+        ranked = self._ranked(postings, F.col("n"), F.ceil(F.col("n") * self.percent / 100), "full-index", "n", "m0", "m1", "near")
         lists = ranked.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value", F.ceil(F.col("m") / LIST_PART).cast("int").alias("parts"))
         dealt = self.staging.table(ranked.join(lists, "value"), "dealt")
-        self.staging.drop("labelled", "mixed", "open", "wide", "wide-index")
+        self.staging.drop("labelled", "mixed", "open", "full", "full-index")
         return dealt
 
     def _components(self, links: DataFrame, name: str) -> DataFrame:
@@ -133,10 +132,10 @@ class NearDuplicates:
 
     def _hopeful(self, met: DataFrame, tested: DataFrame, name: str) -> tuple[DataFrame, int]:
         """(a, b), not yet tested, and their number, of pairs (node, n, place and the same with _y) whose sizes and places leave room for the overlap."""
-        needed = self._needed()
-        room = lambda n, place: F.col(place) <= F.least(F.col(n), F.lit(WIDE_K)) - needed + 1
+        n, n_y = F.col("n"), F.col("n_y")
+        room = (F.col("place") <= self._last(n, n_y)) & (F.col("place_y") <= self._last(n_y, n))
         close = F.least("n", "n_y") * 100 >= F.greatest("n", "n_y") * self.percent
-        new = met.where(close & room("n", "place") & room("n_y", "place_y")).select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
+        new = met.where(close & room).select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
         found, seen = self.staging.measured(new.join(tested, ["a", "b"], "left_anti"), name, rows=F.count("*"))
         return found, seen["rows"]
 
@@ -145,7 +144,7 @@ class NearDuplicates:
 
         What is before a node is looked at with the first centre only, as it is the same each time.
         """
-        labelled = self.staging.table(self._labelled(lists, components), f"{name}-labelled")
+        labelled = self.staging.table(self._labelled(lists.where("near"), components), f"{name}-labelled")
         shown, met = F.struct("node", "comp", "n", "place"), self._beside_centres(labelled, name, centres)
         for order in ORDERS if centres == 1 else ():
             part = F.pmod(F.xxhash64(order[0]), F.col("parts")).cast("int")
@@ -160,7 +159,7 @@ class NearDuplicates:
 
     def _beside_centres(self, labelled: DataFrame, name: str, centres: int) -> DataFrame:
         """(node, n, place, o): each node with the centres of its lists that are of other components; a list is dealt into ``centres`` parts of one centre each."""
-        rarer = F.col("place") / F.least(F.col("n"), F.lit(WIDE_K))
+        rarer = F.col("place") / F.col("n")
         best = F.min(F.struct(rarer.alias("rarer"), "node", "comp", "n", "place")).alias("best")
         parts = labelled.groupBy("value", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("part")).agg(best, F.count("*").alias("m"))
         hubs = parts.groupBy("value").agg(F.collect_list("best").alias("centres"), F.sum("m").alias("m"))
@@ -180,10 +179,19 @@ class NearDuplicates:
         return dealt, {k: v or 0 for k, v in seen.items()}
 
     def across(self, dealt: DataFrame, tested: DataFrame) -> tuple[DataFrame, int]:
-        """(a, b): all hopeful pairs across components that are not yet tested, and their number."""
-        left = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        right = dealt.select("value", *[F.col(c).alias(f"{c}_y") for c in ("node", "comp", "n", "place")], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        met = left.join(right, ["value", "part"]).where("comp <> comp_y AND (n < n_y OR (n = n_y AND node < node_y))")
+        """(a, b): all hopeful pairs across components that are not yet tested, and their number.
+
+        Of a pair, the smaller set is on the left.  The places leave less room the nearer the sizes are, so a row on the
+        right meets sets of those sizes only for which its place is early enough: few nodes meet in the lists of common values.
+        """
+        n, place = F.col("n"), F.col("place")
+        step = lambda size: F.floor(F.log(size) / F.log(F.lit(SIZE_STEP)) + 1e-9).cast("int")
+        left = dealt.where(place <= self._last(n, n)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("size", step(n))
+        least, most = F.ceil(n * self.percent / 100), F.floor((n - place + 1) * (100 + self.percent) / self.percent) - n
+        sizes = F.sequence(step(least), F.greatest(step(least), step(F.least(most, n))))
+        right = dealt.select("value", *[F.col(c).alias(f"{c}_y") for c in ("node", "comp", "n", "place")], "parts", F.explode(sizes).alias("size"))
+        right = right.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).drop("parts")
+        met = left.join(right, ["value", "part", "size"]).where("comp <> comp_y AND (n < n_y OR (n = n_y AND node < node_y))")
         return self._hopeful(met, tested, "across")
 
     def _nodes_of(self, pairs: DataFrame) -> tuple[DataFrame, dict]:

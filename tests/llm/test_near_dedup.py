@@ -118,6 +118,34 @@ def test_variants_linked_through_one_text_alone(spark, monkeypatch):
     assert sum(tested.values()) < 20 * len(rows)  # 300 * 299 / 2 = 44,850
 
 
+def unlike_variants(n, ids, seed):
+    """A text of ``n`` words for the first id, and for the others that text with up to a tenth of its words drawn anew."""
+    draw = random.Random(seed)
+    words = [f"w{draw.randrange(2000)}" for _ in range(n)]
+    for i in ids:
+        own = set(draw.sample(range(n), int(draw.random() * n / 10))) if i != ids[0] else ()
+        yield i, " ".join(f"v{draw.randrange(300)}" if k in own else w for k, w in enumerate(words))
+
+
+def test_long_variants_just_below_the_threshold(spark, monkeypatch):
+    """Texts of more shingles than any sketch has values, many of them a little too unlike each other: only few pairs are tested, and no link is lost."""
+    tested = counted(monkeypatch)
+    rows = list(unlike_variants(3000, range(150), 1))
+    kept = sum(r["kept"] for r in check(spark, rows))
+    assert 75 < kept < 150
+    assert sum(tested.values()) < 10 * len(rows)  # 150 * 149 / 2 = 11,175
+
+
+def test_sizes_at_the_threshold_across_components(spark, monkeypatch):
+    """Cut texts: sets within one another whose sizes are just near enough, or just not, found by the pairs across components alone."""
+    monkeypatch.setattr(near_dedup.NearDuplicates, "neighbours", lambda self, lists, components, tested, name, centres: tested.where("false"))
+    monkeypatch.setattr(near_dedup.NearDuplicates, "stars", lambda self, index: self.staging.table(index.selectExpr("node AS a", "node AS b").where("false"), "stars"))
+    rows = []
+    for i, (n, cut) in enumerate([(1000, 750), (1000, 749), (2000, 1500), (2000, 1499), (100, 75), (100, 74), (700, 699), (8, 6), (8, 5)]):
+        rows += [(10 * i + k, " ".join(f"t{i}w{j}" for j in range(m + 4))) for k, m in enumerate((n, cut))]
+    check(spark, rows)
+
+
 def test_stage_keeps_one_of_linked_variants(spark, monkeypatch):
     """The pipeline's stage: one of the variants stays, and others' rows are as they were, without all pairs."""
     tested = counted(monkeypatch)

@@ -154,6 +154,15 @@ def test_stage_keeps_one_of_linked_variants(spark, monkeypatch):
     assert sum(tested.values()) < 20 * len(rows)  # 200 * 199 / 2 = 19,900
 
 
+def test_stage_tests_few_pairs_of_long_variants(spark, monkeypatch):
+    """The pipeline's stage, with long variants somewhat below the threshold: the least of each component stays, without all pairs."""
+    tested = counted(monkeypatch)
+    rows = list(unlike_variants(3000, range(150), 2))
+    want = [r for r, c in zip(rows, components(rows), strict=True) if r[0] == c]
+    assert sorted(map(tuple, near_dedup.one_of_each_group(spark.createDataFrame(rows, SCHEMA)).collect())) == want
+    assert sum(tested.values()) < 10 * len(rows)  # 150 * 149 / 2 = 11,175
+
+
 def test_rounds_of_more_centres(spark, monkeypatch):
     """Two groups whose texts are just too unlike, so pairs across components are left after a round that found links."""
     tested = counted(monkeypatch)

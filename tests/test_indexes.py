@@ -96,3 +96,22 @@ def test_cells_of_clustered_vectors_and_ties(spark):
     few = retrieval.VectorIndex(base.limit(3))
     assert len(hits(few.search(asked.limit(2), 5, probes=1))) > 0
     assert retrieval.VectorIndex(base.limit(0)).search(asked, 5, probes=1).collect() == []
+
+
+def test_vector_search_over_tasks_without_rows(spark, tmp_path):
+    rows = [(str(i), str(i), [float(i % 7), float(i % 5)]) for i in range(2000)]
+    base = spark.createDataFrame(rows, "unit_id string, pmid string, vector array<float>")
+    path = str(tmp_path / "base")
+    base.coalesce(1).write.parquet(path)  # one row group: one of the tasks that share the file gets all rows
+    asked = base.where("unit_id in ('3', '9')").select(F.col("unit_id").cast("long").alias("query_id"), "vector")
+    want = hits(retrieval.vector_search(base.coalesce(1), asked, 5))
+    names = {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "64"}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        split = spark.read.parquet(path)
+        assert split.rdd.getNumPartitions() > 1
+        assert hits(retrieval.vector_search(split, asked, 5)) == want and len(want) == 10
+    finally:
+        for name in names:
+            spark.conf.unset(name)

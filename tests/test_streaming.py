@@ -114,3 +114,23 @@ def test_pacer_equals_a_sleeping_sender(spark):
         held = {r["second"]: (r["tokens"], r["trailing"]) for r in load.collect()}
         assert held == {s: (sum(t for _, a, t in rows if a == s), sum(t for _, a, t in rows if s - 60 < a <= s)) for s in {int(a) for _, a, _ in rows}}
     assert limits.paced_starts(df.limit(0), 100).collect() == []
+
+
+def test_leases_by_buckets_over_restarts(spark, tmp_path):
+    rnd = random.Random(3)
+    rows = [(f"k{rnd.randrange(40) + 40 * (at // 4000)}", i, at, rnd.choice("ab"), rnd.choice(["begin", "begin", "finish", "release"])) for i, at in enumerate(sorted(rnd.choices(range(12_000), k=600)))]
+    rows += [("end", 999, 20_000, "a", "begin"), ("end", 1000, 20_000, "b", "begin")]
+    table = spark.createDataFrame(rows, "request_key string, event_id long, at long, fingerprint string, kind string").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    out, most = str(tmp_path / "out"), 0
+    with streams.rocksdb(spark):
+        for part in [*streams.time_slices(table.where("event_id < 999"), 3), table.where("event_id >= 999")]:
+            part.write.mode("append").parquet(str(tmp_path / "in"))
+            source = streams.request_leases(spark.readStream.schema(part.schema).parquet(str(tmp_path / "in")), lease=600, buckets=4)
+            run = source.writeStream.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/{k}")).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+            run.awaitTermination()
+            state = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "progress")).select("value.keys").collect()
+            most = max(most, len(state))
+    key = lambda r: (r["request_key"], r["event_id"], r["decision"])
+    got = spark.read.option("recursiveFileLookup", True).parquet(out)
+    assert sorted(map(key, got.collect())) == sorted(map(key, limits.request_leases(table, 600).collect()))
+    assert 1 < most <= 4 and [list(r["keys"]) for r in state] == [["end"]]  # a state for each bucket; all other leases are forgotten

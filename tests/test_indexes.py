@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrybook import queries
-from quarrybook.operators import retrieval
+from quarrybook.functions import text as T
+from quarrybook.operators import papers, retrieval
 
 SF = "/root/testdata/sf0.1"
 
@@ -115,3 +116,15 @@ def test_vector_search_over_tasks_without_rows(spark, tmp_path):
     finally:
         for name in names:
             spark.conf.unset(name)
+
+
+def test_terms_are_counted_in_their_units(spark):
+    texts = {"1": ("a title", "beta beta alpha gamma beta"), "2": ("x", "alpha"), "3": ("...", "...")}
+    kept = spark.createDataFrame([(p, t, a) for p, (t, a) in texts.items()], "pmid string, title string, abstract string")
+    rows = papers.units(kept)
+    index = retrieval.Bm25Index(rows)
+    want = {(p, term, terms.count(term), len(terms)) for p, terms in ((p, spark.range(1).select(T.tokenize(F.lit(f"{t}\n{a}"))).first()[0]) for p, (t, a) in texts.items()) for term in set(terms)}
+    got = index.postings.join(index.names.select("unit", "pmid"), "unit").select("pmid", "term", "tf", "dl")
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) and ("1", "beta", 3) in {w[:3] for w in want}
+    lengths = {r["unit_id"]: r["dl"] for r in retrieval.unit_lengths(rows).collect()}
+    assert lengths == {r["unit_id"]: r["dl"] for r in index.names.collect()} and lengths["3"] == 0

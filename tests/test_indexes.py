@@ -128,3 +128,12 @@ def test_terms_are_counted_in_their_units(spark):
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) and ("1", "beta", 3) in {w[:3] for w in want}
     lengths = {r["unit_id"]: r["dl"] for r in retrieval.unit_lengths(rows).collect()}
     assert lengths == {r["unit_id"]: r["dl"] for r in index.names.collect()} and lengths["3"] == 0
+
+
+def test_lengths_need_no_index(spark, monkeypatch):
+    def no_index(*_):
+        raise AssertionError("an index was built")
+
+    monkeypatch.setattr(queries, "_index", no_index)
+    got = queries.doc_lengths(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["unit_id", "dl"] and got.count() > 0

@@ -119,6 +119,7 @@ def test_pacer_equals_a_sleeping_sender(spark):
 def test_leases_by_buckets_over_restarts(spark, tmp_path):
     rnd = random.Random(3)
     rows = [(f"k{rnd.randrange(40) + 40 * (at // 4000)}", i, at, rnd.choice("ab"), rnd.choice(["begin", "begin", "finish", "release"])) for i, at in enumerate(sorted(rnd.choices(range(12_000), k=600)))]
+    rows += [(None, 700 + i, 11_000 + i, "a", "begin") for i in range(3)] + [("k0", 777, 11_500, None, "release")]
     rows += [("end", 999, 20_000, "a", "begin"), ("end", 1000, 20_000, "b", "begin")]
     table = spark.createDataFrame(rows, "request_key string, event_id long, at long, fingerprint string, kind string").withColumn("ts", F.timestamp_seconds("at")).drop("at")
     out, most = str(tmp_path / "out"), 0
@@ -130,7 +131,7 @@ def test_leases_by_buckets_over_restarts(spark, tmp_path):
             run.awaitTermination()
             state = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "progress")).select("value.keys").collect()
             most = max(most, len(state))
-    key = lambda r: (r["request_key"], r["event_id"], r["decision"])
+    key = lambda r: (r["request_key"] or "", r["event_id"], r["decision"])
     got = spark.read.option("recursiveFileLookup", True).parquet(out)
     assert sorted(map(key, got.collect())) == sorted(map(key, limits.request_leases(table, 600).collect()))
     assert 1 < most <= 4 and [list(r["keys"]) for r in state] == [["end"]]  # a state for each bucket; all other leases are forgotten
